@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, stage, table
 
-CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 96, 8
+CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 192, 8
+#: Columns are generated until the fractional optimum is proven to be within this share (the price of the best column bounds it).
+SLACK = 0.01
 KEPT_WORDS = 200_000
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: The byte-level pre-tokeniser's pattern with its Unicode classes written out for the characters of ORDINARY.
@@ -126,7 +128,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
     for step in range(most):
         price = np.maximum(inverse.sum(0), 0)  # every sequence costs 1
         column, value = best_load(sizes, price, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + SLACK:
             break
         turn = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
