@@ -8,7 +8,8 @@ from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .piece import op2_sentencepiece
 from .suffix import OP6_SQL, op6_suffix_dedup
+from .vectors import OP8_SQL, op8_embedding_near_dedup
 from .wordcount import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_ngram_jaccard_join, op4_media_columns, op5_language_id, op6_suffix_dedup, op7_token_counts, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op6_suffix_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_ngram_jaccard_join, op4_media_columns, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_embedding_near_dedup, op10_best_fit_packing)}
+ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL}
