@@ -18,12 +18,17 @@ from ..session import ship
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table of the input folder, by Spark's own reader."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its workers and, unless set otherwise, batches of BATCH_ROWS rows for Python."""
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table of the input folder, by Spark's own reader."""
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
