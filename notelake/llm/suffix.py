@@ -30,8 +30,8 @@ from .kernels import U, gram_hashes, mix, word_hashes, words
 LENGTH, GRAM = 50, 10
 #: Starts of windows over which a minimiser is taken, and words of a window beside the minimiser.
 SPREAD = LENGTH - GRAM
-#: Occurrences of one suffix that are sorted in one task.
-HOT = 1000
+#: Occurrences of one suffix that are sorted in one task: 5 MB of words around them.
+HOT = 20_000
 
 
 def minimisers(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
