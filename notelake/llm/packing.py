@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from .common import slices, stage, table
 CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 192, 8
 #: Columns are generated until the fractional optimum is proven to be within this share (the price of the best column bounds it).
 SLACK = 0.01
-KEPT_WORDS = 200_000
+KEPT_WORDS, JOINED = 400_000, 256
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: The byte-level pre-tokeniser's pattern with its Unicode classes written out for the characters of ORDINARY.
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
@@ -43,18 +44,41 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # pre-tokens are kept here
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: byte-level vocabularies write a byte as a character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.seen: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new pre-tokens. Those that are a space and letters stay apart when written in a row, so they go to the tokenizer many at a time."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rows = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for row, got in zip(rows, self.tokenizer.encode_batch_fast(list(map("".join, rows)), add_special_tokens=False) if rows else [], strict=True):
+            ids = np.array(got.ids)
+            upto, ends = np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in row])
+            at = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
+            if not np.array_equal(upto[at], ends):
+                raise ValueError("the tokenizer splits words unlike its pattern")
+            raw, cut = ids.astype("<u4").tobytes(), [0, *(4 * (at + 1)).tolist()]
+            self.seen.update(zip(row, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        self.seen.update(zip(other, self._encode(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
-        if len(seen) > KEPT_WORDS:
-            seen.clear()
+        if len(seen) > KEPT_WORDS:  # words of few tokens are the frequent ones
+            seen = self.seen = {w: b for w, b in seen.items() if len(b) <= 8}
+            if len(seen) > KEPT_WORDS // 2:
+                seen.clear()
         split = [PRETOKEN.findall(x) if ORDINARY.match(x) else None for x in texts]
-        new = list({w for ws in split if ws for w in ws if w not in seen})
-        seen.update(zip(new, self._encode(new), strict=True))
+        met: set[str] = set()
+        met.update(*filter(None, split))
+        self._learn([w for w in met if w not in seen])
         whole = iter(self._encode([x for x, ws in zip(texts, split, strict=True) if ws is None]))
         return [next(whole) if ws is None else b"".join(map(seen.__getitem__, ws)) for ws in split]
 
