@@ -4,12 +4,13 @@ A document is its set of distinct 5-word shingles; documents link when 100 * int
 group counts are a point: the sum of coordinate minima of two points bounds their overlap from above, and for a node of an R-tree the minima with its
 box's upper corner bound the overlap with everything below it. Counts of unrelated long texts all look alike, so one tree over a corpus would have to
 be searched whole; points are therefore dealt into trees by the groups of finest grain: documents that link share one of their ``n - ceil(3n/4) + 1`` first
-shingles in any common order (frequent shingles last), and every run of documents that share one is a tree. Steps:
+shingles in any common order (rarest first), and every run of documents that share one is a tree. Steps:
 
-1. sets: (doc_id, n, class), the class a 64-bit fingerprint of the set, so copies are one point; frequent shingles are counted over all documents.
+1. sets: (doc_id, n, class), the class a 64-bit fingerprint of the set, so copies are one point; how frequent shingles are is counted over all documents.
 2. runs: first shingles as packed arrays per bucket, sorted in the task that owns the bucket; a run is cut where sizes alone rule links out.
-3. stars: each class is verified against the least class of its runs; connected components of the links.
-4. trees: runs that still hold several components are searched by R-tree, in blocks where long; surviving pairs across components are verified.
+3. stars: each class is verified against a few leaders of most of its runs; connected components of the links.
+4. trees: runs that still hold several components are searched by R-tree, in blocks where long. Components of the surviving pairs are families; within these,
+   sets of different components are bounded and verified in blocks until a link joins them.
 5. connected components of all links. Links within a component that is already known need no proof, as results are components.
 
 Empty sets (null, empty or blank texts) link with nothing. Texts with fewer than five words are one shingle. Repeated rows are copies. Shingles are compared
@@ -19,6 +20,7 @@ have no name to report: they get their component when a named row has the same s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, dropped, mapped, partitions, slices, stage, table, utf8
+from .filters import passed
 from .kernels import LOWER, ODD, U, mix, word_hashes, words
 
 WIDTH = 5
-#: Shingles put last in the common order are broadcast: so many at most, the most frequent (8 bytes each). The order never changes results.
-MOST_FREQUENT = 1 << 16
+#: The common order of shingles goes by the documents of their cell, so many numbers (8 MB) that are counted over the corpus and broadcast; the order never changes results.
+CELLS, CELL_BLOCKS = 1 << 20, 64
 #: Members of a run handled as one tree; longer runs are pairs of such blocks.
 BLOCK = 1024
+#: Members of a family whose sets are compared with those of another block in one task.
+FAMILY_BLOCK = 512
 LEAF = 16
-#: 64-bit words of the filter that keeps documents without candidates from being read again: at most 16 MB.
-FILTER_WORDS = 1 << 21
+#: Stars per run, each around the least class in another order: families of borderline copies hang together by some of them.
+STARS = 5
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,8 +58,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     for j in range(WIDTH):
         value += np.where(j < size, padded[place + j] * ODD[j], U(0))
     value = mix(value)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    ends = np.cumsum(count)
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        value[a:b].sort()
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[new], owner[new]
@@ -64,8 +70,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def group_counts(value: np.ndarray) -> bytes:
-    """A set's point: counts of its shingles in 64 to 1024 groups (a power of two, about a quarter of the set), capped at 65535 (a bound stays a bound: see ``CountTree``)."""
-    groups = 1 << min(10, max(6, int(len(value) // 4).bit_length()))
+    """A set's point: counts of its shingles in groups, a power of two of about a quarter of the set (64 to 16384), capped at 65535 (see ``read_points``)."""
+    groups = 1 << min(14, max(6, int(len(value) // 4).bit_length()))
     return np.bincount((value & U(groups - 1)).astype(np.int64), minlength=groups).clip(max=65535).astype("<u2").tobytes()
 
 
@@ -107,48 +113,65 @@ class CountTree:
         return at[(7 * np.minimum(self.points[at], point).sum(1) >= 3 * (size + n)) & (3 * size <= 4 * n) & (3 * n <= 4 * size)]
 
 
-def read_points(blobs: list[bytes]) -> np.ndarray:
-    """Points folded to the coarsest grouping among them (groups are powers of two, so folding adds halves). Capped counts become unbounded ones."""
-    vectors = [np.frombuffer(b, "<u2").astype(np.int64) for b in blobs]
-    vectors = [np.where(v == 65535, 1 << 40, v) for v in vectors]
-    least = min(map(len, vectors))
-    return np.array([v.reshape(-1, least).sum(0) for v in vectors])
+def read_point(blob: bytes, groups: int | None = None) -> np.ndarray:
+    """A point, folded to fewer groups if asked (both powers of two, so halves add up). Capped counts become unbounded ones, so that a bound stays one."""
+    v = np.frombuffer(blob, "<u2").astype(np.int64)
+    v[v == 65535] = 1 << 40
+    return v if groups is None or groups == len(v) else v.reshape(-1, groups).sum(0)
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class) for documents; and for frequent shingles doc_id and n null, class the shingle and ``times`` its documents (estimates at first sight of it)."""
+    """(doc_id, n, class) for documents; and per task, rows with ``cells``: how many of its distinct sets hold a shingle of each cell (n: number of the block of cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen, hot, met = np.zeros(1 << 20, np.uint32), set(), {}, 0
+        counter, seen = np.zeros(CELLS, np.uint32), set()
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column("text"))
                 value, bounds, print_ = shingle_sets(data, offsets)
                 n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(print_.view(np.int64), mask=n == 0), pa.nulls(len(n), pa.int64())], ["doc_id", "n", "class", "times"])
-                fresh = [i for i, p in enumerate(print_.tolist()) if n[i] and p not in seen and not seen.add(p)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(print_.view(np.int64), mask=n == 0), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "class", "cells"])
+                fresh = [value[bounds[i] : bounds[i + 1]] for i, p in enumerate(print_.tolist()) if n[i] and p not in seen and not seen.add(p)]
                 if fresh:
-                    mine = np.concatenate([value[bounds[i] : bounds[i + 1]] for i in fresh])
-                    met += len(fresh)
-                    cell = (mine >> U(44)).astype(np.int64)
-                    counter += np.bincount(cell, minlength=1 << 20).astype(np.uint32)
-                    some, times = np.unique(mine[counter[cell] >= max(32, met // 200, 8 * int(counter.mean()))], return_counts=True)
-                    for s, t in zip(some.tolist(), times.tolist(), strict=True):
-                        hot[s] = hot.get(s, 0) + t
+                    counter += np.bincount(cell(np.concatenate(fresh)), minlength=CELLS).astype(np.uint32)
                 if len(seen) > 1_000_000:
                     seen.clear()
-        found = [(s, t) for s, t in hot.items() if t >= max(8, met // 400)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(np.array([s for s, _ in found], np.uint64).view(np.int64)), pa.array([t for _, t in found], pa.int64())], ["doc_id", "n", "class", "times"])
+        if counter.any():
+            blobs = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in counter.reshape(CELL_BLOCKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(blobs), pa.int64()), pa.array(np.arange(len(blobs))), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "class", "cells"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, class bigint, times bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, class bigint, cells binary")
 
 
-def runs(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(run, chunk, leader, members, sizes): classes that share a first shingle, by size, in chunks of at most BLOCK; equal runs may repeat."""
+def cell(value: np.ndarray) -> np.ndarray:
+    return (value >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def frequencies(found: DataFrame) -> np.ndarray:
+    """Documents per cell of shingles over the whole corpus: CELLS numbers, whatever its size."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // CELL_BLOCKS, np.uint64)
+        for blob in t.column("cells"):
+            total += np.frombuffer(zlib.decompress(blob.as_py()), "<u4")
+        return pa.table({"n": t.column("n")[:1], "cells": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+
+    # summed in two steps, so that no task reads a block of all tasks of a large corpus
+    rows = found.where("cells is not null").select("n", "cells").withColumn("part", F.pmod(F.xxhash64("cells"), F.lit(64)))
+    half = rows.groupBy("n", "part").applyInArrow(lambda t: (lambda r: r.set_column(1, "cells", pa.array([zlib.compress(np.frombuffer(r.column("cells")[0].as_py(), "<u8").astype("<u4").tobytes(), 1)], pa.binary())))(add(t)), "n bigint, cells binary")
+    out = np.zeros((CELL_BLOCKS, CELLS // CELL_BLOCKS), np.uint64)
+    for r in half.groupBy("n").applyInArrow(add, "n bigint, cells binary").collect():
+        out[r.n] = np.frombuffer(r.cells, "<u8")
+    return out.ravel()
+
+
+def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
+    """(run, chunk, times, leaders, members): classes that share a first shingle, by size, in chunks of at most BLOCK; equal runs are one, found ``times`` times."""
     spark = docs.sparkSession
     buckets = 8 * partitions(spark)
-    last = spark.sparkContext.broadcast(np.sort(frequent))
+    # rarest cells first; 20 bits of frequency, then the hash
+    place = np.minimum(times, (1 << 20) - 1).astype(np.uint64) << U(44)
+    sent = spark.sparkContext.broadcast(place)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -168,14 +191,13 @@ def runs(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column("text"))
                 value, bounds, print_ = shingle_sets(data, offsets)
-                late = np.isin(value, last.value)
+                rank = sent.value[cell(value)] | (value & U((1 << 44) - 1))
                 for i, p in enumerate(print_.tolist()):
                     mine = value[bounds[i] : bounds[i + 1]]
                     if len(mine) and p not in seen:
                         seen.add(p)
                         most = len(mine) - -(-3 * len(mine) // 4) + 1
-                        behind = late[bounds[i] : bounds[i + 1]]
-                        first = np.concatenate([mine[~behind], mine[behind]])[:most]
+                        first = mine[np.argpartition(rank[bounds[i] : bounds[i + 1]], most - 1)[:most]]
                         held.append((first, np.full(most, p, np.uint64), np.full(most, len(mine), np.uint32)))
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -198,16 +220,19 @@ def runs(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         h, c, n = h[new], c[new], n[new]
         cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (3 * n[1:] > 4 * n[:-1]), [True]]))
         long = np.flatnonzero(np.diff(cut) > 1)
-        met, rows = set(), []
+        met: dict[int, list] = {}
         for k in long:
             a, b = int(cut[k]), int(cut[k + 1])
             key = int(mix(np.array([int(np.add.reduce(mix(c[a:b]))) ^ (b - a)], np.uint64)).view(np.int64)[0])
             if key in met:
-                continue
-            met.add(key)
-            leader = int(c[a:b].view(np.int64).min())
+                met[key][0] += 1
+            else:
+                met[key] = [1, a, b]
+        rows = []
+        for key, (times, a, b) in met.items():
+            leaders = [c[a + int(mix(c[a:b] ^ ODD[k]).argmin())] for k in range(STARS)]
             for j in range(a, b, BLOCK):
-                rows.append((key, (j - a) // BLOCK, leader, c[j : min(b, j + BLOCK)].view(np.int64), n[j : min(b, j + BLOCK)]))
+                rows.append((key, (j - a) // BLOCK, times, leaders, c[j : min(b, j + BLOCK)].view(np.int64)))
             if len(rows) >= 20000:
                 yield emit(rows)
                 rows = []
@@ -215,63 +240,66 @@ def runs(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             yield emit(rows)
 
     def emit(rows: list) -> pa.RecordBatch:
-        key, chunk, leader, members, sizes = zip(*rows, strict=True)
+        key, chunk, times, leaders, members = zip(*rows, strict=True)
         ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in members])]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (members, sizes)]
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int32()), pa.array(leader, pa.int64()), *lists], ["run", "chunk", "leader", "members", "sizes"])
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(members), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int32()), pa.array(times, pa.int64()), pa.array(np.array(leaders, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64())), lists], ["run", "chunk", "times", "leaders", "members"])
 
     dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(partitions(spark), "bucket")
-    return dealt.mapInArrow(meet, "run bigint, chunk int, leader bigint, members array<bigint>, sizes array<bigint>")
+    found = dealt.mapInArrow(meet, "run bigint, chunk int, times bigint, leaders array<bigint>, members array<bigint>")
+    return found.groupBy("run", "chunk").agg(F.sum("times").alias("times"), F.first("leaders").alias("leaders"), F.first("members").alias("members"))
 
 
-def points(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
-    """(class, n, point, hashes) of the classes in ``wanted``, from one document each (``first``: class, doc_id). Others are passed over by a filter of bounded size, then exactly."""
-    spark = docs.sparkSession
+def points(docs: DataFrame, wanted: DataFrame, first: DataFrame, label: str) -> DataFrame:
+    """(class, n, value) of the classes in ``wanted``, from one document each (``first``: class, doc_id); value: the point, or (label hashes) all shingle hashes."""
     named = stage(first.join(wanted, "class", "left_semi"), "named")
-    words_ = 1 << min(FILTER_WORDS.bit_length() - 1, max(10, named.count() // 4).bit_length())
-    place = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(words_ * 64)) for k in (1, 2)]
-    bits = named.select(F.explode(F.array(*place)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    got = bits.toArrow()
-    mask = np.zeros(words_, np.int64)
-    mask[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    sent = spark.sparkContext.broadcast(mask)
+    whole = label == "hashes"
 
-    def kernel(batch: pa.RecordBatch) -> dict | None:
-        p = [batch.column(x).to_numpy() for x in ("p1", "p2")]
-        hit = np.logical_and(*((sent.value[x >> 6] >> (x & 63)) & 1 == 1 for x in p))
-        if not hit.any():
-            return None
-        batch = batch.filter(pa.array(hit))
+    def kernel(batch: pa.RecordBatch) -> dict:
         value, bounds, print_ = shingle_sets(*utf8(batch.column("text")))
         mine = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return {"doc_id": batch.column("doc_id"), "class": print_.view(np.int64), "n": np.diff(bounds), "point": [group_counts(x) for x in mine], "hashes": [x.tobytes() for x in mine]}
+        return {"doc_id": batch.column("doc_id"), "class": print_.view(np.int64), "n": np.diff(bounds), "value": [x.tobytes() if whole else group_counts(x) for x in mine]}
 
-    read = mapped(docs.where("doc_id is not null").select("doc_id", "text", place[0].alias("p1"), place[1].alias("p2")), kernel, "doc_id bigint, class bigint, n bigint, point binary, hashes binary", "text")
-    out = stage(read.join(named.select("class", "doc_id").distinct(), ["class", "doc_id"], "left_semi").drop("doc_id").dropDuplicates(["class"]), "points")
+    read = mapped(passed(docs, named), kernel, "doc_id bigint, class bigint, n bigint, value binary", "text")
+    out = stage(read.join(named.select("class", "doc_id"), ["class", "doc_id"], "left_semi").drop("doc_id").dropDuplicates(["class"]), label)
     dropped(named)
     return out
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    half = known.select("class", "n", "hashes")
-    both = pairs.join(half.toDF("b", "nb", "hb"), "b").join(half.toDF("a", "na", "ha"), "a").where("3 * na <= 4 * nb and 3 * nb <= 4 * na")
+def pairwise(pairs: DataFrame, known: DataFrame, links) -> DataFrame:
+    """The pairs (a, b) for which ``links(n_a, value_a, n_b, value_b)`` holds."""
+    both = pairs.join(known.toDF("b", "nb", "vb"), "b").join(known.toDF("a", "na", "va"), "a").where("3 * na <= 4 * nb and 3 * nb <= 4 * na")
 
     def kernel(batch: pa.RecordBatch) -> dict | None:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            if 7 * int((y[at] == x).sum()) >= 3 * (len(x) + len(y)):
-                keep.append(i)
+        columns = [batch.column(n) for n in ("na", "va", "nb", "vb")]
+        keep = [i for i, (n, x, m, y) in enumerate(zip(*columns, strict=True)) if links(n.as_py(), x.as_buffer(), m.as_py(), y.as_buffer())]
         return {n: batch.column(n).take(pa.array(keep, pa.int64())) for n in ("a", "b")} if keep else None
 
-    return mapped(both.select("a", "b", "ha", "hb"), kernel, "a bigint, b bigint", "hb")
+    return mapped(both.select("a", "b", "na", "va", "nb", "vb"), kernel, "a bigint, b bigint", "vb")
+
 
+def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    groups = min(len(x), len(y)) // 2
+    return 7 * int(np.minimum(read_point(x, groups), read_point(y, groups)).sum()) >= 3 * (n + m)
 
-def tree_pairs(left: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within runs whose bound allows a link, distinct. ``left``: (run, chunk, class, component)."""
-    rows = left.join(known.select("class", "n", "point"), "class")
+
+def do_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    x, y = (np.frombuffer(v, np.uint64) if not isinstance(v, np.ndarray) else v for v in (x, y))
+    return 7 * int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) >= 3 * (n + m)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link; only documents in pairs are read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    hashes = points(docs, wanted, first, "hashes")
+    out = stage(pairwise(pairs, hashes, do_link), "links")
+    dropped(hashes)
+    return out
+
+
+def candidates(left: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the pairs within runs that lie in different components and whose bound allows a link. ``left``: (run, chunk, class, component)."""
+    rows = left.join(known.toDF("class", "n", "point"), "class")
     spans = left.join(known.select("class", "n"), "class").groupBy("run", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.select("run", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     blocks = spans.join(other, "run").where("chunk <= chunk2 and 3 * low2 <= 4 * high and 3 * low <= 4 * high2").select("run", F.col("chunk").alias("i"), F.col("chunk2").alias("j"))
@@ -279,47 +307,96 @@ def tree_pairs(left: DataFrame, known: DataFrame) -> DataFrame:
 
     def search(t: pa.Table) -> pa.Table:
         chunk, i, j = t.column("chunk").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        p, n = read_points(t.column("point").to_pylist()), t.column("n").to_numpy()
-        key, comp = t.column("class").to_numpy(), t.column("component").to_numpy()
-        a, b = [], []
-        inner, outer = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        tree = CountTree(p[inner], n[inner])
-        for x in outer:
-            near = inner[tree.near(p[x], int(n[x]))]
+        key, comp, n = (t.column(x).to_numpy() for x in ("class", "component", "n"))
+        label = key.copy()
+        for x, near in searched(t.column("point").to_pylist(), n, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)):
             near = near[comp[near] != comp[x]]
-            near = near[key[near] < key[x]] if i == j else near
-            a.append(key[near])
-            b.append(np.full(len(near), key[x]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            if len(near):
+                met = np.unique(np.append(label[near], label[x]))
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+        at = label != key
+        return pa.table({"a": pa.array(label[at]), "b": pa.array(key[at])})
 
     return dealt.groupBy("run", "i", "j").applyInArrow(search, "a bigint, b bigint").distinct()
 
 
+def searched(blobs: list[bytes], n: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each outer row with the inner rows whose bound allows a link, by one tree per grain; sizes within 3 : 4 have equal or neighbouring grains."""
+    groups = np.array([len(x) // 2 for x in blobs])
+    for g in np.unique(groups[inner]):
+        mine = inner[groups[inner] == g]
+        for finer in (g // 2, g, g * 2):
+            theirs, grain = outer[groups[outer] == finer], int(min(g, finer))
+            if len(theirs):
+                tree = CountTree(np.array([read_point(blobs[x], grain) for x in mine]), n[mine])
+                for x in theirs:
+                    yield int(x), mine[tree.near(read_point(blobs[x], grain), int(n[x]))]
+
+
+def family_links(families: DataFrame, near: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within families (class, family) of candidates; blocks of a family are compared pairwise, except those of its largest component among themselves."""
+    hashes = points(docs, families.select("class"), first, "hashes")
+    rows = families.join(near, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    size = rows.groupBy("family", "component").agg(F.count("*").alias("c"))
+    main = size.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    rows = rows.join(main, "family").withColumn("is_main", (F.col("component") == F.col("main")).cast("int"))
+    number = lambda flag: F.greatest(F.ceil(F.when(flag == 1, F.col("most")).otherwise(F.col("all") - F.col("most")) / FAMILY_BLOCK), F.lit(1)).cast("int")
+    rows = rows.select("family", "class", "component", "is_main", F.pmod(F.xxhash64("class"), number(F.col("is_main"))).cast("int").alias("block"), number(F.lit(0)).alias("rest"), number(F.lit(1)).alias("mains"))
+    # a block is compared with every block of the rest; the key names the block of the rest and the other one
+    others = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: F.struct(k.alias("x"), F.lit(1).alias("m"), F.col("block").alias("y")))
+    rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.lit(0).alias("m"), F.greatest(k, F.col("block")).alias("y"))),
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: F.struct(F.col("block").alias("x"), F.lit(1).alias("m"), k.alias("y"))),
+    )
+    dealt = rows.select("family", "class", "component", "is_main", "block", F.explode(F.when(F.col("is_main") == 1, others).otherwise(rest)).alias("k")).select("family", "k.*", "class", "component", "is_main", "block").join(hashes.toDF("class", "n", "value"), "class")
+
+    def compare(t: pa.Table) -> pa.Table:
+        key, comp, n = (t.column(x).to_numpy() for x in ("class", "component", "n"))
+        x, m, y = (t.column(c)[0].as_py() for c in ("x", "m", "y"))
+        main, block = t.column("is_main").to_numpy(), t.column("block").to_numpy()
+        whole = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("value").combine_chunks()]
+        label, a, b = comp.copy(), [], []
+        for i, near in searched([group_counts(w) for w in whole], n, np.flatnonzero((main == m) & (block == y)), np.flatnonzero((main == 0) & (block == x))):
+            for j in near:
+                if label[i] != label[j] and do_link(int(n[i]), whole[i], int(n[j]), whole[j]):
+                    a.append(key[i])
+                    b.append(key[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    out = stage(dealt.groupBy("family", "x", "m", "y").applyInArrow(compare, "a bigint, b bigint"), "links")
+    dropped(hashes)
+    return out
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``: component_id is the least doc_id reachable by links, itself included."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     found = stage(sets(docs), "sets")
-    each = found.where("times is null")
-    total = each.select(F.count("*")).first()[0]
-    hot = found.where("times is not null").groupBy("class").agg(F.sum("times").alias("t")).where(F.col("t") >= max(16, total // 2000)).orderBy(F.desc("t"), "class").limit(MOST_FREQUENT)
-    frequent = np.array([r["class"] for r in hot.collect()], np.int64).view(np.uint64)
+    each = found.where("cells is null")
     first = each.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    met = stage(runs(docs, frequent).dropDuplicates(["run", "chunk"]), "runs")
-    star = met.select("leader", F.explode("members").alias("b")).groupBy("b").agg(F.min("leader").alias("a")).where("a != b")
-    star = stage(star.select("a", "b"), "star")
+    met = stage(runs(docs, frequencies(found)), "runs")
+    # per order of leaders, the leader of most of a class's runs: runs of a shared passage have leaders of other families
+    star = met.select(F.posexplode("leaders").alias("k", "a"), "times", "members").select("k", "a", "times", F.explode("members").alias("b")).groupBy("k", "b", "a").agg(F.sum("times").alias("times"))
+    star = star.groupBy("k", "b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = met.select(F.explode("members").alias("class")).distinct()
-    known = points(docs, wanted, first.where("doc_id is not null"))
-    links = stage(verified(star, known), "links")
+    named = first.where("doc_id is not null")
+    known = points(docs, wanted, named, "points")
+    star = stage(pairwise(star, known, may_link), "star")
+    links = verified(star, docs, named)
     dropped(star)
     near = stage(components(links).toDF("class", "component"), "near")
     members = met.select("run", "chunk", F.explode("members").alias("class")).join(near, "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = members.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("run")
     left = stage(members.join(open_, "run", "left_semi").select("run", "chunk", "class", "component"), "left")
-    more = stage(verified(tree_pairs(left, known), known), "more")
-    dropped(left, met, near)
+    pairs = stage(candidates(left, known), "pairs")
+    dropped(left, met, known)
+    families = stage(components(pairs).toDF("class", "family"), "families")
+    more = family_links(families, near, docs, named)
+    dropped(pairs, families, near)
     final = stage(components(links.select("a", "b").unionAll(more.select("a", "b"))).toDF("class", "component"), "final")
-    dropped(links, more, known)
+    dropped(links, more)
     named = first.join(final, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = named.join(least, "component").select("class", "component_id")
