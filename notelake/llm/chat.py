@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json import parsed
 from .common import dropped, stage, table
 
 
@@ -47,13 +48,13 @@ def json_string(c: Column) -> Column:
 
 def errors(tool: Column, arguments: Column, tools: dict[str, tuple[Param, ...]] = TOOLS) -> Column:
     """Sorted errors of JSON arguments against the tool's schema: malformed, unknown_tool, or missing:, type:, value: and unknown: with a parameter."""
-    parsed = F.try_parse_json(arguments)
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    value_of = parsed(arguments)
+    is_object = F.schema_of_variant(value_of).startswith("OBJECT")
     out = F.array(F.lit("unknown_tool"))
     for name, params in sorted(tools.items()):
         checks = []
         for p in params:
-            value = F.try_variant_get(parsed, f"$.{p.name}", "variant")
+            value = F.try_variant_get(value_of, f"$.{p.name}", "variant")
             kind = F.schema_of_variant(value)
             absent = value.isNull() | (kind == "VOID")
             wrong = ~kind.rlike(f"^({KINDS[p.kind]})$")
@@ -61,7 +62,7 @@ def errors(tool: Column, arguments: Column, tools: dict[str, tuple[Param, ...]]
                 checks.append(F.when(absent, F.lit(f"missing:{p.name}")))
             checks.append(F.when(~absent & wrong, F.lit(f"type:{p.name}")))
             if p.among:
-                checks.append(F.when(~absent & ~wrong & ~F.try_variant_get(parsed, f"$.{p.name}", "string").isin(*p.among), F.lit(f"value:{p.name}")))
+                checks.append(F.when(~absent & ~wrong & ~F.try_variant_get(value_of, f"$.{p.name}", "string").isin(*p.among), F.lit(f"value:{p.name}")))
         unknown = F.transform(F.array_except(F.json_object_keys(arguments), F.array(*(F.lit(p.name) for p in params))), lambda k: F.concat(F.lit("unknown:"), k))
         out = F.when(tool == name, F.array_sort(F.concat(F.array_compact(F.array(*checks)), F.coalesce(unknown, F.array().cast("array<string>"))))).otherwise(out)
     return F.when(F.coalesce(is_object, F.lit(False)), out).otherwise(F.array(F.lit("malformed")))
@@ -97,7 +98,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, tuple
     answer = first_of(results.where("call_id is not null"), "call_id", ["turn", "content"])
     answer = answer.select("call_id", F.col("turn").alias("result_turn"), F.col("content").alias("content"), F.lit(True).alias("answered"))
     linked = one.join(depths(one), "call_id").join(answer, "call_id", "left").withColumn("errors", errors(F.col("name"), F.col("arguments"), tools))
-    arguments = F.coalesce(F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.lit(False)), F.to_json(F.try_parse_json("arguments"))), F.lit("null"))
+    arguments = F.coalesce(F.when(F.coalesce(F.schema_of_variant(parsed(F.col("arguments"))).startswith("OBJECT"), F.lit(False)), F.to_json(parsed(F.col("arguments")))), F.lit("null"))
     call = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), json_string(F.col("call_id")), F.lit(',"name":'), json_string(F.col("name")), F.lit("}"))
     reply = lambda: F.concat(F.lit('{"content":'), json_string(F.col("content")), F.lit(',"id":'), json_string(F.col("call_id")), F.lit("}"))
     status = F.when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
