@@ -36,3 +36,18 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def atomic_overwrite(df, location: str) -> None:
+    """Replace a Parquet table that ``df`` may read: write beside it, then swap."""
+    spark = df.sparkSession
+    jvm, beside, old = spark._jvm, f"{location.rstrip('/')}__new", f"{location.rstrip('/')}__old"
+    df.write.mode("overwrite").parquet(beside)
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(location).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(location)):
+        fs.rename(at(location), at(old))
+    fs.rename(at(beside), at(location))
+    fs.delete(at(old), True)
+    spark.catalog.refreshByPath(location)
