@@ -38,4 +38,4 @@ def note_band(score: Column) -> Column:
 
 def progress(done: Column, total: Column) -> Column:
     """Percent, 0 to 100; null when there is nothing to do."""
-    return F.least(F.greatest(F.try_divide(done.cast("double"), total.cast("double")) * 100, F.lit(0.0)), F.lit(100.0))
+    return F.when(total != 0, F.least(F.greatest(F.try_divide(done.cast("double"), total.cast("double")) * 100, F.lit(0.0)), F.lit(100.0)))

@@ -69,7 +69,7 @@ def truncate(text: Column, limit: int) -> Column:
         return F.when(x["now"] <= limit, t).otherwise(F.concat(trim(F.substring(t, F.lit(1), at.cast("int"))), F.lit(TRUNCATED)))
 
     sized = let(text, lambda t: F.struct(t.alias("t"), estimate_tokens(t).alias("now")))
-    return let(sized, lambda x: let(F.struct(x["t"].alias("t"), x["now"].alias("now"), F.floor(F.length(x["t"]) * (F.lit(float(limit)) / x["now"]) * F.lit(0.95).cast("double")).cast("bigint").alias("target")), cut))
+    return let(sized, lambda x: let(F.struct(x["t"].alias("t"), x["now"].alias("now"), F.floor(F.length(x["t"]) * F.try_divide(F.lit(float(limit)), x["now"]) * F.lit(0.95).cast("double")).cast("bigint").alias("target")), cut))
 
 
 def was_truncated(c: Column) -> Column:

@@ -13,7 +13,7 @@ HIDDEN = r"(^|/)(\.[^/]*|node_modules)(/|\z)"
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """notes(path, basename, folder, modified_at, created_at, content) of all *.md under ``root``, hidden entries and node_modules left out at every level. Spark knows no birth time: created_at is null."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).select("value", "_metadata.file_path", "_metadata.file_modification_time")
-    base = F.lit(root.rstrip("/").split("://")[-1].lstrip("/") + "/")
+    base = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
     path = F.url_decode(F.replace(F.substring_index("file_path", base, -1), F.lit("+"), F.lit("%2B")))
     rows = raw.select(path.alias("path"), F.col("file_modification_time").alias("modified_at"), F.col("value").alias("content"))
     return rows.where(~F.col("path").rlike(HIDDEN)).select("path", basename(F.col("path")).alias("basename"), folder(F.col("path")).alias("folder"), "modified_at", F.lit(None).cast("timestamp").alias("created_at"), "content")
