@@ -83,7 +83,11 @@ def exclude(notes: DataFrame, patterns: list[str], path: str = "path") -> DataFr
     return notes.where(~matches(F.col(path), patterns))
 
 
-def own_folder(notes: DataFrame, folder: str = "ignite/", path: str = "path") -> DataFrame:
+#: Where the application keeps its own documents; a parameter of every function that uses it.
+OWN_FOLDER = "goals/"
+
+
+def own_folder(notes: DataFrame, folder: str = OWN_FOLDER, path: str = "path") -> DataFrame:
     """Notes outside the application's own folder."""
     return notes.where(~F.col(path).startswith(folder))
 
@@ -93,8 +97,8 @@ def select(notes: DataFrame, include_patterns: list[str], exclude_patterns: list
     return own_folder(exclude(include(notes, include_patterns, path), exclude_patterns, path), path=path)
 
 
-def is_goal_document(path: Column) -> Column:
-    return path.rlike(r"\Aignite/[^/]+/goal\.md\z")
+def is_goal_document(path: Column, folder: str = OWN_FOLDER) -> Column:
+    return path.rlike(rf"\A{re.escape(folder)}[^/]+/goal\.md\z")
 
 
 def in_folder(path: Column, folder: str) -> Column:

@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 NOTES = """
-SELECT doc_id AS seq, lang, source, concat(CASE WHEN doc_id % 19 = 0 THEN 'ignite/' WHEN doc_id % 17 = 0 THEN 'templates/' WHEN doc_id % 23 = 0 THEN '.hidden/' ELSE '' END, source, '/', lang, '/Doc ', doc_id, '.md') AS path,
+SELECT doc_id AS seq, lang, source, concat(CASE WHEN doc_id % 19 = 0 THEN 'goals/' WHEN doc_id % 17 = 0 THEN 'templates/' WHEN doc_id % 23 = 0 THEN '.hidden/' ELSE '' END, source, '/', lang, '/Doc ', doc_id, '.md') AS path,
   concat('---', chr(10), 'title: Doc ', doc_id, chr(10), 'tags: [', lang, ', "', source, '"]', chr(10), 'rank: ', doc_id % 10, chr(10), '---', chr(10), '# Doc ', doc_id, chr(10), chr(10), chr(10), chr(10),
     CASE WHEN doc_id % 3 = 0 THEN concat('```python', chr(13), chr(10), 'x = "#no', doc_id, '"', chr(10), '```', chr(10)) ELSE concat('```', chr(10), 'plain', chr(10), '```', chr(10)) END,
     CASE WHEN doc_id % 5 = 0 THEN '![  a  picture ](img.png) ' WHEN doc_id % 5 = 1 THEN '![](b.png) <b>bold</b> [site](http://example.org/x) ' ELSE '' END,
@@ -178,7 +178,7 @@ def path_exclude_count(spark, sf):
     return notes_of(spark, sf).agg(F.count_if(globs.matches(F.col("path"), EXCLUDE)).alias("excluded"), F.count("*").alias("total"))
 
 
-@query(f"{WITH_NOTES} SELECT path FROM notes WHERE {D_INCLUDE} AND NOT {D_EXCLUDE} AND NOT starts_with(path, 'ignite/')")
+@query(f"{WITH_NOTES} SELECT path FROM notes WHERE {D_INCLUDE} AND NOT {D_EXCLUDE} AND NOT starts_with(path, 'goals/')")
 def own_folder_filter(spark, sf):
     return globs.select(notes_of(spark, sf), INCLUDE, EXCLUDE).select("path")
 
@@ -407,7 +407,7 @@ def relevance_rerank(spark, sf):
     return relevance.ranked(relevance.merged(c, replies(c))).select("path", "score", "reason")
 
 
-ALL_C = f"{WITH_NOTES}, c AS (SELECT path, seq, content FROM notes WHERE NOT starts_with(path, 'ignite/'))"
+ALL_C = f"{WITH_NOTES}, c AS (SELECT path, seq, content FROM notes WHERE NOT starts_with(path, 'goals/'))"
 
 
 @query(f"{ALL_C}, {D_SCORES} SELECT path, score, reason FROM s JOIN c ON c.path = s.note_path UNION ALL SELECT path, least(seq % 130, 100)::DOUBLE, 'first' FROM c WHERE seq % 7 <> 0 AND seq % 5 <> 0")

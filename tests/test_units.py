@@ -91,7 +91,7 @@ def test_top_k(spark):
     "glob,path,want",
     [
         ("Templates/**", "Templates/a/b.md", True), ("Templates/**", "notes/a.md", False), ("*.template.md", "x.template.md", True), ("*.template.md", "a/x.template.md", False),
-        ("**/*.template.md", "a/x.template.md", True), ("**/*.template.md", "x.template.md", True), (".obsidian/**", ".obsidian/x", True), ("a?[bc].md", "axb.md", True), ("{a,b}/*.md", "b/x.md", True), ("!a/**", "b/x", True),
+        ("**/*.template.md", "a/x.template.md", True), ("**/*.template.md", "x.template.md", True), (".config/**", ".config/x", True), ("a?[bc].md", "axb.md", True), ("{a,b}/*.md", "b/x.md", True), ("!a/**", "b/x", True),
     ],
 )
 def test_globs(spark, glob, path, want):
@@ -147,7 +147,7 @@ def test_cache(spark, tmp_path):
 
 
 def test_cold_and_warm_runs_agree(spark):
-    notes = spark.createDataFrame([("a.md", "typescript types"), ("b.md", "cooking pasta"), ("ignite/x.md", "typescript"), ("c.md", "  ")], "path string, content string")
+    notes = spark.createDataFrame([("a.md", "typescript types"), ("b.md", "cooking pasta"), ("goals/x.md", "typescript"), ("c.md", "  ")], "path string, content string")
     empty = spark.createDataFrame([], "path string, content_hash string, embedding array<float>")
     p, draft = providers.OfflineEmbeddings(32), relevance.Draft("typescript", "types", ["one"])
     cold = relevance.embedded(notes, empty, p)
