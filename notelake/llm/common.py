@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,7 +67,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 3 << 18) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with at most ``most`` bytes of text each (one row at least), so that kernels need bounded memory."""
     texts = batch.column(column)
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
@@ -86,6 +89,13 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+def released() -> None:
+    """Give a worker's freed memory back to the system at the end of a task; workers live on between tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mapped(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | None], schema: str, text: str | None = None) -> DataFrame:
     """``mapInArrow`` of a function from one (bounded) batch to a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -98,6 +108,7 @@ def mapped(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | None], schem
             for part in slices(batch, text) if text else (batch,):
                 if part.num_rows and (cols := kernel(part)) is not None:
                     yield pa.RecordBatch.from_arrays([_array(cols[f.name], f.type) for f in target], schema=target)
+        released()
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, table, utf8
+from .common import mapped, released, slices, table, utf8
 from .kernels import LOWER, words
 
 BUCKETS = 1 << 15
@@ -60,6 +60,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+        released()
 
     counted = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n bigint")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))

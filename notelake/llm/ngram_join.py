@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, mapped, partitions, slices, stage, table, utf8
+from .common import components, dropped, mapped, partitions, released, slices, stage, table, utf8
 from .filters import passed
 from .kernels import LOWER, ODD, U, mix, word_hashes, words
 
@@ -139,6 +139,7 @@ def sets(docs: DataFrame) -> DataFrame:
         if counter.any():
             blobs = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in counter.reshape(CELL_BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(blobs), pa.int64()), pa.array(np.arange(len(blobs))), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "class", "cells"])
+        released()
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, class bigint, cells binary")
 
@@ -201,10 +202,11 @@ def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
                         held.append((first, np.full(most, p, np.uint64), np.full(most, len(mine), np.uint32)))
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if sum(len(x[0]) for x in held) > 1_000_000:
+                if sum(len(x[0]) for x in held) > 400_000:
                     yield flush()
         if held:
             yield flush()
+        released()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x.as_buffer() for b in batches for x in b.column("blob")]
@@ -238,6 +240,7 @@ def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
                 rows = []
         if rows:
             yield emit(rows)
+        released()
 
     def emit(rows: list) -> pa.RecordBatch:
         key, chunk, times, leaders, members = zip(*rows, strict=True)
@@ -260,7 +263,7 @@ def points(docs: DataFrame, wanted: DataFrame, first: DataFrame, label: str) ->
         mine = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return {"doc_id": batch.column("doc_id"), "class": print_.view(np.int64), "n": np.diff(bounds), "value": [x.tobytes() if whole else group_counts(x) for x in mine]}
 
-    read = mapped(passed(docs, named), kernel, "doc_id bigint, class bigint, n bigint, value binary", "text")
+    read = passed(docs, named, kernel, "doc_id bigint, class bigint, n bigint, value binary")
     out = stage(read.join(named.select("class", "doc_id"), ["class", "doc_id"], "left_semi").drop("doc_id").dropDuplicates(["class"]), label)
     dropped(named)
     return out

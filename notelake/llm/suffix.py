@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import dropped, mapped, partitions, slices, stage, table, utf8
+from .common import dropped, mapped, partitions, released, slices, stage, table, utf8
 from .filters import passed
 from .kernels import U, gram_hashes, mix, word_hashes, words
 
@@ -169,6 +169,7 @@ def sorted_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (gap[1:] != gap[:-1]) | (s[1:] > s[:-1] + 1)]))
     last = np.append(new[1:], len(d)) - 1
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[new], s[new], s[last], f[new], gap[new])], ["doc_id", "low", "high", "source", "distance"])
+    released()
 
 
 def joined(matches: DataFrame) -> DataFrame:
@@ -225,7 +226,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline stage: spans that repeat an earlier place are cut from the texts (n_chars follows); documents of which no word is left go. Other columns stay."""
-    spans = repeats(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("cut"))
+    name = "_" * (1 + max(map(len, docs.columns))) + "cut"  # no column of the documents is called so
+    spans = repeats(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(name))
     rows = docs.join(spans, "doc_id", "left")
     names = docs.columns
     schema = StructType([f for f in rows.schema if f.name in names])
@@ -233,7 +235,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> dict:
         texts, keep = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
-        for i, cut in enumerate(batch.column("cut").to_pylist()):
+        for i, cut in enumerate(batch.column(name).to_pylist()):
             if cut:
                 raw = texts[i].encode()
                 starts, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
