@@ -96,6 +96,25 @@ def embed(rows: DataFrame, provider: EmbeddingProvider, parallelism: int | None
     return rows.mapInPandas(run, "path string, content_hash string, embedding array<float>, token_count int")
 
 
+def chat(requests: DataFrame, provider: ChatProvider, key: str) -> DataFrame:
+    """(key, response, error) of requests(key, system, messages): one call a row, with retries; a failed call is a message, not a failed query."""
+    ship(requests.sparkSession)
+    kind = dict(requests.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                said = [{"role": "system", "content": r.system}] * bool(r.system) + [{"role": m["role"], "content": m["content"]} for m in r.messages]
+                try:
+                    out.append((with_retries(lambda m=said: provider.chat(m)), None))
+                except Exception as e:
+                    out.append((None, mapped_error(getattr(e, "status", None))))
+            yield pd.DataFrame({key: f[key].values, "response": [a for a, _ in out], "error": [b for _, b in out]})
+
+    return requests.select(key, "system", "messages").mapInPandas(run, f"{key} {kind}, response string, error string")
+
+
 def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, "provider string, model string, dims int, usd_per_mtok double")
 

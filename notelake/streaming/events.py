@@ -77,10 +77,11 @@ def rate_stream(requests: DataFrame, key: str, ts: str = "ts", seconds: int = 60
     return requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds", f"{slide} seconds"), key).agg(F.count("*").alias("requests"))
 
 
-def upsert_each_batch(write):
-    """A ``foreachBatch`` function that hands each batch, one row per key (the latest), to ``write(df, epoch)``."""
+def upsert_each_batch(write, key: str, order: str):
+    """A ``foreachBatch`` function that hands the latest row of each key of a batch to ``write(df, epoch)``; a replayed batch gives the same rows."""
 
     def run(df: DataFrame, epoch: int) -> None:
-        write(df, epoch)
+        latest = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("_x"))
+        write(latest.select(key, "_x.*"), epoch)
 
     return run

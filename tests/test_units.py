@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from notelake.functions import globs, json, markdown, scores, text
 from notelake.operators import cache, clusters, documents, linkgraph, review, rollups
 from notelake.operators.search import top_k
-from notelake.plans import providers, relevance
+from notelake.plans import prompts, providers, relevance
 from notelake.sources import notes as notes_source
 from notelake.streaming import events
 
@@ -173,6 +173,27 @@ def test_retries():
     assert not providers.retryable(Status(401)) and providers.retryable(Status(503)) and providers.retryable(Exception("Network down"))
 
 
+def test_chat(spark):
+    class Echo:
+        def chat(self, messages):
+            if messages[-1]["content"] == "fail":
+                raise ValueError("no")
+            return "|".join(f"{m['role']}:{m['content']}" for m in messages)
+
+    m = spark.createDataFrame([(1, 0, "system", "be"), (1, 2, "user", "hi"), (1, 1, "system", "kind"), (2, 0, "user", "fail")], "conversation_id int, seq int, role string, content string")
+    bodies = prompts.request_bodies(m)
+    assert bodies.where("conversation_id = 1").first().max_tokens == prompts.MOST_TOKENS
+    got = {r.conversation_id: (r.response, r.error) for r in providers.chat(bodies, Echo(), "conversation_id").collect()}
+    assert got == {1: ("system:be\n\nkind|user:hi", None), 2: (None, "request failed")}
+
+
+def test_upserts_of_a_batch(spark):
+    seen = []
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, t int, v string")
+    events.upsert_each_batch(lambda d, e: seen.extend(sorted(map(tuple, d.collect()))), "k", "t")(df, 0)
+    assert seen == [("a", 2, "y"), ("b", 1, "z")]
+
+
 def test_link_resolution(spark):
     notes = spark.createDataFrame([(0, "x/A.md", "[[A]] [[x/A]] [[B|b]] [[gone]]"), (1, "A.md", "[[y/B.md]]"), (2, "y/B.md", "")], "seq int, path string, content string")
     got = {(r.source, r.target): r.n for r in linkgraph.resolved(notes).collect()}
