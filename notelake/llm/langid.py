@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, released, slices, table, utf8
+from .common import mapped, released, slices, stage, table, utf8
 from .kernels import LOWER, words
 
 BUCKETS = 1 << 15
@@ -149,5 +149,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Pipeline stage: documents whose language is known and holds at least ``least`` of the text stay, with all their columns; mixed texts are not
     unclean, so the share is low. Rows with a null doc_id go, as no decision can name them."""
     langs, logp = fit(docs.where(f"not coalesce({HELD}, false)"))
-    good = predict(docs, langs, logp).where(F.col("lang_pred") != "und").where(F.col("score") >= least).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    bad = predict(docs, langs, logp).where((F.col("lang_pred") == "und") | (F.col("score") < least)).where("doc_id is not null").select("doc_id").distinct()
+    # rejected ids are few as a rule: written first, their size is known, and texts stay where they are if it is small
+    return docs.where("doc_id is not null").join(stage(bad, "rejected"), "doc_id", "left_anti")
