@@ -208,7 +208,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = stage(outlines(docs), "outlines")
     classes = stage(every.where(f"n_words >= {LENGTH}").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("places", "doc_id").alias("places")), "classes")
     anchors = classes.select(F.col("first_id").alias("doc_id"), F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
-    often = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written first, so that both sides of the join are plain shuffles, of which adaptive execution can split a hot key
+    often = stage(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
     named = anchors.join(often, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("n") > HOT).alias("hot")))).alias("x"))
     named = stage(named.select("doc_id", F.col("x.place").alias("places"), F.col("x.hot").alias("hot")), "named")
     cut = stage(suffixes(passed(docs, named).join(named, "doc_id").select("doc_id", "text", "places", "hot")), "suffixes")
@@ -217,7 +218,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     least = boiling.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = boiling.join(least, "key").where("doc_id != f.doc_id or place != f.place").select("doc_id", F.col("place").alias("low"), F.col("place").alias("high"), F.col("f.doc_id").alias("source"), (F.col("place") - F.col("f.place")).alias("distance"))
     found = stage(joined(plain.unionAll(late)), "matches")
-    dropped(named, cut)
+    dropped(often, named, cut)
     copies = every.select("doc_id", "class", "n_words").distinct().join(classes.select("class", "first_id"), "class").where("doc_id != first_id")
     columns = ["doc_id", "low", "high", "source", "distance"]
     both = found.select(columns).unionAll(for_copies(copies, found).select(columns))
