@@ -2,9 +2,9 @@
 
 Codebooks of the two halves of unit vectors, fitted apart by k-means, make a grid of cells; every vector lies in one. Two vectors of cosine >= t are at most
 sqrt(2 - 2t) apart, and how far a vector is from a half's Voronoi cell is bounded below by its distance to the walls, so a vector visits cells in
-order of the sum of both halves' squared bounds (multi-sequence traversal with a heap). Stopping at 2 - 2t would prove recall 1, but a displacement hardly
-ever points straight at a wall, so the traversal stops at ``reach`` of that: by default a quarter, where vectors at cosine 0.98 in random directions
-were all found in measurements (see the README); reach=1 is the proof. Visited cells are verified exactly.
+order of the sum of both halves' squared bounds (multi-sequence traversal with a heap). It stops at 2 - 2t, beyond which no cell can hold a linked vector, so
+every pair is found (``reach`` < 1 would stop sooner and miss pairs across walls). Visited cells are verified exactly. Cells are large, and their visitors come in
+rounds of about VISITS cells a vector, so that disk stays bounded where bounds are weak.
 
 Dense cells: vectors within half the threshold angle of a pivot (from the cell's most frequent sign pattern) form a ball, all of whose pairs link. A visitor whose angle
 to the pivot settles the whole ball needs its size only, so a hot group of near copies costs one comparison a vector. Everything else is compared in blocks of
@@ -16,8 +16,10 @@ Repeated vec_ids count as one vector (the first by content). A null vec_id is le
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,12 @@ from .common import components, dropped, mapped, stage, table
 THRESHOLD = 0.98
 #: Vectors on which codebooks are fitted, chosen by hash.
 SAMPLE = 4096
-#: Vectors a cell should hold, about, and centroids a half at most (their walls take K x K numbers).
+#: Vectors of the largest label that a cell should hold, about, and centroids a half at most (their walls take K x K numbers).
 PER_CELL, MOST_CENTROIDS = 2048, 256
-#: Share of the squared threshold distance at which the traversal stops.
-REACH = 0.25
+#: Share of the squared threshold distance at which the traversal stops: all of it, which proves recall 1.
+REACH = 1.0
+#: Cells a vector visits in one round, on average.
+VISITS = 4
 BLOCK = 2048
 PATTERN_BITS = 24
 
@@ -73,7 +77,7 @@ class Grid:
         for d, walls in self.halves(x):
             best = np.zeros_like(d)
             for a in range(d.shape[1]):
-                np.maximum(best, (d - d[:, a : a + 1]) / (2 * walls[a][None]), out=best)
+                np.maximum(best, (d - d[:, a : a + 1] - 1e-12) / (2 * walls[a][None]), out=best)  # rounding must not lift bounds between centroids that nearly coincide
             out.append(np.maximum(best - 1e-9, 0) ** 2)
         return out
 
@@ -96,6 +100,8 @@ def traverse(low1: np.ndarray, low2: np.ndarray, most: float) -> list[tuple[int,
 
 def forest(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, least id of its component) of the bipartite graph of a matrix of links between ids."""
+    some_r, some_c = linked.any(1), linked.any(0)
+    linked, rows, cols = linked[some_r][:, some_c], rows[some_r], cols[some_c]
     lab_r = np.where(linked.any(1), rows, np.iinfo(np.int64).max)
     lab_c = np.where(linked.any(0), cols, np.iinfo(np.int64).max)
     far = np.iinfo(np.int64).max
@@ -124,7 +130,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
     untouched = every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if common is None:
         return untouched
-    dim, count = common["d"], common["count"]
+    dim = common["d"]
     ids = sound.where(F.size("e") == dim).groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e")
     code = F.xxhash64(F.col("label").cast("string")).alias("label")
 
@@ -136,7 +142,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
 
     rows = stage(mapped(ids.select("vec_id", code, "e"), unit, "vec_id bigint, label bigint, v binary"), "unit")
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    k = 1 << max(2, min(MOST_CENTROIDS.bit_length() - 1, round(math.log2(max(1, count) / PER_CELL) / 2)))
+    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+    k = 1 << max(0, min(MOST_CENTROIDS.bit_length() - 1, round(math.log2(largest / PER_CELL) / 2)))
     grid = Grid(_unit(some) if dim > 1 else np.hstack([_unit(some), np.zeros((some.num_rows, 1))]), k)
     rng = np.random.default_rng(11)
     planes = rng.standard_normal((dim, PATTERN_BITS))
@@ -173,6 +180,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
     within = F.col("angle") <= angle / 2 - 1e-6
     balls = around.where(within).groupBy("label", "cell").agg(F.count("*").alias("size"), F.max("angle").alias("radius"), F.min("vec_id").alias("least"), F.first("p").alias("p"))
     visits = mapped(rows, visit, "vec_id bigint, label bigint, cell int, v binary")
+    tried = [len(traverse(a, b, apart)) for a, b in zip(*grid.bounds(wide(_unit(some))), strict=True)]
+    rounds = max(1, math.ceil(np.mean(tried) / VISITS - 0.05))
 
     def weigh(batch: pa.RecordBatch) -> dict:
         has = np.asarray(batch.column("p").is_valid())
@@ -182,21 +191,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
             cos[has] = np.einsum("ij,ij->i", _unit(part), _unit(part, "p"))
         return {n: batch.column(n) for n in ("vec_id", "label", "cell", "v", "size", "radius", "least")} | {"angle": np.arccos(np.clip(cos, -1, 1))}
 
-    weighed = mapped(visits.join(balls, ["label", "cell"], "left").select("vec_id", "label", "cell", "v", "p", "size", "radius", "least"), weigh, "vec_id bigint, label bigint, cell int, v binary, size bigint, radius double, least bigint, angle double")
-    all_of = F.col("angle") + F.col("radius") <= angle - 1e-7
-    some_of = ~all_of & (F.col("angle") - F.col("radius") <= angle + 1e-7)
-    weighed = stage(weighed.select("vec_id", "label", "cell", "v", "least", F.when(all_of, F.col("size")).alias("all"), F.coalesce(some_of, F.lit(False)).alias("some")), "weighed")
     inside = around.where(within).select("vec_id", F.lit(1).alias("own"))
-    whole = weighed.where("all is not null").select("vec_id", F.col("least").alias("other"), F.col("all").alias("n"))
     itself = inside.select("vec_id", F.col("vec_id").alias("other"), F.lit(-1).cast("bigint").alias("n"))
 
-    seek = weighed.select("vec_id", "label", "cell", "v", F.explode(F.when(F.col("some"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
-    kept = around.select("vec_id", "label", "cell", "v", within.cast("int").alias("part"))
-    key = ["label", "cell", "part"]
-    sizes = kept.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).join(seek.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("np")), key)
-    members = kept.join(sizes, key).select(*key, "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("nm")).cast("int").alias("bm"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("bp"), F.lit(True).alias("member"))
-    seekers = seek.join(sizes, key).select(*key, "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("bm"), F.pmod(F.xxhash64("vec_id"), F.col("np")).cast("int").alias("bp"), F.lit(False).alias("member"))
-
     def compare(t: pa.Table) -> pa.Table:
         member = t.column("member").to_numpy()
         x, ids = _unit(t), t.column("vec_id").to_numpy()
@@ -207,9 +204,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
         some = n > 0
         return pa.table({"vec_id": pa.array(np.concatenate([a[some], u])), "other": pa.array(np.concatenate([a[some], v])), "n": pa.array(np.concatenate([n[some], np.zeros(len(u), np.int64)]))})
 
-    found = members.unionByName(seekers).groupBy(*key, "bm", "bp").applyInArrow(compare, "vec_id bigint, other bigint, n bigint")
-    found = stage(found.unionByName(whole).unionByName(itself), "found")
-    dropped(indexed, around, weighed)
+    def compared(at: int) -> DataFrame:
+        """Links of all vectors with those cells that are visited in round ``at``."""
+        turn = F.pmod(F.xxhash64("cell"), F.lit(rounds)) == at
+        weighed = mapped(visits.where(turn).join(balls, ["label", "cell"], "left").select("vec_id", "label", "cell", "v", "p", "size", "radius", "least"), weigh, "vec_id bigint, label bigint, cell int, v binary, size bigint, radius double, least bigint, angle double")
+        all_of = F.col("angle") + F.col("radius") <= angle - 1e-7
+        some_of = ~all_of & (F.col("angle") - F.col("radius") <= angle + 1e-7)
+        weighed = stage(weighed.select("vec_id", "label", "cell", "v", "least", F.when(all_of, F.col("size")).alias("all"), F.coalesce(some_of, F.lit(False)).alias("some")), "weighed")
+        whole = weighed.where("all is not null").select("vec_id", F.col("least").alias("other"), F.col("all").alias("n"))
+        seek = weighed.select("vec_id", "label", "cell", "v", F.explode(F.when(F.col("some"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
+        kept = around.where(turn).select("vec_id", "label", "cell", "v", within.cast("int").alias("part"))
+        key = ["label", "cell", "part"]
+        sizes = kept.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).join(seek.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("np")), key)
+        members = kept.join(sizes, key).select(*key, "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("nm")).cast("int").alias("bm"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("bp"), F.lit(True).alias("member"))
+        seekers = seek.join(sizes, key).select(*key, "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("bm"), F.pmod(F.xxhash64("vec_id"), F.col("np")).cast("int").alias("bp"), F.lit(False).alias("member"))
+        found = members.unionByName(seekers).groupBy(*key, "bm", "bp").applyInArrow(compare, "vec_id bigint, other bigint, n bigint")
+        found = stage(found.unionByName(whole), "found")
+        dropped(weighed)
+        return found
+
+    each = []
+    for at in range(rounds):
+        each.append(compared(at))
+        if rounds > 1:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # lets go of the round's shuffle files
+    found = stage(reduce(DataFrame.unionByName, each, itself), "found")
+    dropped(indexed, around, *each)
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     group = components(found.where("vec_id != other").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))).toDF("vec_id", "component_id")
     out = every.select("vec_id").join(links, "vec_id", "left").join(group, "vec_id", "left")

@@ -261,6 +261,31 @@ def test_traversal_recall():
     assert np.mean(found) >= 0.999
 
 
+def brute_links(x, label):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    return linked, roots(range(len(x)), zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True))
+
+
+@pytest.mark.parametrize("visits", [4, 1])
+def test_pairs_across_walls_are_found_by_default(spark, monkeypatch, visits):
+    monkeypatch.setattr(vectors, "PER_CELL", 16)
+    monkeypatch.setattr(vectors, "VISITS", visits, raising=False)  # 1: several rounds
+    rng = np.random.default_rng(6)
+    x, label = rng.standard_normal((600, 4)), rng.integers(0, 2, 600)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")).collect()}
+    linked, want = brute_links(x, label)
+    assert got == {i: (int(linked[i].sum()), want[i]) for i in range(600)}
+
+
+def test_rounding_between_nearly_equal_centroids_hides_no_cell():
+    x = np.tile(np.random.default_rng(3).standard_normal(8), (4, 1))
+    g = vectors.Grid(x, 1)
+    g.books = [np.vstack([b, b * (1 + 1e-15)]) for b in g.books]
+    g.between = [np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-300)) for c in g.books]
+    assert all((low == 0).all() for low in g.bounds(x))
+
+
 def test_tool_calls(spark):
     calls = [("c", 0, "1", None, "search", '{"limit":1,"query":"q"}'), ("c", 1, "2", "1", "search", '{"query":2}'), ("c", 2, "3", "2", "nope", "{}"), ("c", 3, "4", "gone", "search", "[1]"), ("c", 4, "5", "6", "search", "{"), ("c", 5, "6", "5", "search", None), ("c", 6, "1", None, "search", "{}"), ("c", 7, None, None, None, None)]
     results = [("c", 1, "1", "ok"), ("c", 2, "1", "again"), ("c", 3, "9", "lost"), ("c", 4, None, None)]
