@@ -37,14 +37,18 @@ ORDINARY = re.compile(r"[\t\n\r\x20-\x7e¡-ſ‐-‧‰-›€]*\Z")
 
 
 class Ids:
-    """Token ids as bytes. Ordinary texts are split into pre-tokens, whose ids come from a bounded table; others go to the tokenizer whole."""
+    """Token ids as bytes. Ordinary texts are split into pre-tokens, whose ids come from a bounded table; others, and those that hold an added token's content, go to the tokenizer whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
+        """``literal`` reads the content of special tokens as any other text; the library's default, and the operator's, is their ids."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.tokenizer.model._resize_cache(0)  # pre-tokens are kept here
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Finds added tokens, which the tokenizer takes out of a text before it splits the rest.
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: byte-level vocabularies write a byte as a character.
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -58,6 +62,8 @@ class Ids:
         """Ids of new pre-tokens. Those that are a space and letters stay apart when written in a row, so they go to the tokenizer many at a time."""
         plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
         rows = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        apart = [w for row in rows if self.added.search("".join(row)) for w in row]
+        rows = [row for row in rows if not self.added.search("".join(row))]
         for row, got in zip(rows, self.tokenizer.encode_batch_fast(list(map("".join, rows)), add_special_tokens=False) if rows else [], strict=True):
             ids = np.array(got.ids)
             upto, ends = np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in row])
@@ -66,7 +72,7 @@ class Ids:
                 raise ValueError("the tokenizer splits words unlike its pattern")
             raw, cut = ids.astype("<u4").tobytes(), [0, *(4 * (at + 1)).tolist()]
             self.seen.update(zip(row, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
-        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())] + apart
         self.seen.update(zip(other, self._encode(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -75,7 +81,7 @@ class Ids:
             seen = self.seen = {w: b for w, b in seen.items() if len(b) <= 8}
             if len(seen) > KEPT_WORDS // 2:
                 seen.clear()
-        split = [PRETOKEN.findall(x) if ORDINARY.match(x) else None for x in texts]
+        split = [PRETOKEN.findall(x) if ORDINARY.match(x) and not self.added.search(x) else None for x in texts]
         met: set[str] = set()
         met.update(*filter(None, split))
         self._learn([w for w in met if w not in seen])
@@ -84,11 +90,11 @@ class Ids:
 
 
 @lru_cache(4)
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, literal: bool = True) -> Ids:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Ids(path)
+    return Ids(path, literal)
 
 
 def default_tokenizer() -> str:
@@ -104,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """Pieces of all documents; ``rank`` counts the pieces of one length within the task ``part``. To be staged at once, as ranks belong to one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part = ids_of(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
+        codec, part = ids_of(tokenizer or default_tokenizer(), literal=False), TaskContext.get().partitionId()
         met, end = np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for sub in slices(batch, "text"):

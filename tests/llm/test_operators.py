@@ -348,6 +348,16 @@ def test_token_ids_equal_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_in_texts_are_those_of_an_untouched_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "é\u0301 <|endoftext|> \u4e2d", "a <|endoftext| > b", " one two three", ""]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    ids = [[*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for x in texts]
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_packing(spark, folder):
     d = folder(documents=odd_documents())
     got = QUERIES["op10_best_fit_packing"](spark, d).collect()
