@@ -30,9 +30,9 @@ class Draft:
 
 
 def prepared(notes: DataFrame, limit: int = 8191) -> DataFrame:
-    """(path, content, text, content_hash, estimated_tokens, was_truncated)."""
+    """(path, content, text, content_hash, estimated_tokens, was_truncated); the hash is the original content's, so that every edit counts."""
     rows = notes.select("path", "content", truncate(prepare(F.col("content")), limit).alias("text"))
-    return rows.select("*", content_hash(F.col("text")).alias("content_hash"), estimate_tokens(F.col("text")).alias("estimated_tokens"), was_truncated(F.col("text")).alias("was_truncated"))
+    return rows.select("*", content_hash(F.col("content")).alias("content_hash"), estimate_tokens(F.col("text")).alias("estimated_tokens"), was_truncated(F.col("text")).alias("was_truncated"))
 
 
 def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider) -> DataFrame:

@@ -156,6 +156,17 @@ def test_cold_and_warm_runs_agree(spark):
     assert a == b and {r.path for r in a} == {"a.md", "b.md"}
 
 
+def test_edits_outside_the_prepared_text_are_misses(spark):
+    long = "word " * 9000
+    old = [("code.md", "a\n```\nx = 1\n```\nb"), ("front.md", "---\ntitle: a\n---\nb"), ("image.md", "a ![p](one.png) b"), ("tail.md", long + "one"), ("same.md", "a b")]
+    new = [("code.md", "a\n```\nx = 2\n```\nb"), ("front.md", "---\ntitle: c\n---\nb"), ("image.md", "a ![p](two.png) b"), ("tail.md", long + "two"), ("same.md", "a b")]
+    of = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    p = providers.OfflineEmbeddings(8)
+    cold = relevance.embedded(of(old), spark.createDataFrame([], "path string, content_hash string, embedding array<float>"), p)
+    held = spark.createDataFrame(cold.select("path", "content_hash", "embedding").collect(), "path string, content_hash string, embedding array<float>")
+    assert {r.path: r.from_cache for r in relevance.embedded(of(new), held, p).collect()} == {"code.md": False, "front.md": False, "image.md": False, "tail.md": False, "same.md": True}
+
+
 def test_retries():
     class Status(Exception):
         def __init__(self, status):
