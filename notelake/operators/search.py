@@ -1,21 +1,36 @@
-"""Exact vector search: the query side is small and stated, the other side is scanned once."""
+"""Exact vector search: the query side is stated and goes in blocks, the other side is scanned once for each."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import dot
 
-#: Queries that may be broadcast against all vectors in one call.
+#: Queries that are broadcast against all vectors at once.
 MOST_QUERIES = 10_000
 
 
+def blocks(queries: DataFrame, query_id: str = "query_id") -> list[DataFrame]:
+    """The queries in disjoint parts of at most MOST_QUERIES rows: by hash, and by rank within a hash that has more."""
+    queries = queries.select(query_id, "query")
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        return [queries]
+    dealt = queries.withColumn("_hash", F.pmod(F.xxhash64(query_id, "query"), F.lit(math.ceil(n / (0.9 * MOST_QUERIES)))))
+    rank = F.row_number().over(Window.partitionBy("_hash").orderBy(query_id, "query"))
+    dealt = dealt.withColumn("_part", F.floor((rank - 1) / MOST_QUERIES))
+    parts = dealt.select("_hash", "_part").distinct().collect()  # about one row a block
+    return [dealt.where((F.col("_hash") == h) & (F.col("_part") == p)).select(query_id, "query") for h, p in sorted(parts)]
+
+
 def similarities(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, similarity) of every query with every vector; queries(query_id, query) are counted before they are broadcast."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: split them into blocks")
-    return vectors.crossJoin(F.broadcast(queries.select(query_id, "query"))).select(query_id, *[c for c in vectors.columns if c not in (query_id, "embedding")], dot(F.col("embedding"), F.col("query")).alias("similarity"))
+    """(query_id, id, similarity) of every query with every vector; queries(query_id, query) are broadcast in blocks, each of which scans the vectors once."""
+    rest, value = [c for c in vectors.columns if c not in (query_id, "embedding")], dot(F.col("embedding"), F.col("query")).alias("similarity")
+    return reduce(DataFrame.unionAll, [vectors.crossJoin(F.broadcast(q)).select(query_id, *rest, value) for q in blocks(queries, query_id)])
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id") -> DataFrame:

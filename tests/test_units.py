@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from notelake.functions import globs, json, markdown, scores, text
-from notelake.operators import cache, clusters, documents, linkgraph, review, rollups
+from notelake.operators import cache, clusters, documents, linkgraph, review, rollups, search
 from notelake.operators.search import top_k
 from notelake.plans import prompts, providers, relevance
 from notelake.sources import notes as notes_source
@@ -87,6 +87,17 @@ def test_top_k(spark):
     assert top_k(e, [1.0, 0.0], 0).count() == 0
 
 
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    v = [(i, [float(i % 7), float(i % 5)], i % 2) for i in range(40)]
+    e = spark.createDataFrame(v, "vec_id long, embedding array<double>, label int")
+    q = spark.createDataFrame([(i, x) for i, x, _ in v] + [(3, v[3][1])] * 20, "query_id long, query array<double>")
+    whole, best = (sorted(map(tuple, search.similarities(e.drop("label"), q).collect())), sorted(map(tuple, search.top_k_each(e, q.distinct(), 3, ["label"]).collect())))
+    monkeypatch.setattr(search, "MOST_QUERIES", 7)
+    assert all(b.count() <= 7 for b in search.blocks(q)) and len(search.blocks(q)) > 8
+    assert sorted(map(tuple, search.similarities(e.drop("label"), q).collect())) == whole and len(whole) == 60 * 40
+    assert sorted(map(tuple, search.top_k_each(e, q.distinct(), 3, ["label"]).collect())) == best
+
+
 @pytest.mark.parametrize(
     "glob,path,want",
     [
