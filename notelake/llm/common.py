@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,16 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows handed to Python at once: texts are long, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes handed to Python at once: texts are long, so far fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with this package on its workers and, unless set otherwise, batches of BATCH_ROWS rows for Python."""
+    """The session with this package on its workers and, unless set otherwise, batches of BATCH_ROWS rows and BATCH_BYTES (one row at least) for Python."""
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -34,13 +37,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="notelake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="notelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that all executors and the driver share: ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was given.
+
+    Where neither is set, a temporary folder of this process for a local master, whose executors share its disk; on a cluster an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("staged tables need a folder that the driver and all executors share: set spark.checkpoint.dir when the application starts")
+    return _local_dir()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -68,9 +80,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 3 << 18) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with at most ``most`` bytes of text each (one row at least), so that kernels need bounded memory."""
+    """Pieces of a batch with at most ``most`` bytes of text (or of 64-bit numbers, for lists) each, one row at least, so that kernels need bounded memory."""
     texts = batch.column(column)
-    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    length = pc.multiply(pc.list_value_length(texts), 8) if pa.types.is_list(texts.type) else pc.binary_length(texts)
+    size = np.asarray(pc.fill_null(length, 0), dtype=np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
@@ -92,6 +105,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def released() -> None:
     """Give a worker's freed memory back to the system at the end of a task; workers live on between tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -120,11 +134,10 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 
 def components(edges: DataFrame, label: str = "cc", most: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs, a != b) as ``(id, component)`` with the smallest id as component; alternating large-star and small-star.
+    """Connected components of ``edges(a, b)`` (longs, a != b) as a staged table ``(id, component)`` with the smallest id as component; alternating large-star and small-star.
 
     Each round is two grouped minima with map-side combine and two joins that AQE can split, so a hub of any degree is dealt out; rounds end when
-    the edge set stands still (O(log^2 n) at worst). Only counts reach the driver. Nodes without edges do not appear.
-    """
+    the edge set stands still (O(log^2 n) at worst). Only counts reach the driver. Nodes without edges do not appear."""
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     before = _print(now)
     for _ in range(most):
@@ -144,7 +157,9 @@ def components(edges: DataFrame, label: str = "cc", most: int = 60) -> DataFrame
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct())
+    out = stage(stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct()), label)
+    dropped(now)
+    return out
 
 
 def _print(edges: DataFrame) -> tuple:
