@@ -10,8 +10,10 @@ Dense cells: vectors within half the threshold angle of a pivot (from the cell's
 to the pivot settles the whole ball needs its size only, so a hot group of near copies costs one comparison a vector. Everything else is compared in blocks of
 bounded size with matrix products. Blocks return counts and a spanning forest of their links, never all pairs.
 
-Vectors link only when labels are equal and not null. Vectors that are null, zero, of another dimension than most, or hold null or non-finite components link with nothing.
-Repeated vec_ids count as one vector (the first by content). A null vec_id is left alone: 0 links.
+Vectors link only when labels are equal and not null, and only with vectors of their own dimension: dimensions share an index with those up to the next power of two, filled with zeros. Vectors
+that are null, zero, or hold null or non-finite components link with nothing. Rows that repeat a vec_id, label and vector are one vector; rows that repeat a vec_id with other content are vectors
+of their own under one name: each has its links (those between them count too), and components are of names. A null vec_id is left alone: 0 links. Other columns
+of the input are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, dropped, mapped, stage, table
 
 THRESHOLD = 0.98
-#: Vectors on which codebooks are fitted, chosen by hash.
-SAMPLE = 4096
-#: Vectors of the largest label that a cell should hold, about, and centroids a half at most (their walls take K x K numbers).
-PER_CELL, MOST_CENTROIDS = 2048, 256
+#: Vectors on which codebooks are fitted, chosen by hash: so many, or SAMPLE_EACH a centroid.
+SAMPLE, SAMPLE_EACH = 4096, 16
+#: Vectors of the largest label that a cell should hold, about, and centroids a half at most (their walls take K x K numbers); cells that hold more are compared in more blocks.
+PER_CELL, MOST_CENTROIDS = 2048, 1024
 #: Share of the squared threshold distance at which the traversal stops: all of it, which proves recall 1.
 REACH = 1.0
 #: Cells a vector visits in one round, on average.
@@ -123,27 +126,60 @@ def _unit(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors(vec_id, embedding, label)``."""
-    spark = vectors.sparkSession
-    every = vectors.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<double>) e", "label")
-    sound = every.where("vec_id is not null and label is not null and e is not null and size(e) > 0").where("forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x != 0)")
-    common = sound.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    untouched = every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return untouched
-    dim = common["d"]
-    ids = sound.where(F.size("e") == dim).groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e")
-    code = F.xxhash64(F.col("label").cast("string")).alias("label")
+    every = vectors.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<double>) e", "label").withColumn("print", F.xxhash64("label", "e"))
+    sane = "vec_id is not null and label is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x != 0)"
+    every = every.withColumn("sane", F.coalesce(F.expr(sane), F.lit(False)))
+    sound = every.where("sane")
+    # a vector's number is its vec_id, but for those of a name's vectors behind the first
+    prints = sound.groupBy("vec_id").agg(F.count("*").alias("rows"), F.min("print").alias("first"), F.max("print").alias("last")).where("rows > 1")
+    repeated = stage(prints.select("vec_id", "first", (F.col("first") != F.col("last")).alias("differ")), "repeated")
+    several = bool(repeated.where("differ").head(1))
+    number = F.when(F.col("differ") & (F.col("print") != F.col("first")), F.xxhash64("vec_id", "print", F.lit(8))).otherwise(F.col("vec_id"))
+    if repeated.head(1):
+        with_first = sound.join(repeated, "vec_id", "left")
+        again = with_first.where("first is not null").dropDuplicates(["vec_id", "print"])
+        ids = with_first.where("first is null").unionByName(again).select(number.alias("id"), "vec_id", "e", "label")
+    else:
+        ids = sound.select(F.col("vec_id").alias("id"), "vec_id", "e", "label")
+    width = F.expr("cast(power(2, ceil(log2(size(e)))) as int)")
+    widths = sorted(r[0] for r in sound.select(width.alias("w")).distinct().collect())  # 32 at most
+    each = [linked_in(ids.where(width == w), w, threshold, reach) for w in widths]
+    if not each:
+        dropped(repeated)
+        return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = stage(reduce(DataFrame.unionByName, each), "links")
+    dropped(*each)
+    links = found.groupBy(F.col("vec_id").alias("id")).agg(F.sum("n").alias("n_links"))
+    edges = found.where("vec_id != other").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
+    if several:
+        names = stage(ids.where("id != vec_id").select("id", "vec_id"), "names")
+        for end in ("a", "b"):
+            edges = edges.join(names.toDF(end, "name"), end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    links, group = stage(links, "counts"), components(edges)
+    dropped(found)
+    rows = every.join(repeated.where("differ"), "vec_id", "left").withColumn("id", number) if several else every.withColumn("id", F.col("vec_id"))
+    rows = rows.select("vec_id", F.when(F.col("sane"), F.col("id")).alias("id"), F.when(F.col("sane"), F.col("vec_id")).alias("name"))
+    out = rows.join(links, "id", "left").join(group.toDF("name", "component_id"), "name", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def linked_in(ids: DataFrame, dim: int, threshold: float, reach: float) -> DataFrame:
+    """Staged (vec_id, other, n) of ``ids(id, e, label)`` with at most ``dim`` components: rows sum up to a vector's links, and their ids to a forest of the links."""
+    spark = ids.sparkSession
+    code = F.xxhash64(F.col("label").cast("string"), F.size("e")).alias("label")
 
     def unit(batch: pa.RecordBatch) -> dict:
-        x = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1)
+        e, size = batch.column("e"), np.asarray(pc.list_value_length(batch.column("e")), dtype=np.int64)
+        x = np.zeros((batch.num_rows, dim))
+        x[np.arange(dim)[None] < size[:, None]] = e.flatten().to_numpy()
         x = x / np.abs(x).max(1, keepdims=True)
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
-        return {"vec_id": batch.column("vec_id"), "label": batch.column("label"), "v": [r.tobytes() for r in x]}
+        return {"vec_id": batch.column("id"), "label": batch.column("label"), "v": [r.tobytes() for r in x]}
 
-    rows = stage(mapped(ids.select("vec_id", code, "e"), unit, "vec_id bigint, label bigint, v binary"), "unit")
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    rows = stage(mapped(ids.select("id", code, "e"), unit, "vec_id bigint, label bigint, v binary"), "unit")
     largest = rows.groupBy("label").count().agg(F.max("count")).first()[0]
     k = 1 << max(0, min(MOST_CENTROIDS.bit_length() - 1, round(math.log2(largest / PER_CELL) / 2)))
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_EACH * k)).select("v").toArrow()
     grid = Grid(_unit(some) if dim > 1 else np.hstack([_unit(some), np.zeros((some.num_rows, 1))]), k)
     rng = np.random.default_rng(11)
     planes = rng.standard_normal((dim, PATTERN_BITS))
@@ -229,12 +265,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
         if rounds > 1:
             gc.collect()
             spark.sparkContext._jvm.System.gc()  # lets go of the round's shuffle files
-    found = stage(reduce(DataFrame.unionByName, each, itself), "found")
-    dropped(indexed, around, *each)
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    group = components(found.where("vec_id != other").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))).toDF("vec_id", "component_id")
-    out = every.select("vec_id").join(links, "vec_id", "left").join(group, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = stage(reduce(DataFrame.unionByName, each, itself), "found")
+    dropped(rows, indexed, around, *each)
+    return out
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
