@@ -2,12 +2,19 @@
 
 Byte trigrams of labelled documents give smoothed likelihoods per language (counts over all training rows, summed before the shuffle). A document is cut
 into spans of four words; expectation-maximisation estimates the proportions of languages from the spans' likelihoods, first over all languages, then over
-nested sets of the strongest ones, and the set of the best penalised likelihood names the language. Texts that are null or have no letters are ``und``
-with score 0. Ties go to the language that sorts first. Without labelled rows every document is ``und``.
+nested sets of the strongest ones, which grow as long as the penalised likelihood rises. The best set's strongest language names the document; the set with its proportions is given too.
+Texts that are null or have no letters are ``und`` with score 0 and an empty set. Ties go to the language that sorts first. Without labelled rows every document is ``und``.
+
+Memory: likelihoods are summed over stretches of text, so that a document takes 4 bytes a span and language. Where a document's spans times languages pass MOST_CELLS
+(35 MB of text with ten languages), its spans are of as many more words as bring them under it; the whole text counts in either case.
+More than MOST_LANGUAGES labels go in blocks: each block's sets are found over whole texts, and the mixture of a document is inferred again over all blocks' sets.
+
+Rows: one per document in any order, null doc_ids and repeated rows included; empty tables give empty results; other columns play no part.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +27,13 @@ from .common import mapped, released, slices, stage, table, utf8
 from .kernels import LOWER, words
 
 BUCKETS = 1 << 15
-#: The model is broadcast: 128 KB a language, so this many languages at most.
+#: A model is broadcast: 128 KB a language, so this many languages in one block.
 MOST_LANGUAGES = 512
-SPAN_WORDS, ROUNDS, MOST_IN_SET, PENALTY = 4, 8, 3, 4.0
+#: Labels whose names may reach the driver.
+MOST_LABELS = 100_000
+SPAN_WORDS, ROUNDS, PENALTY = 4, 8, 4.0
+#: Spans times languages of a document, and letters times languages whose likelihoods are looked up at once.
+MOST_CELLS, STRETCH_CELLS = 1 << 24, 1 << 21
 CLEAN = LOWER.copy()
 CLEAN[:65] = 32
 CLEAN[91:97] = 32
@@ -33,14 +44,17 @@ HELD = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bucket of the trigram around each byte, letters in lower case and other ASCII as spaces; text edges count as spaces."""
-    clean = CLEAN[data].astype(np.uint32)
-    left, right = np.empty_like(clean), np.empty_like(clean)
-    left[1:], right[:-1] = clean[:-1], clean[1:]
-    if len(clean):
-        left[0] = right[-1] = 32
-        left[offsets[:-1][offsets[:-1] < len(clean)]] = 32
-        right[offsets[1:][offsets[1:] > 0] - 1] = 32
-    return ((left << 16 | clean << 8 | right) * np.uint32(2654435761)) >> np.uint32(17)
+    first, last = offsets[:-1][offsets[:-1] < offsets[1:]], offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    out = np.empty(len(data), np.uint16)
+    for a in range(0, len(data), STRETCH_CELLS):
+        b = min(len(data), a + STRETCH_CELLS)
+        clean = CLEAN[data[max(a - 1, 0) : b + 1]].astype(np.uint32)
+        clean = np.concatenate([[32] * (a == 0), clean, [32] * (b == len(data))]).astype(np.uint32)
+        left, here, right = clean[:-2].copy(), clean[1:-1], clean[2:].copy()
+        left[first[(first >= a) & (first < b)] - a] = 32
+        right[last[(last >= a) & (last < b)] - a] = 32
+        out[a:b] = ((left << 16 | here << 8 | right) * np.uint32(2654435761)) >> np.uint32(17)
+    return out
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
@@ -51,12 +65,16 @@ def language_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column("text"))
-                grams, use = trigrams(data, offsets), CLEAN[data] != 32
                 code = part.column("lang").dictionary_encode()
-                key = np.repeat(code.indices.to_numpy(), np.diff(offsets)).astype(np.int64) * BUCKETS + grams
-                got = np.bincount(key[use], minlength=len(code.dictionary) * BUCKETS).reshape(-1, BUCKETS)
+                of = np.repeat(code.indices.to_numpy().astype(np.int32), np.diff(offsets))
+                grams, kinds = trigrams(data, offsets), len(code.dictionary)
+                got = np.zeros(kinds * BUCKETS, np.int64)
+                for a in range(0, len(data), STRETCH_CELLS):
+                    here = slice(a, a + STRETCH_CELLS)
+                    use = CLEAN[data[here]] != 32
+                    got += np.bincount(of[here][use].astype(np.int64) * BUCKETS + grams[here][use], minlength=len(got))
                 for k, lang in enumerate(code.dictionary.to_pylist()):
-                    total[lang] = total.get(lang, 0) + got[k]
+                    total[lang] = total.get(lang, 0) + got.reshape(-1, BUCKETS)[k]
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
@@ -66,89 +84,212 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and float32 log likelihoods (bucket, language) with add-1/2 smoothing; at most languages x buckets numbers reach the driver."""
-    langs = sorted(r.lang for r in docs.where("text is not null and lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would outgrow its bound")
+def languages(docs: DataFrame) -> list[str]:
+    """The labels of ``docs`` with text, in order: names only, one of each."""
+    found = sorted(r.lang for r in docs.where("text is not null and lang is not null").select("lang").distinct().limit(MOST_LABELS + 1).collect())
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: this is no column of languages")
+    return found
+
+
+def fit(docs: DataFrame, langs: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all, or those given) and float32 log likelihoods (bucket, language) with add-1/2 smoothing; at most languages x buckets numbers reach the driver."""
+    langs = languages(docs) if langs is None else langs
     n = np.full((BUCKETS, len(langs)), 0.5)
-    got = language_counts(docs).toArrow()
+    got = language_counts(docs.join(docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string"), "lang", "left_semi") if langs else docs.limit(0)).toArrow()
     at = {lang: k for k, lang in enumerate(langs)}
     n[got.column("bucket").to_numpy(), np.array([at[x] for x in got.column("lang").to_pylist()], dtype=int)] += got.column("n").to_numpy()
     return langs, np.log(n / n.sum(0)).astype(np.float32) if langs else n.astype(np.float32)
 
 
+def span_scores(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihoods (span, language) of all texts' spans, the texts that have words, and the first span of each of these."""
+    k = logp.shape[1]
+    starts, ends, first = words(np.where(CLEAN[data] == 32, np.uint8(32), data), offsets)
+    n = np.diff(first)
+    have = np.flatnonzero(n)
+    if not k or not len(have):
+        return np.zeros((0, k), np.float32), have[:0], have[:0]
+    size = SPAN_WORDS * -(-(n * k) // (SPAN_WORDS * MOST_CELLS)).clip(min=1)
+    place = np.arange(len(starts)) - np.repeat(first[:-1], n)
+    heads = np.flatnonzero(place % np.repeat(size, n) == 0)
+    letters = np.concatenate([[0], np.cumsum(ends - starts)])
+    grams = trigrams(data, offsets)[CLEAN[data] != 32]  # those around the words' bytes, back to back
+    edge = np.append(letters[heads], letters[-1])
+    out, at = np.empty((len(heads), k), np.float32), 0
+    while at < len(heads):  # whole spans, STRETCH_CELLS at once; a longer one by itself in parts
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + STRETCH_CELLS // k, "right")) - 1)
+        step = max(1, STRETCH_CELLS // k)
+        if to == at + 1:
+            out[at] = sum(logp[grams[a : min(a + step, edge[to])]].sum(0, dtype=np.float64) for a in range(edge[at], edge[to], step))
+        else:
+            out[at:to] = np.add.reduceat(logp[grams[edge[at] : edge[to]]], edge[at:to] - edge[at], axis=0)
+        at = to
+    return out, have, np.searchsorted(heads, first[have])
+
+
 def mixture(chance: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """EM of language proportions per document: chance (span, language), first span of each document, allowed (document, language). Proportions and log likelihood."""
     size = np.diff(np.append(first, len(chance)))
-    owner = np.repeat(np.arange(len(first)), size)
-    share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(rounds):
-        part = chance * share[owner]
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, first) / size[:, None]
-    return share, np.add.reduceat(np.log(np.maximum((chance * share[owner]).sum(1), 1e-30)), first)
+    share = (allowed / allowed.sum(1, keepdims=True)).astype(np.float32)
+    value = np.zeros(len(first))
+    for turn in range(rounds + 1):
+        total = np.zeros(share.shape)
+        for d, a, b in stretches(first, len(chance), chance.shape[1]):
+            part = chance[a[0] : b] * share[d][np.repeat(np.arange(len(d)), np.diff(np.append(a, b)))]
+            all_of = np.maximum(part.sum(1, keepdims=True), 1e-30)
+            if turn < rounds:
+                part /= all_of
+                total[d] += np.add.reduceat(part, a - a[0])
+            else:
+                value[d] += np.add.reduceat(np.log(all_of[:, 0], dtype=np.float64), a - a[0])
+        if turn < rounds:
+            share = (total / size[:, None]).astype(np.float32)
+    return share, value
 
 
-def infer(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the language (-1: none) and its proportion for each text."""
+def stretches(first: np.ndarray, spans: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Documents with the starts of their spans within a stretch, and its end: together all spans, about STRETCH_CELLS / k at once."""
+    step = max(1, STRETCH_CELLS // max(k, 1))
+    for a in range(0, spans, step):
+        b = min(spans, a + step)
+        d = np.arange(int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b, "left")))
+        yield d, np.maximum(first[d], a), b
+
+
+def sets_of(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the chosen set's proportions (0 outside of it), and all languages' proportions; ``score``: log likelihoods (span, language), overwritten."""
+    k = score.shape[1]
+    for a in range(0, len(score), step := max(1, STRETCH_CELLS // max(k, 1))):
+        part = score[a : a + step]
+        np.exp(np.maximum(part - part.max(1, keepdims=True), -60), out=part)
+    n = np.diff(np.append(first, len(score)))
+    every, _ = mixture(score, first, np.ones((len(first), k), np.float32))
+    order = np.argsort(-every, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(k)[None], 1)
+    best, chosen = np.full(len(first), -np.inf), np.zeros((len(first), k), np.float32)
+    open_, m = np.arange(len(first)), 0
+    while len(open_) and m < k:  # only documents whose last set was better grow theirs
+        m += 1
+        spans = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in open_]) if len(open_) < len(first) else slice(None)
+        inside = order[open_, :m] if len(open_) == 1 else None
+        held = score[spans] if inside is None else score[spans][:, np.sort(inside[0])]
+        at = np.cumsum(n[open_]) - n[open_]
+        allowed = (rank[open_] < m).astype(np.float32)
+        share, value = mixture(held, at, allowed if inside is None else np.ones((1, m), np.float32))
+        if inside is not None:
+            wide = np.zeros((1, k), np.float32)
+            wide[0, np.sort(inside[0])] = share[0]
+            share = wide
+        value = value - penalty * 0.5 * (m - 1) * np.log(n[open_] + 1)
+        better = value > best[open_]
+        best[open_[better]], chosen[open_[better]] = value[better], share[better]
+        open_ = open_[better]
+    return chosen, every
+
+
+def infer(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: index of its language (-1: none), that language's proportion, the chosen set's proportions, and the share of the text that the set covers when all languages compete."""
     docs, k = len(offsets) - 1, logp.shape[1]
-    lang, score = np.full(docs, -1), np.zeros(docs)
-    clean = np.where(CLEAN[data] == 32, np.uint8(32), data)
-    starts, ends, first = words(clean, offsets)
-    have = np.flatnonzero(np.diff(first))
-    if not k or not len(have):
-        return lang, score
-    each = np.cumsum(logp[trigrams(data, offsets)], axis=0, dtype=np.float64)
-    each = np.vstack([np.zeros((1, k)), each])
-    word = each[ends] - each[starts]
-    place = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
-    heads = np.flatnonzero(place % SPAN_WORDS == 0)
-    span = np.add.reduceat(word, heads)
-    chance = np.exp(np.maximum(span - span.max(1, keepdims=True), -60)).astype(np.float32)
-    at = np.searchsorted(heads, first[have])
-    n = np.diff(np.append(at, len(heads)))
-    share, _ = mixture(chance, at, np.ones((len(have), k), np.float32))
-    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, pick, weight = np.full(len(have), -np.inf), np.zeros(len(have), int), np.zeros(len(have))
-    for m in range(1, min(MOST_IN_SET, k) + 1):
-        part, value = mixture(chance, at, (rank < m).astype(np.float32))
-        value = value - penalty * 0.5 * (m - 1) * np.log(n + 1)
-        better = value > best
-        best = np.where(better, value, best)
-        pick = np.where(better, part.argmax(1), pick)
-        weight = np.where(better, np.minimum(part.max(1), share[np.arange(len(have)), part.argmax(1)]), weight)
-    lang[have], score[have] = pick, np.clip(weight, 0, 1)
-    return lang, score
-
-
-def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """(doc_id, lang_pred, score) of whole texts."""
-    model = docs.sparkSession.sparkContext.broadcast(logp)
-
-    def kernel(batch: pa.RecordBatch) -> dict:
-        data, offsets = utf8(batch.column("text"))
-        lang, score = infer(data, offsets, model.value)
-        size = np.diff(offsets)
-        for i in np.flatnonzero((lang >= 0) & (np.add.reduceat(np.append(((data | 32) >= 97) & ((data | 32) <= 122), False).astype(np.int64), np.minimum(offsets[:-1], len(data))) * (size > 0) == 0)):
-            if not LETTER.search(batch.column("text")[int(i)].as_py()):
-                lang[i], score[i] = -1, 0.0
-        return {"doc_id": batch.column("doc_id"), "lang_pred": [langs[x] if x >= 0 else "und" for x in lang], "score": score}
-
-    return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), kernel, "doc_id bigint, lang_pred string, score double", "text")
+    lang, score, share, cover = np.full(docs, -1), np.zeros(docs), np.zeros((docs, k), np.float32), np.zeros(docs)
+    spans, have, first = span_scores(data, offsets, logp)
+    if len(have):
+        lang[have], score[have], share[have], cover[have] = named(*sets_of(spans, first, penalty))
+    return lang, score, share, cover
+
+
+def named(chosen: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    pick = chosen.argmax(1)
+    at = np.arange(len(pick))
+    return pick, np.clip(np.minimum(chosen[at, pick], every[at, pick]), 0, 1), chosen, np.clip(np.where(chosen > 0, every, 0).sum(1), 0, 1)
+
+
+def letterless(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts without a letter. Only those without an ASCII one are looked at as text."""
+    ascii_ = np.append(((data | 32) >= 97) & ((data | 32) <= 122), False).astype(np.int64)
+    none = np.add.reduceat(ascii_, np.minimum(offsets[:-1], len(data))) * (np.diff(offsets) > 0) == 0 if len(offsets) > 1 else np.zeros(0, bool)
+    for i in np.flatnonzero(none):
+        none[i] = not LETTER.search(column[int(i)].as_py() or "")
+    return none
+
+
+#: What a prediction adds to a row.
+ADDED = [("lang_pred", "string"), ("score", "double"), ("mixture", "array<struct<lang:string,share:float>>"), ("cover", "double")]
+
+
+def listed(langs: list[str], share: np.ndarray) -> list[dict]:
+    """A set with its proportions, strongest first."""
+    return [{"lang": a, "share": b} for a, b in sorted(((langs[j], float(share[j])) for j in np.flatnonzero(share > 0)), key=lambda x: (-x[1], x[0]))]
+
+
+def judged(batch: pa.RecordBatch, langs: list[str], logp: np.ndarray) -> dict:
+    """lang_pred, score, mixture (languages of the set, strongest first) and cover for a batch with ``text``."""
+    data, offsets = utf8(batch.column("text"))
+    lang, score, share, cover = infer(data, offsets, logp)
+    blank = letterless(batch.column("text"), data, offsets)
+    lang[blank], score[blank], cover[blank] = -1, 0, 0
+    return {"lang_pred": [langs[x] if x >= 0 else "und" for x in lang], "score": score, "mixture": [[] if x < 0 else listed(langs, p) for x, p in zip(lang, share, strict=True)], "cover": cover}
+
+
+def predict(docs: DataFrame, train: DataFrame, keep: list[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred, score, mixture and cover (their names behind ``prefix``) of whole texts, learned from ``train(text, lang)``."""
+    spark, langs, keep = docs.sparkSession, languages(train), list(keep)
+    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    if len(langs) > MOST_LANGUAGES:
+        return predict_in_blocks(rows, train, langs, keep, prefix)
+    langs, logp = fit(train, langs)
+    model = spark.sparkContext.broadcast(logp)
+    schema = [*(f"`{c}` {kind}" for c, kind in rows.select(keep).dtypes), *(f"`{prefix}{c}` {kind}" for c, kind in ADDED)]
+    return mapped(rows, lambda batch: {c: batch.column(c) for c in keep} | {prefix + c: x for c, x in judged(batch, langs, model.value).items()}, ", ".join(schema), "text")
+
+
+def predict_in_blocks(rows: DataFrame, train: DataFrame, langs: list[str], keep: list[str], prefix: str) -> DataFrame:
+    """``predict`` for any number of languages: a pass over the texts for each block of MOST_LANGUAGES finds the block's set for each document and keeps the set's span
+    likelihoods; the sets of all blocks then compete."""
+    spark, number = rows.sparkSession, f"{prefix}_number_{'_'.join(keep)}"
+    rows = stage(rows.withColumn(number, F.expr("uuid()")), "numbered")
+    found = []
+    for a in range(0, len(langs), MOST_LANGUAGES):
+        block, logp = fit(train, langs[a : a + MOST_LANGUAGES])
+        model = spark.sparkContext.broadcast(logp)
+
+        def kernel(batch: pa.RecordBatch, block=block, model=model) -> dict | None:
+            data, offsets = utf8(batch.column("text"))
+            spans, have, first = span_scores(data, offsets, model.value)
+            blank, out = letterless(batch.column("text"), data, offsets), []
+            if len(have):
+                chosen, _ = sets_of(spans.copy(), first)
+                for i, (row, x, y) in enumerate(zip(have, first, np.append(first[1:], len(spans)), strict=True)):
+                    if not blank[row]:
+                        out += [(batch.column(number)[int(row)].as_py(), block[j], spans[x:y, j].tobytes()) for j in np.flatnonzero(chosen[i] > 0)]
+            return dict(zip(("number", "lang", "spans"), map(list, zip(*out, strict=True)), strict=True)) if out else None
+
+        found.append(stage(mapped(rows.select(number, "text"), kernel, "number string, lang string, spans binary", "text"), "spans"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("lang")
+        names = t.column("lang").to_pylist()
+        spans = np.array([np.frombuffer(x, np.float32) for x in t.column("spans").to_pylist()]).T.copy()
+        pick, score, share, cover = named(*sets_of(spans, np.zeros(1, np.int64)))
+        return pa.table({"number": t.column("number")[:1], "lang_pred": [names[pick[0]]], "score": pa.array(score, pa.float64()), "mixture": pa.array([listed(names, share[0])], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float32())]))), "cover": pa.array(cover, pa.float64())})
+
+    best = functools.reduce(DataFrame.unionAll, found).groupBy("number").applyInArrow(meet, ", ".join(["number string", *(f"{c} {kind}" for c, kind in ADDED)]))
+    best = best.select(F.col("number").alias(number), F.struct("lang_pred", "score", "mixture", "cover").alias(number + "_found"))
+    none = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "mixture": F.array().cast(dict(ADDED)["mixture"]), "cover": F.lit(0.0)}
+    return rows.join(best, number, "left").select(*keep, *[F.coalesce(F.col(f"{number}_found.{c}"), x).alias(prefix + c) for c, x in none.items()])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from labelled documents outside the held-out quarter."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    langs, logp = fit(docs.where(f"not coalesce({HELD}, false)"))
-    return predict(docs, langs, logp).selectExpr("doc_id", f"coalesce({HELD}, false) held_out", "lang_pred", "score")
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text", "lang")
+    found = predict(docs, docs.where(f"not coalesce({HELD}, false)"))
+    return found.selectExpr("doc_id", f"coalesce({HELD}, false) held_out", "lang_pred", "score", "mixture")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pipeline stage: documents whose language is known and holds at least ``least`` of the text stay, with all their columns; mixed texts are not
-    unclean, so the share is low. Rows with a null doc_id go, as no decision can name them."""
-    langs, logp = fit(docs.where(f"not coalesce({HELD}, false)"))
-    bad = predict(docs, langs, logp).where((F.col("lang_pred") == "und") | (F.col("score") < least)).where("doc_id is not null").select("doc_id").distinct()
-    # rejected ids are few as a rule: written first, their size is known, and texts stay where they are if it is small
-    return docs.where("doc_id is not null").join(stage(bad, "rejected"), "doc_id", "left_anti")
+    """Pipeline stage: rows whose languages are known and, when all languages compete, hold at least ``least`` of the text stay as they are, with all their columns. Each row
+    is judged by itself, so null and repeated doc_ids change nothing. Mixed texts are not unclean: the share is that of the whole set."""
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # no column of the documents begins so
+    found = predict(docs, docs.where(f"not coalesce({HELD}, false)"), docs.columns, prefix)
+    return found.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}cover") >= least)).select(docs.columns)
