@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import mapped, table
 
 MARK = "▁"
-#: Runs kept by a worker before its table is emptied.
-KEPT_RUNS = 200_000
+#: Runs kept by a worker before its table is emptied, and characters of one at most.
+KEPT_RUNS, KEPT_LENGTH = 200_000, 64
 
 
 class CharMap:
@@ -110,13 +110,13 @@ class PieceCodec:
     def pieces(self, normal: list[str]) -> list[np.ndarray]:
         """Piece ids of normalised texts."""
         runs = [self.run.findall(x) for x in normal]
-        seen = self.seen
-        if len(seen) > KEPT_RUNS:
-            seen.clear()
-        new = list({r for rs in runs for r in rs if r not in seen})
+        if len(self.seen) > KEPT_RUNS:
+            self.seen.clear()
+        here: dict[str, bytes] = {}  # the runs of these texts; short ones are kept for others
+        new = list({r for rs in runs for r in rs if r not in self.seen})
         for r, ids in zip(new, self.segmenter.encode(new, num_threads=1) if new else [], strict=True):
-            seen[r] = np.array(ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(seen.__getitem__, rs)), "<u4") for rs in runs]
+            (self.seen if len(r) <= KEPT_LENGTH else here)[r] = np.array(ids, "<u4").tobytes()
+        return [np.frombuffer(b"".join([self.seen.get(r) or here[r] for r in rs]), "<u4") for rs in runs]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: ids with begin and end, and the start and end bytes in the original of every id (begin: 0, 0; end: length, length)."""
@@ -211,7 +211,7 @@ def piece_digest(encoded: DataFrame, model_file: str | None = None) -> DataFrame
             out["spans_sha256"].append(hashlib.sha256(b"".join(spans)).hexdigest())
         return out | {"doc_id": batch.column("id")}
 
-    return mapped(encoded, kernel, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return mapped(encoded, kernel, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string", "ids")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
