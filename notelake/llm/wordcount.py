@@ -2,10 +2,11 @@
 
 The vocabulary becomes a trie with failure links; every link carries how many tokens it pops, so greedy longest-match word pieces are counted in
 one pass over the bytes without building a piece. Failure chains are folded into one table of (state, byte) -> (state, popped), and all words of
-a batch step through it together. A word is the space mark followed by a run ``[^\\x20\\x09-\\x0D]+``; vocabulary entries that begin with the
+a batch step through it together, as long as many are left. A word is the space mark followed by a run ``[^\\x20\\x09-\\x0D]+``; vocabulary entries that begin with the
 mark start words, the others continue them. A word that greedy matching cannot finish counts as one unknown token, as in word-piece models.
 
-null and empty texts: 0 tokens. The automaton's size depends on the vocabulary only.
+null and empty texts: 0 tokens. Repeated rows are counted each, null doc_ids stay, other columns of the input are left out, an empty table gives an empty result. The automaton's size
+depends on the vocabulary only.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .kernels import words
 from .piece import MARK, default_model
 
 
+#: Words that step together at least; longer words than all but so many are walked one by one.
+FEW = 24
+
+
 class Automaton:
     """Trie, failure links and popped-token counts of a vocabulary of byte strings; ``start`` is the prefix of every word."""
 
@@ -73,6 +78,15 @@ class Automaton:
             if chain == 0:
                 self.last[node] = total
 
+    def rest(self, state: int, total: int, word: bytes) -> tuple[int, int]:
+        """State and popped tokens behind the rest of a word, byte by byte."""
+        to, pops = memoryview(self.to), memoryview(self.pops)
+        for b in word:
+            key = state << 8 | b
+            total += pops[key]
+            state = to[key]
+        return state, total
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each word, and whether it is unknown."""
         size = ends - starts
@@ -81,6 +95,10 @@ class Automaton:
         state, total = np.full(len(order), self.start, np.int64), np.zeros(len(order), np.int64)
         alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right") if len(size) else []
         for step, m in enumerate(alive):
+            if m < FEW:
+                for k in range(m):
+                    state[k], total[k] = self.rest(int(state[k]), int(total[k]), data[at[k] + step : at[k] + size[k]].tobytes())
+                break
             key = state[:m] * 256 + data[at[:m] + step]
             total[:m] += self.pops[key]
             state[:m] = self.to[key]
