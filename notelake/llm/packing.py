@@ -39,12 +39,10 @@ ORDINARY = re.compile(r"[\t\n\r\x20-\x7e¡-ſ‐-‧‰-›€]*\Z")
 class Ids:
     """Token ids as bytes. Ordinary texts are split into pre-tokens, whose ids come from a bounded table; others, and those that hold an added token's content, go to the tokenizer whole."""
 
-    def __init__(self, path: str, literal: bool = True):
-        """``literal`` reads the content of special tokens as any other text; the library's default, and the operator's, is their ids."""
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = literal
         self.tokenizer.model._resize_cache(0)  # pre-tokens are kept here
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         #: Finds added tokens, which the tokenizer takes out of a text before it splits the rest.
@@ -90,11 +88,11 @@ class Ids:
 
 
 @lru_cache(4)
-def ids_of(path: str, literal: bool = True) -> Ids:
+def ids_of(path: str) -> Ids:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Ids(path, literal)
+    return Ids(path)
 
 
 def default_tokenizer() -> str:
@@ -110,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """Pieces of all documents; ``rank`` counts the pieces of one length within the task ``part``. To be staged at once, as ranks belong to one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part = ids_of(tokenizer or default_tokenizer(), literal=False), TaskContext.get().partitionId()
+        codec, part = ids_of(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
         met, end = np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for sub in slices(batch, "text"):
