@@ -8,10 +8,10 @@ shingles in any common order (rarest first), and every run of documents that sha
 
 1. sets: (doc_id, n, class), the class a 64-bit fingerprint of the set, so copies are one point; how frequent shingles are is counted over all documents.
 2. runs: first shingles as packed arrays per bucket, sorted in the task that owns the bucket; a run is cut where sizes alone rule links out.
-3. stars: each class is verified against a few leaders of most of its runs; connected components of the links.
-4. trees: runs that still hold several components are searched by R-tree, in blocks where long. Components of the surviving pairs are families; within these,
-   sets of different components are bounded and verified in blocks until a link joins them.
-5. connected components of all links. Links within a component that is already known need no proof, as results are components.
+3. stars, for runs of more than BLOCK members only, as a third of all documents may be near copies of one: each class is verified against a few leaders of most of its long runs.
+4. trees: every run whose members are not all connected yet is searched by R-tree, in pairs of blocks where it is long. The candidates' maximum spanning forest by bound is verified on whole sets.
+5. families: candidates that hang together but are not all connected yet are bounded and verified in blocks, until a link joins their components.
+6. connected components of all links. Links within a component that is already known need no proof, as results are components.
 
 Empty sets (null, empty or blank texts) link with nothing. Texts with fewer than five words are one shingle. Repeated rows are copies. Shingles are compared
 by 64-bit hashes and sets by 64-bit fingerprints. Rows with a null doc_id
@@ -20,6 +20,7 @@ have no name to report: they get their component when a named row has the same s
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ WIDTH = 5
 #: The common order of shingles goes by the documents of their cell, so many numbers (8 MB) that are counted over the corpus and broadcast; the order never changes results.
 CELLS, CELL_BLOCKS = 1 << 20, 64
 #: Members of a run handled as one tree; longer runs are pairs of such blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Members of a family whose sets are compared with those of another block in one task.
 FAMILY_BLOCK = 512
 LEAF = 16
@@ -97,8 +98,8 @@ class CountTree:
             self.upper.append(np.maximum.reduceat(self.upper[-1], cut))
             self.least.append(np.minimum.reduceat(self.least[-1], cut))
 
-    def near(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Points that may link with a set: 7 * sum of minima >= 3 * (sum of sizes), and sizes within 3 : 4."""
+    def near(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points that may link with a set: 7 * sum of minima >= 3 * (sum of sizes), and sizes within 3 : 4; and what share of both sizes their sum of minima is."""
         nodes = np.arange(len(self.least[-1]))
         for level in range(len(self.least) - 1, -1, -1):
             keep = 7 * np.minimum(self.upper[level][nodes], point).sum(1) >= 3 * (size + np.maximum(self.least[level][nodes], -(-3 * size // 4)))
@@ -107,10 +108,28 @@ class CountTree:
                 nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
                 nodes = nodes[nodes < len(self.least[level - 1])]
         if not len(nodes):
-            return nodes
+            return nodes, np.zeros(0)
         at = np.concatenate([self.leaves[k] for k in nodes])
-        n = self.sizes[at]
-        return at[(7 * np.minimum(self.points[at], point).sum(1) >= 3 * (size + n)) & (3 * size <= 4 * n) & (3 * n <= 4 * size)]
+        n, most = self.sizes[at], np.minimum(self.points[at], point).sum(1)
+        keep = (7 * most >= 3 * (size + n)) & (3 * size <= 4 * n) & (3 * n <= 4 * size)
+        return at[keep], (most / (size + n))[keep]
+
+
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Edges (their places) of a maximum spanning forest of a[i] - b[i] between nodes that have equal labels only if they hang together already."""
+    label, chosen, left = label.copy(), [], np.arange(len(a))
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.array(sorted(chosen), np.int64)
+        ends, edge = np.concatenate([label[a[left]], label[b[left]]]), np.concatenate([left, left])
+        order = np.lexsort((edge, -weight[edge], ends))
+        best = np.unique(edge[order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]])
+        for i in best.tolist():  # at most one an end: few
+            x, y = label[a[i]], label[b[i]]
+            if x != y:
+                chosen.append(i)
+                label[label == y] = x
 
 
 def read_point(blob: bytes, groups: int | None = None) -> np.ndarray:
@@ -151,18 +170,18 @@ def cell(value: np.ndarray) -> np.ndarray:
 def frequencies(found: DataFrame) -> np.ndarray:
     """Documents per cell of shingles over the whole corpus: CELLS numbers, whatever its size."""
 
-    def add(t: pa.Table) -> pa.Table:
+    def add(t: pa.Table, kind: str) -> pa.Table:
         total = np.zeros(CELLS // CELL_BLOCKS, np.uint64)
         for blob in t.column("cells"):
-            total += np.frombuffer(zlib.decompress(blob.as_py()), "<u4")
-        return pa.table({"n": t.column("n")[:1], "cells": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(blob.as_py()), kind)
+        return pa.table({"n": t.column("n")[:1], "cells": pa.array([zlib.compress(total.astype("<u8").tobytes(), 1)], pa.binary())})
 
     # summed in two steps, so that no task reads a block of all tasks of a large corpus
     rows = found.where("cells is not null").select("n", "cells").withColumn("part", F.pmod(F.xxhash64("cells"), F.lit(64)))
-    half = rows.groupBy("n", "part").applyInArrow(lambda t: (lambda r: r.set_column(1, "cells", pa.array([zlib.compress(np.frombuffer(r.column("cells")[0].as_py(), "<u8").astype("<u4").tobytes(), 1)], pa.binary())))(add(t)), "n bigint, cells binary")
+    half = rows.groupBy("n", "part").applyInArrow(lambda t: add(t, "<u4"), "n bigint, cells binary")
     out = np.zeros((CELL_BLOCKS, CELLS // CELL_BLOCKS), np.uint64)
-    for r in half.groupBy("n").applyInArrow(add, "n bigint, cells binary").collect():
-        out[r.n] = np.frombuffer(r.cells, "<u8")
+    for r in half.groupBy("n").applyInArrow(lambda t: add(t, "<u8"), "n bigint, cells binary").collect():
+        out[r.n] = np.frombuffer(zlib.decompress(r.cells), "<u8")
     return out.ravel()
 
 
@@ -170,8 +189,9 @@ def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
     """(run, chunk, times, leaders, members): classes that share a first shingle, by size, in chunks of at most BLOCK; equal runs are one, found ``times`` times."""
     spark = docs.sparkSession
     buckets = 8 * partitions(spark)
-    # rarest cells first; 20 bits of frequency, then the hash
-    place = np.minimum(times, (1 << 20) - 1).astype(np.uint64) << U(44)
+    # rarest cells first, by their rank among all, whatever the size of the corpus; then the hash
+    place = np.empty(CELLS, np.uint64)
+    place[np.argsort(times, kind="stable")] = np.arange(CELLS, dtype=np.uint64) << U(44)
     sent = spark.sparkContext.broadcast(place)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,21 +331,19 @@ def candidates(left: DataFrame, known: DataFrame) -> DataFrame:
     def search(t: pa.Table) -> pa.Table:
         chunk, i, j = t.column("chunk").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
         key, comp, n = (t.column(x).to_numpy() for x in ("class", "component", "n"))
-        label = key.copy()
-        for x, near in searched(t.column("point").to_pylist(), n, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)):
-            near = near[comp[near] != comp[x]]
-            if len(near):
-                met = np.unique(np.append(label[near], label[x]))
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
-        at = label != key
-        return pa.table({"a": pa.array(label[at]), "b": pa.array(key[at])})
+        met = [(np.full(len(near), x), near, share) for x, near, share in searched(t.column("point").to_pylist(), n, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)) if len(near)]
+        if not met:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y, share = (np.concatenate(v) for v in zip(*met, strict=True))
+        at = forest(x, y, share, np.unique(comp, return_inverse=True)[1])
+        a, b = key[x[at]], key[y[at]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return dealt.groupBy("run", "i", "j").applyInArrow(search, "a bigint, b bigint").distinct()
 
 
-def searched(blobs: list[bytes], n: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each outer row with the inner rows whose bound allows a link, by one tree per grain; sizes within 3 : 4 have equal or neighbouring grains."""
+def searched(blobs: list[bytes], n: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each outer row with the inner rows whose bound allows a link and the bound's share of both sizes, by one tree per grain; sizes within 3 : 4 have equal or neighbouring grains."""
     groups = np.array([len(x) // 2 for x in blobs])
     for g in np.unique(groups[inner]):
         mine = inner[groups[inner] == g]
@@ -334,13 +352,14 @@ def searched(blobs: list[bytes], n: np.ndarray, inner: np.ndarray, outer: np.nda
             if len(theirs):
                 tree = CountTree(np.array([read_point(blobs[x], grain) for x in mine]), n[mine])
                 for x in theirs:
-                    yield int(x), mine[tree.near(read_point(blobs[x], grain), int(n[x]))]
+                    near, share = tree.near(read_point(blobs[x], grain), int(n[x]))
+                    yield int(x), mine[near], share
 
 
-def family_links(families: DataFrame, near: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Links (a, b) that join different components within families (class, family) of candidates; blocks of a family are compared pairwise, except those of its largest component among themselves."""
+def family_links(families: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within families (class, family, component) of candidates; blocks of a family are compared pairwise, except those of its largest component among themselves."""
     hashes = points(docs, families.select("class"), first, "hashes")
-    rows = families.join(near, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = families
     size = rows.groupBy("family", "component").agg(F.count("*").alias("c"))
     main = size.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
     rows = rows.join(main, "family").withColumn("is_main", (F.col("component") == F.col("main")).cast("int"))
@@ -360,7 +379,7 @@ def family_links(families: DataFrame, near: DataFrame, docs: DataFrame, first: D
         main, block = t.column("is_main").to_numpy(), t.column("block").to_numpy()
         whole = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("value").combine_chunks()]
         label, a, b = comp.copy(), [], []
-        for i, near in searched([group_counts(w) for w in whole], n, np.flatnonzero((main == m) & (block == y)), np.flatnonzero((main == 0) & (block == x))):
+        for i, near, _ in searched([group_counts(w) for w in whole], n, np.flatnonzero((main == m) & (block == y)), np.flatnonzero((main == 0) & (block == x))):
             for j in near:
                 if label[i] != label[j] and do_link(int(n[i]), whole[i], int(n[j]), whole[j]):
                     a.append(key[i])
@@ -378,38 +397,71 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     found = stage(sets(docs), "sets")
     each = found.where("cells is null")
-    first = each.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first = stage(each.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "first")
     met = stage(runs(docs, frequencies(found)), "runs")
-    # per order of leaders, the leader of most of a class's runs: runs of a shared passage have leaders of other families
-    star = met.select(F.posexplode("leaders").alias("k", "a"), "times", "members").select("k", "a", "times", F.explode("members").alias("b")).groupBy("k", "b", "a").agg(F.sum("times").alias("times"))
-    star = star.groupBy("k", "b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = met.select(F.explode("members").alias("class")).distinct()
     named = first.where("doc_id is not null")
     known = points(docs, wanted, named, "points")
-    star = stage(pairwise(star, known, may_link), "star")
-    links = verified(star, docs, named)
-    dropped(star)
-    near = stage(components(links).toDF("class", "component"), "near")
-    members = met.select("run", "chunk", F.explode("members").alias("class")).join(near, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    links, near = [], None
+    long = stage(met.where("chunk > 0").select("run").distinct(), "long")
+    if long.head(1):
+        star = stage(pairwise(stars(met.join(long, "run", "left_semi")), known, may_link), "star")
+        links.append(verified(star, docs, named))
+        near = components(links[0])
+        dropped(star)
+    dropped(long)
+    members = labelled(met.select("run", "chunk", F.explode("members").alias("class")), near)
     open_ = members.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("run")
     left = stage(members.join(open_, "run", "left_semi").select("run", "chunk", "class", "component"), "left")
     pairs = stage(candidates(left, known), "pairs")
     dropped(left, met, known)
-    families = stage(components(pairs).toDF("class", "family"), "families")
-    more = family_links(families, near, docs, named)
-    dropped(pairs, families, near)
-    final = stage(components(links.select("a", "b").unionAll(more.select("a", "b"))).toDF("class", "component"), "final")
-    dropped(links, more)
-    named = first.join(final, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = named.join(least, "component").select("class", "component_id")
-    return each.join(label, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    links.append(verified(pairs, docs, named))
+    if near:
+        dropped(near)
+    near = components(functools.reduce(DataFrame.unionAll, links))
+    family = components(pairs)
+    families = labelled(family.toDF("class", "family"), near)
+    open_ = families.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+    families = stage(families.join(open_, "family", "left_semi").select("class", "family", "component"), "families")
+    dropped(pairs, family, near)
+    if families.head(1):
+        links.append(family_links(families, docs, named))
+    dropped(families)
+    final = components(functools.reduce(DataFrame.unionAll, links))
+    dropped(*links)
+    owned = first.join(final.toDF("class", "component"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
+    least = stage(owned.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "least")
+    label = stage(owned.join(least, "component").select("class", "component_id"), "labels")
+    dropped(final, least, first)
+    # rows without shingles have no class and stay out of the join, whose sides are plain shuffles, so that a class of very many copies can be split
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    empty = each.where("class is null").withColumn("component_id", F.lit(None).cast("bigint"))
+    return each.where("class is not null").join(label, "class", "left").select(columns).unionAll(empty.select(columns))
+
+
+def stars(runs_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes and, per order of leaders, the leader of most of a class's runs: runs of a shared passage have leaders of other families."""
+    star = runs_.select(F.posexplode("leaders").alias("k", "a"), "times", "members").select("k", "a", "times", F.explode("members").alias("b")).groupBy("k", "b", "a").agg(F.sum("times").alias("times"))
+    return star.groupBy("k", "b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, near: DataFrame | None) -> DataFrame:
+    """Rows with the component of their class: its own where it is in none."""
+    if near is None:
+        return rows.withColumn("component", F.col("class"))
+    return rows.join(near.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the least doc_id stays; rows without doc_id stay."""
-    gone = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: of each group of linked documents the one with the least doc_id stays. A doc_id names one document: of rows that repeat it with equal texts one stays, rows
+    with other texts stay or go together. Rows without doc_id stay; no decision can name them."""
+    found = jaccard_components(docs)
+    gone = stage(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"), "again")
+    rows = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    if again.head(1):
+        rows = rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
