@@ -41,10 +41,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes whose hashes are worked out at once: temporaries take some 50 bytes for each.
+STRETCH = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    out, ends_at, at = np.empty(len(starts), np.uint64), np.cumsum(ends - starts), 0
+    while at < len(starts):
+        base = ends_at[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends_at, base + STRETCH, "right")))
+        out[at:to] = _some_hashes(data, starts[at:to], ends[at:to])
+        at = to
+    return out
+
+
+def _some_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     size = ends - starts
     first = np.cumsum(size) - size
     place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)

@@ -6,8 +6,8 @@ A passage repeats when 50 consecutive words (byte for byte, white space aside) o
 every length, and within an interval equal words to the left extend the match. Each window is then matched with its first occurrence in the order
 (doc_id, place), and adjacent windows with the same source and distance become one span.
 
-Suffixes that occur more than HOT times would fill one task; they are cut into their windows, whose first occurrences are minima that combine before
-the shuffle. Documents with the same words are one class and are searched once. The result has one row per span that repeats an earlier place: documents
+Suffixes that occur more than HOT times would fill one task; their windows are compared by hashes of all 50 words instead: occurrences are dealt into parts at random, each part
+knows its distinct windows and their first occurrences, and only these meet across parts; results are the same. Documents with the same words are one class and are searched once. The result has one row per span that repeats an earlier place: documents
 without repeats do not appear. Words are compared by 64-bit hashes (32 bits for words beyond the minimiser).
 
 null, empty and short texts (under 50 words) never match. Rows with a null doc_id are left out. Repeated rows (same doc_id, same text) are one document.
@@ -30,8 +30,11 @@ from .kernels import U, gram_hashes, mix, word_hashes, words
 LENGTH, GRAM = 50, 10
 #: Starts of windows over which a minimiser is taken, and words of a window beside the minimiser.
 SPREAD = LENGTH - GRAM
-#: Occurrences of one suffix that are sorted in one task: 5 MB of words around them.
-HOT = 20_000
+#: Occurrences of one suffix that are sorted together, and rows that are sorted at once, about: 5 MB of words around them.
+HOT = CHUNK = 20_000
+#: Occurrences of hot suffixes whose windows are told apart in one task before they meet those of others.
+PART = 500
+MATCH = "doc_id bigint, low bigint, high bigint, source bigint, distance bigint"
 
 
 def minimisers(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ def suffixes(texts: DataFrame) -> DataFrame:
     """Repeated suffixes of ``texts(doc_id, text, places, hot)`` (places in order).
 
     A row: key, doc_id, place, low and high (how far left of the minimiser its windows begin), left and right (32-bit word hashes, outward from the minimiser). Of hot
-    suffixes, a row per window instead: key its hash, place its first word, low null."""
+    suffixes, a row with the place of its first window as place, the windows' hashes one after the other as left, and low null."""
 
     def kernel(batch: pa.RecordBatch) -> dict | None:
         data, offsets = utf8(batch.column("text"))
@@ -106,18 +109,16 @@ def suffixes(texts: DataFrame) -> DataFrame:
         left = [small[s - k : s][::-1].tobytes() for s, k in zip(spot[plain], high, strict=True)]
         right = [small[s + GRAM : s + LENGTH - k].tobytes() for s, k in zip(spot[plain], low, strict=True)]
         boiling = np.flatnonzero(named & is_hot)
-        begin_hot = np.concatenate([np.arange(begin[k], begin[k] + size[k]) for k in boiling]) if len(boiling) else np.zeros(0, np.int64)
-        doc_hot = np.repeat(owner[boiling], size[boiling])
-        hashes = gram_hashes(h, LENGTH)[begin_hot] if len(begin_hot) else np.zeros(0, np.uint64)
-        pad = len(begin_hot)
+        hashes = gram_hashes(h, LENGTH) if len(boiling) else grams
+        pad = [None] * len(boiling)
         return {
-            "key": np.concatenate([grams[spot[plain]], hashes]).view(np.int64),
-            "doc_id": np.concatenate([ids[owner[plain]], ids[doc_hot]]),
-            "place": np.concatenate([spot[plain] - first[owner[plain]], begin_hot - first[doc_hot]]),
-            "low": pa.array([*low.tolist(), *[None] * pad], pa.int32()),
-            "high": pa.array([*high.tolist(), *[None] * pad], pa.int32()),
-            "left": pa.array([*left, *[None] * pad], pa.binary()),
-            "right": pa.array([*right, *[None] * pad], pa.binary()),
+            "key": np.concatenate([grams[spot[plain]], grams[spot[boiling]]]).view(np.int64),
+            "doc_id": np.concatenate([ids[owner[plain]], ids[owner[boiling]]]),
+            "place": np.concatenate([spot[plain] - first[owner[plain]], begin[boiling] - first[owner[boiling]]]),
+            "low": pa.array([*low.tolist(), *pad], pa.int32()),
+            "high": pa.array([*high.tolist(), *pad], pa.int32()),
+            "left": pa.array([*left, *(hashes[begin[k] : begin[k] + size[k]].tobytes() for k in boiling)], pa.binary()),
+            "right": pa.array([*right, *pad], pa.binary()),
         }
 
     return mapped(texts, kernel, "key bigint, doc_id bigint, place bigint, low int, high int, left binary, right binary", "text")
@@ -132,11 +133,24 @@ def _matrix(blobs: list, width: int) -> np.ndarray:
 
 
 def sorted_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of a partition that holds all rows of its keys -> (doc_id, low, high, source, distance): windows whose first words are low..high begin ``distance`` words after those of their first occurrence."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
+    """``matches_of`` over the rows of a partition that come ordered by key, CHUNK rows and whole keys at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            t = pa.Table.from_batches(held)
+            key = t.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if whole:
+                yield from matches_of(t.slice(0, whole))
+                held = t.slice(whole).to_batches()
+    if held:
+        yield from matches_of(pa.Table.from_batches(held))
+    released()
+
+
+def matches_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """All suffixes of some keys -> (doc_id, low, high, source, distance): windows whose first words are low..high begin ``distance`` words after those of their first occurrence."""
     key, doc, place, low, high = (t.column(n).to_numpy() for n in ("key", "doc_id", "place", "low", "high"))
     left, right = _matrix(t.column("left").to_pylist(), SPREAD), _matrix(t.column("right").to_pylist(), SPREAD)
     order = np.lexsort((*[right[:, k] for k in range(SPREAD - 1, -1, -1)], key))
@@ -164,12 +178,53 @@ def sorted_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if not out:
         return
     d, s, f, gap = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((s, gap, f, d))
-    d, s, f, gap = (x[order] for x in (d, s, f, gap))
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (gap[1:] != gap[:-1]) | (s[1:] > s[:-1] + 1)]))
-    last = np.append(new[1:], len(d)) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[new], s[new], s[last], f[new], gap[new])], ["doc_id", "low", "high", "source", "distance"])
-    released()
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans_of(d, s, f, gap)], ["doc_id", "low", "high", "source", "distance"])
+
+
+def windows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, doc_id and first word of every window of hot rows."""
+    blobs = t.column("left").to_pylist()
+    size = np.array([len(b) // 8 for b in blobs])
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.frombuffer(b"".join(blobs), np.int64), np.repeat(t.column("doc_id").to_numpy(), size), np.repeat(t.column("place").to_numpy(), size) + within
+
+
+def spans_of(doc: np.ndarray, start: np.ndarray, source: np.ndarray, distance: np.ndarray) -> list[np.ndarray]:
+    """Runs of adjacent windows with one source and distance: doc_id, low, high, source, distance."""
+    order = np.lexsort((start, distance, source, doc))
+    doc, start, source, distance = (x[order] for x in (doc, start, source, distance))
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (distance[1:] != distance[:-1]) | (start[1:] > start[:-1] + 1)])) if len(doc) else doc
+    return [doc[new], start[new], start[np.append(new[1:], len(doc)) - 1] if len(doc) else start, source[new], distance[new]]
+
+
+def hot_matches(rows: DataFrame) -> DataFrame:
+    """Matches (MATCH) of windows of hot ``rows(doc_id, place, left)`` with their first occurrences among them."""
+    parts = max(1, -(-rows.count() // PART))
+    dealt = rows.select("doc_id", "place", "left", F.pmod(F.xxhash64("doc_id", "place"), F.lit(parts)).alias("part"))
+
+    def firsts(t: pa.Table) -> pa.Table:
+        key, doc, start = windows_of(t)
+        order = np.lexsort((start, doc, key))
+        new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        at = order[new]
+        return pa.table({"part": pa.array(np.full(len(at), t.column("part")[0].as_py())), "key": pa.array(key[at]), "doc_id": pa.array(doc[at]), "place": pa.array(start[at]), "n": pa.array(np.diff(np.append(new, len(key))))})
+
+    first = stage(dealt.groupBy("part").applyInArrow(firsts, "part bigint, key bigint, doc_id bigint, place bigint, n bigint"), "firsts")
+    least = stage(first.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.sum("n").alias("n")).where("n > 1").select("key", F.col("f.doc_id").alias("source"), F.col("f.place").alias("at")), "least")
+    answers = stage(first.select("part", "key").join(least, "key"), "answers")
+
+    def told(t: pa.Table, known: pa.Table) -> pa.Table:
+        key, doc, start = windows_of(t)
+        order = np.argsort(keys := known.column("key").to_numpy())
+        at = order[np.minimum(np.searchsorted(keys[order], key), max(len(keys) - 1, 0))] if len(keys) else np.zeros(0, np.int64)
+        source, place = (known.column(c).to_numpy()[at] for c in ("source", "at"))
+        late = (keys[at] == key) & ((source != doc) | (place != start)) if len(keys) else np.zeros(len(key), bool)
+        picked = (x[late] for x in (doc, start, source, start - place)) if len(keys) else (doc[:0],) * 4
+        return pa.table(dict(zip(("doc_id", "low", "high", "source", "distance"), map(pa.array, spans_of(*picked)), strict=True)))
+
+    out = stage(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(told, MATCH), "hot")
+    dropped(first, least, answers)
+    return out
 
 
 def joined(matches: DataFrame) -> DataFrame:
@@ -182,8 +237,9 @@ def joined(matches: DataFrame) -> DataFrame:
 
 def for_copies(copies: DataFrame, matches: DataFrame) -> DataFrame:
     """Matches of documents (doc_id, first_id, n_words) whose words are those of the earlier ``first_id``: its own matches, and for its other windows itself."""
-    own = matches.groupBy(F.col("doc_id").alias("first_id")).agg(F.collect_list(F.struct("low", "high", "source", "distance")).alias("own"))
-    rows = copies.where(f"n_words >= {LENGTH}").join(own, "first_id", "left")
+    copies = copies.where(f"n_words >= {LENGTH}")
+    own = matches.join(copies.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("first_id")).agg(F.collect_list(F.struct("low", "high", "source", "distance")).alias("own"))
+    rows = copies.join(stage(own, "own"), "first_id", "left")  # written, so that a document of many copies is a hot key that adaptive execution can split
 
     def kernel(batch: pa.RecordBatch) -> dict:
         out = []
@@ -198,7 +254,7 @@ def for_copies(copies: DataFrame, matches: DataFrame) -> DataFrame:
                 out.append((doc, free, n - LENGTH, first, 0))
         return dict(zip(("doc_id", "low", "high", "source", "distance"), map(list, zip(*out, strict=True)), strict=True))
 
-    return mapped(rows, kernel, "doc_id bigint, low bigint, high bigint, source bigint, distance bigint")
+    return mapped(rows, kernel, MATCH)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -213,12 +269,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = anchors.join(often, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("n") > HOT).alias("hot")))).alias("x"))
     named = stage(named.select("doc_id", F.col("x.place").alias("places"), F.col("x.hot").alias("hot")), "named")
     cut = stage(suffixes(passed(docs, named).join(named, "doc_id").select("doc_id", "text", "places", "hot")), "suffixes")
-    plain = cut.where("low is not null").repartition(partitions(spark), "key").mapInArrow(sorted_matches, "doc_id bigint, low bigint, high bigint, source bigint, distance bigint")
-    boiling = cut.where("low is null").select(F.col("key"), "doc_id", "place")
-    least = boiling.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = boiling.join(least, "key").where("doc_id != f.doc_id or place != f.place").select("doc_id", F.col("place").alias("low"), F.col("place").alias("high"), F.col("f.doc_id").alias("source"), (F.col("place") - F.col("f.place")).alias("distance"))
-    found = stage(joined(plain.unionAll(late)), "matches")
-    dropped(often, named, cut)
+    plain = cut.where("low is not null").repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(sorted_matches, MATCH)
+    hot = hot_matches(cut.where("low is null"))
+    found = stage(joined(plain.unionAll(hot)), "matches")
+    dropped(often, named, cut, hot)
     copies = every.select("doc_id", "class", "n_words").distinct().join(classes.select("class", "first_id"), "class").where("doc_id != first_id")
     columns = ["doc_id", "low", "high", "source", "distance"]
     both = found.select(columns).unionAll(for_copies(copies, found).select(columns))
@@ -229,7 +283,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline stage: spans that repeat an earlier place are cut from the texts (n_chars follows); documents of which no word is left go. Other columns stay."""
     name = "_" * (1 + max(map(len, docs.columns))) + "cut"  # no column of the documents is called so
     spans = repeats(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(name))
-    rows = docs.join(spans, "doc_id", "left")
+    kind = spans.schema[name].dataType
+    # rows without doc_id have no spans and would all meet in one task of the join
+    rows = docs.where("doc_id is not null").join(spans, "doc_id", "left").unionByName(docs.where("doc_id is null").withColumn(name, F.lit(None).cast(kind)))
     names = docs.columns
     schema = StructType([f for f in rows.schema if f.name in names])
     order = schema.names
