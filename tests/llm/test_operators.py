@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -128,13 +130,20 @@ def test_count_tree_bounds_hold():
     rng = np.random.default_rng(1)
     whole = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in rng.integers(80, 120, 200)]
     whole += [np.unique(np.concatenate([w[: int(len(w) * 0.9)], rng.integers(0, 2**63, 8, dtype=np.uint64)])) for w in whole[:50]]
+    large = [np.unique(rng.integers(0, 2**63, 520, dtype=np.uint64)) for _ in range(10)]  # copies on either side of a grain's edge
+    whole += large + [w[: int(len(w) * 0.95)] for w in large]
+    assert len({len(ngram_join.group_counts(w)) for w in whole}) > 2
     blobs, n = [ngram_join.group_counts(w) for w in whole], np.array([len(w) for w in whole])
-    every = np.arange(len(whole))
-    for i, near in ngram_join.searched(blobs, n, every, every):
-        linked = [j for j in every if ngram_join.do_link(int(n[i]), whole[i], int(n[j]), whole[j])]
-        groups = [j for j in linked if len(blobs[j]) == len(blobs[i])]
-        assert set(groups) <= set(near.tolist()) | set(linked)
+    every, found = np.arange(len(whole)), {i: set() for i in range(len(whole))}
+    for i, near, _ in ngram_join.searched(blobs, n, every, every):
+        found[i] |= set(near.tolist())
         assert len(near) < len(every)
+    pairs = 0
+    for i in every:
+        linked = {j for j in every if ngram_join.do_link(int(n[i]), whole[i], int(n[j]), whole[j])}
+        assert linked <= found[i]
+        pairs += len(linked) - 1
+    assert pairs >= 100
 
 
 def test_repeats(spark):
@@ -163,6 +172,8 @@ def test_hot_suffixes_take_the_same_result(spark, monkeypatch):
     df = spark.createDataFrame([(i, prose(100 + i, 30) + " " + shared + " " + prose(200 + i, 30)) for i in range(12)], "doc_id long, text string")
     cold = {tuple(r) for r in suffix.repeats(df).collect()}
     monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(suffix, "PART", 5)
+    monkeypatch.setattr(suffix, "CHUNK", 7)
     assert {tuple(r) for r in suffix.repeats(df).collect()} == cold and {x[0] for x in cold} == set(range(1, 12))
 
 
@@ -187,6 +198,68 @@ def test_media_round_trip():
         media.probe_media(bytes(wide[:-50]))
 
 
+def sound_track(track_id, codec, stbl, scale=8000):
+    entry = media.box(codec, bytes(28))
+    mdia = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, scale, 0, 0, 0)), media.box(b"minf", media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), entry), *stbl)))
+    return media.box(b"trak", media.full(b"tkhd", struct.pack(">IIIII", 0, 0, track_id, 0, 0), bytes(60)), mdia)
+
+
+def test_sample_tables_of_other_writers():
+    payload = bytes(range(200))
+    head = media.box(b"ftyp", b"isom", bytes(4))
+    tables = lambda base: [media.full(b"stts", struct.pack(">IIIII", 2, 3, 10, 2, 7)), media.full(b"stz2", struct.pack(">III", 4, 5, 0x12345000 >> 0)[:8], bytes([0x9A, 0xBC, 0xD0])), media.full(b"stsc", struct.pack(">IIIIIII", 2, 1, 2, 1, 3, 1, 1)), media.full(b"stco", struct.pack(">IIII", 3, base, base + 50, base + 100)), media.full(b"stss", struct.pack(">III", 2, 1, 4))]
+    empty = sound_track(1, b"mp4a", [media.full(b"stts", struct.pack(">I", 0)), media.full(b"stsz", struct.pack(">II", 0, 0)), media.full(b"stsc", struct.pack(">I", 0)), media.full(b"stco", struct.pack(">I", 0))])
+    size = len(media.box(b"moov", empty, sound_track(2, b"avc1", tables(0), 600)))
+    base = len(head) + size + 8
+    got = media.probe_media(head + media.box(b"moov", empty, sound_track(2, b"avc1", tables(base), 600)) + media.box(b"mdat", payload))
+    assert got["samples"] == [(base, base + 9), (base + 9, base + 19), (base + 50, base + 61), (base + 61, base + 73), (base + 100, base + 113)]
+    assert (got["codec"], got["timescale"], got["duration"], got["tracks"]) == ("avc1", 600, 44, 2) and got["keyframes"] == [got["samples"][0], got["samples"][3]]
+
+
+def test_fragments():
+    none = [media.full(b"stts", struct.pack(">I", 0)), media.full(b"stsz", struct.pack(">II", 0, 0)), media.full(b"stsc", struct.pack(">I", 0)), media.full(b"stco", struct.pack(">I", 0))]
+    start = media.box(b"ftyp", b"iso5", bytes(4)) + media.box(b"moov", sound_track(7, b"Opus", none, 48000), media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 7, 1, 960, 5, 0x10000))))
+
+    def part(sizes):
+        made = lambda at: media.box(b"moof", media.full(b"mfhd", bytes(4)), media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), media.full(b"trun", struct.pack(">IiI", len(sizes), at, 0), *(struct.pack(">I", n) for n in sizes), flags=0x205), media.full(b"trun", struct.pack(">I", 2), flags=0)))
+        return made(len(made(0)) + 8) + media.box(b"mdat", bytes(sum(sizes) + 10)), len(made(0)) + 8
+
+    (a, skip_a), (b, skip_b) = part([3, 4]), part([6])
+    got = media.probe_media(start + a + b)
+    x, y = len(start) + skip_a, len(start) + len(a) + skip_b
+    assert got["samples"] == [(x, x + 3), (x + 3, x + 7), (x + 7, x + 12), (x + 12, x + 17), (y, y + 6), (y + 6, y + 11), (y + 11, y + 16)]
+    assert got["keyframes"] == [(x, x + 3), (y, y + 6)] and got["duration"] == 7 * 960 and got["codec"] == "Opus"
+
+
+def test_whole_tables_against_the_libraries(spark):
+    """op2, op4, op7 and op10 over every document of a table, each row worked out anew."""
+    import public_tokenizers
+    import sentencepiece as sp
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lib, sha = sp.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), lambda x: hashlib.sha256(x).hexdigest()
+    want = {}
+    for i, t in texts.items():
+        ids = lib.encode(t, add_bos=True, add_eos=True)
+        want[i] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids).encode()))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op2_sentencepiece"](spark, sf).collect()} == want
+    for r in QUERIES["op4_media_columns"](spark, sf).collect():
+        raw = texts[r.doc_id].encode()
+        data = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), sha(data), zlib.crc32(data[-16:])) and r.duration == len(data)
+    t, end = Tokenizer.from_file(packing.default_tokenizer()), packing.END_ID
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, end] for i, x in texts.items()}
+    got, place = QUERIES["op10_best_fit_packing"](spark, sf).collect(), {}
+    assert {i: sum(r.length for r in got if r.doc_id == i) for i in ids} == {i: len(x) for i, x in ids.items()}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        assert len(ids[r.doc_id]) <= 1024 and r.piece == 0 or r.length == 1024 or r.piece == 0
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in place.values())
+
+
 def test_broken_media_is_null(spark):
     df = spark.createDataFrame([(1, 3, bytearray(b"junk")), (2, 0, None)], "id long, n_bytes long, media binary")
     assert {(r.doc_id, r.feature, r.media_bytes) for r in media.media_features(df).collect()} == {(1, None, 4), (2, None, None)}
@@ -215,6 +288,21 @@ def test_greedy_counts():
     assert n.tolist() == [greedy(t) for t in texts]
 
 
+def test_unspaced_words_take_linear_time():
+    word = "".join(random.Random(1).choice("abcdeéthing你ü") for _ in range(400_000))
+    data, offsets = common.utf8(pa.array([word, "a b c", word[:70]]))
+    starts, ends, _ = kernels.words(data, offsets)
+    a = wordcount.automaton(piece.default_model())
+    began = time.time()
+    n, unknown = a.counts(data, starts, ends)
+    assert time.time() - began < 2
+    state, total = a.start, 0
+    for b in word.encode():
+        total += int(a.pops[state * 256 + b])
+        state = int(a.to[state * 256 + b])
+    assert n[0] == (1 if a.last[state] < 0 else total + a.last[state]) and len(n) == 5
+
+
 def test_language_mixtures():
     r = random.Random(1)
     alphabets = {"aa": "abcdefg", "bb": "mnopqrs"}
@@ -225,8 +313,73 @@ def test_language_mixtures():
         n[:, j] += np.bincount(langid.trigrams(data, offsets), minlength=langid.BUCKETS)
     logp = np.log(n / n.sum(0)).astype(np.float32)
     mixed = " ".join([*[word("aa") for _ in range(80)], *[word("bb") for _ in range(20)]])
-    lang, score = langid.infer(*common.utf8(pa.array([mixed, " ".join(word("bb") for _ in range(40)), "", "123"])), logp)
+    texts = common.utf8(pa.array([mixed, " ".join(word("bb") for _ in range(40)), "", "123"]))
+    lang, score, share, cover = langid.infer(*texts, logp)
     assert lang.tolist() == [0, 1, -1, -1] and abs(score[0] - 0.8) < 0.05 and score[1] > 0.95
+    assert abs(share[0] - [0.8, 0.2]).max() < 0.05 and cover[0] > 0.99 and not share[2:].any()
+
+
+def languages_of(k: int) -> tuple[list[str], np.ndarray]:
+    """Made-up languages: words of each, and a model of them all."""
+    r = random.Random(k)
+    letters = [chr(97 + i) for i in range(26)]
+    words = [["".join(r.choice(r.sample(letters, 9)) for _ in range(6)) for _ in range(60)] for _ in range(k)]
+    n = np.full((langid.BUCKETS, k), 0.5)
+    for j, w in enumerate(words):
+        n[:, j] += 50 * np.bincount(langid.trigrams(*common.utf8(pa.array([" ".join(w)]))), minlength=langid.BUCKETS)
+    return words, np.log(n / n.sum(0)).astype(np.float32)
+
+
+def test_sets_of_languages_grow_beyond_three():
+    words, logp = languages_of(8)
+    text = " ".join(w for j in (0, 2, 3, 5, 7) for w in words[j] * 2)
+    lang, score, share, cover = langid.infer(*common.utf8(pa.array([text])), logp)
+    assert set(np.flatnonzero(share[0] > 0.1)) == {0, 2, 3, 5, 7} and share[0][[1, 4, 6]].max() < 0.02 and cover[0] > 0.9 and abs(score[0] - 0.2) < 0.05
+
+
+def test_stretches_change_nothing(monkeypatch):
+    words, logp = languages_of(5)
+    r = random.Random(2)
+    texts = common.utf8(pa.array([" ".join(r.choice(words[r.choice([i % 5, 1])]) for _ in range(r.randrange(1, 200))) for i in range(30)] + ["", "a" * 5000]))
+    whole = langid.infer(*texts, logp)
+    monkeypatch.setattr(langid, "STRETCH_CELLS", 333)
+    for a, b in zip(whole, langid.infer(*texts, logp), strict=True):
+        assert np.allclose(a, b, atol=1e-4)
+
+
+def test_long_texts_and_many_languages_take_bounded_memory():
+    import tracemalloc
+
+    words, logp = languages_of(300)
+    text = " ".join((words[7] * 4 + words[250] * 2) * 2000)
+    data, offsets = common.utf8(pa.array([text]))
+    assert len(data) > 5_000_000
+    tracemalloc.start()
+    lang, score, share, _ = langid.infer(data, offsets, logp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and lang[0] == 7 and abs(score[0] - 2 / 3) < 0.1 and share[0, 250] > 0.2
+
+
+def test_blocks_of_languages_name_the_same(spark, monkeypatch):
+    words, _ = languages_of(6)
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices(words[i % 6], k=40)), f"l{i % 6}") for i in range(60)] + [(60, " ".join(r.choices(words[0], k=60) + r.choices(words[5], k=30)), None), (None, None, None), (61, "", "l1"), (None, " ".join(words[3]), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {(r.doc_id, r.lang_pred) for r in langid.predict(df, df).collect()}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    got = langid.predict(df, df).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == whole and len(got) == len(rows)
+    assert {x.lang for r in got if r.doc_id == 60 for x in r.mixture} == {"l0", "l5"}
+
+
+def test_rows_are_judged_by_themselves(spark):
+    words, _ = languages_of(4)
+    even = " ".join(w for j in range(4) for w in words[j])
+    rows = [(i, " ".join(words[i % 4]), f"l{i % 4}", i) for i in range(40)] + [(None, even, None, 100), (None, None, None, 101), (3, "!!!", "l1", 102), (3, even, None, 103)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred long")
+    got = langid.keep_identified(df)
+    assert got.columns == df.columns and {r.lang_pred for r in got.collect()} == {*range(40), 100, 103}
 
 
 def test_held_out_accuracy(spark):
@@ -239,7 +392,7 @@ def test_vectors(spark):
     base = rng.standard_normal((40, 8))
     rows = [(i, (base[i % 40] + rng.standard_normal(8) * rng.choice([0, 0.02, 0.08, 0.3])).tolist(), int(i % 40 // 14)) for i in range(300)]
     rows += [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, [1.0] * 3, 1), (304, rows[0][1], None), (305, [float("inf")] + [1.0] * 7, 1), (0, rows[0][1], 0)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), reach=1.0).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     x = np.array([v for _, v, _ in rows[:300]])
     x /= np.linalg.norm(x, axis=1)[:, None]
     label = np.array([k for *_, k in rows[:300]])
@@ -291,13 +444,37 @@ def test_tool_calls(spark):
     results = [("c", 1, "1", "ok"), ("c", 2, "1", "again"), ("c", 3, "9", "lost"), ("c", 4, None, None)]
     got = chat.link_tool_calls(spark.createDataFrame(calls, "conv_id string, turn long, call_id string, after string, name string, arguments string"), spark.createDataFrame(results, "conv_id string, turn long, call_id string, content string")).collect()
     by = {(r.call_id, r.status): r for r in got}
-    assert len(got) == 11 and len(by) == 10
+    assert len(got) == 11 and len(by) == 9
     assert by["1", "ok"].json == '{"call":{"arguments":{"limit":1,"query":"q"},"id":"1","name":"search"},"result":{"content":"ok","id":"1"}}'
     assert by["2", "invalid"].errors == ["missing:limit", "type:query"] and by["2", "invalid"].level == 1
     assert by["3", "invalid"].errors == ["unknown_tool"] and by["3", "invalid"].level == 2
     assert by["4", "invalid"].dangling and by["4", "invalid"].errors == ["malformed"]
     assert {by["5", "cycle"].level, by["6", "cycle"].level} == {None}
-    assert {k for k in by if k[1] in ("duplicate", "orphan")} == {("1", "duplicate"), ("9", "orphan"), (None, "orphan"), (None, "duplicate")} - (set() if (None, "duplicate") in by else {(None, "duplicate")})
+    assert {k for k in by if k[1] in ("duplicate", "orphan", "unidentified")} == {("1", "duplicate"), ("9", "orphan"), (None, "unidentified")}
+
+
+def test_identifiers_hold_within_a_conversation(spark):
+    calls = [(c, t, f"call_{t}", f"call_{t - 1}" if t else None, "search", '{"limit":1,"query":"q"}') for c in ("a", "b") for t in range(3)] + [(None, 0, "call_0", None, "search", "{}")]
+    results = [(c, t, f"call_{t}", c + str(t)) for c in ("a", "b") for t in range(3)] + [(None, 1, "call_0", "x")]
+    got = chat.link_tool_calls(spark.createDataFrame(calls, "conv_id string, turn long, call_id string, after string, name string, arguments string").withColumn("level", F.lit(9)), spark.createDataFrame(results, "conv_id string, turn long, call_id string, content string").withColumn("kept", F.lit(1))).collect()
+    by = {(r.conv_id, r.call_id): r for r in got if r.conv_id}
+    assert len(by) == 6 and all(r.status == "ok" and r.level == r.turn and f'"content":"{r.conv_id}{r.turn}"' in r.json for r in by.values())
+    assert [r.status for r in got if r.conv_id is None] == ["unidentified"] * 2
+
+
+def test_numbers_have_one_form(spark):
+    forms = {"1": ["1", "1.0", "1e0", "10E-1", "0.1e1"], "0": ["0", "-0", "0.000", "0e9"], "-0.25": ["-0.25", "-25e-2", "-0.250"], "12345678901234567890": ["12345678901234567890"], "1e+300": ["1e300", "10e299"], "1.5e-7": ["0.00000015", "1.5E-7"], "0.0001": ["1e-4", "0.0001"], "120": ["120", "1.2e2"]}
+    rows = [(want, x) for want, xs in forms.items() for x in xs]
+    df = spark.createDataFrame(rows, "want string, x string")
+    assert all(r.got == r.want for r in df.select("want", chat.number_text(F.col("x")).alias("got")).collect())
+    whole = df.select("want", chat.canonical(F.to_json(chat.parsed(F.concat(F.lit('{"b":"1.0 \\\\\\" 2e5","a":['), "x", F.lit(',{"k":true}]}'))))).alias("got")).collect()
+    assert all(r.got == '{"a":[' + r.want + ',{"k":true}],"b":"1.0 \\\\\\" 2e5"}' for r in whole), whole
+
+
+def test_integers_however_written(spark):
+    cases = {"5": [], "5.0": [], "5e0": [], "12345678901234567890": [], "5.5": ["type:limit"], "1e-1": ["type:limit"], '"5"': ["type:limit"], "1e30": []}
+    df = spark.createDataFrame([(k, '{"query":"q","limit":' + k + "}") for k in cases], "k string, a string")
+    assert {r.k: r.e for r in df.select("k", chat.errors(F.lit("search"), F.col("a")).alias("e")).collect()} == cases
 
 
 def test_urls(spark):
@@ -309,12 +486,23 @@ def test_urls(spark):
 
 def test_bad_branch_is_rejected(spark):
     rows = [(i, f"http://h.com/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]
-    labels = spark.createDataFrame([(i, True) for i in range(60) if i % 2 and i % 10 != 1], "page_id long, bad boolean")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(60) if i % 10 not in (1, 2)] + [(5, None), (None, True)], "page_id long, bad boolean")
     got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
     assert all((r.verdict == "block") == (k % 2 == 1) for k, r in got.items())
     assert {r.template for r in got.values()} == {"/bad/*", "/good/*"}
 
 
+def test_few_labels_decide_and_depth_has_no_end(spark):
+    deep = "/".join("abcdefg")
+    rows = [(i, f"http://h.com/{deep}/{'2023' if i % 2 else '2024'}/{i}/x") for i in range(400)] + [(1000, "http://other.com/2023/1"), (None, "http://h.com/a"), (1001, "http://other.com/2023/1")]
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(40)], "page_id long, bad boolean")
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("template", F.lit(1)).withColumn("good", F.lit(2))
+    got = {r.page_id: r for r in urls.filter_urls(pages, labels=labels).collect()}
+    assert all((got[i].verdict == "block") == (i % 2 == 1) for i in range(400))  # 20 of 200 pages of a branch are labelled
+    assert got[1].template == "/*/*/*/*/*/*/*/2023/*/*" and got[1].purity == 1 / 22 and got[1000].purity == 0.5
+    assert got[1000].verdict == got[1001].verdict == got[None].verdict == "allow"
+
+
 def test_plan_is_whole():
     rng = np.random.default_rng(2)
     for make in (lambda: rng.integers(1, 1025, 5000), lambda: rng.integers(400, 700, 3000), lambda: np.array([1024] * 5 + [1] * 3), lambda: np.zeros(0, int)):
@@ -342,7 +530,6 @@ def test_token_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     texts = [x or "" for x in odd_documents()["text"].to_pylist()] + ["\x85\xa0  a\u2028b", "I'll they've 12½  \n\n x", "naïve Ünder-score_ …—"]
     got = packing.ids_of(packing.default_tokenizer()).encode(texts)
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
@@ -387,3 +574,32 @@ def test_digests_are_of_whole_texts(spark, folder):
     long = odd_documents()["text"].to_pylist()[11].encode()
     assert got[11].payload_sha256 == hashlib.sha256(media.padded(long)).hexdigest() and got[0].n_bytes == 0
     assert got[7].media_sha256 == got[8].media_sha256
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "local[2]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    found = common.shared_dir(Session())
+    assert found and found == common.shared_dir(Session())
+    Context.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+    assert common.shared_dir(spark)
+
+
+def test_dimensions_and_repeated_names(spark):
+    rows = [(1, [1, 0, 0], 1), (2, [1, 0.01, 0], 1), (3, [1, 0], 1), (4, [1, 0.001], 1), (5, [2], 1), (6, [3], 1), (7, [-3], 1), (1, [0, 1, 0], 1), (8, [0, 1, 0.01], 1), (9, None, 1), (1, None, 1), (1, [1, 0, 0], 1), (None, [1, 0, 0], 1), (10, [1, 0, 0, 0, 0], 1), (11, [1, 0, 0, 0, 0, 0], 1), (12, [1, 0, 0, 0, 0.05], 1)]
+    df = spark.createDataFrame([(i, None if v is None else [float(x) for x in v], k) for i, v, k in rows], "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(0)).withColumn("e", F.lit(0))
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0) for r in vectors.near_duplicates(df).collect()))
+    assert got == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 1, 1), (9, 0, 9), (10, 1, 10), (11, 0, 11), (12, 1, 10)]
