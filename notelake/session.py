@@ -1,12 +1,15 @@
-"""Session helpers: shipping this package to executors and building a local session."""
+"""Session helpers: shipping this package to executors, a local session, tables staged in the cluster's shared folder, partitions replaced."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,16 +41,54 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
-def atomic_overwrite(df, location: str) -> None:
-    """Replace a Parquet table that ``df`` may read: write beside it, then swap."""
+@lru_cache(1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="notelake-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share: ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was given.
+
+    Where neither is set, a temporary folder of this process for a local master, whose executors share its disk; on a cluster an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("staged tables need a folder that the driver and all executors share: set spark.checkpoint.dir when the application starts")
+    return _local_dir()
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back. ``dropped`` removes it."""
     spark = df.sparkSession
-    jvm, beside, old = spark._jvm, f"{location.rstrip('/')}__new", f"{location.rstrip('/')}__old"
-    df.write.mode("overwrite").parquet(beside)
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(location).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(at(old), True)
-    if fs.exists(at(location)):
-        fs.rename(at(location), at(old))
-    fs.rename(at(beside), at(location))
-    fs.delete(at(old), True)
-    spark.catalog.refreshByPath(location)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def replace_partitions(df: DataFrame, location: str, by: str, files: int = 1) -> None:
+    """Write ``df`` over those partitions of a Parquet table that it has rows of, and leave the others alone; ``df`` may read the table.
+
+    All rows are written beside the table first: a job that fails changes nothing, and the swap that ends it only renames finished files, partition by partition."""
+    ready = stage(df, "partitions")
+    ready.repartition(files, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(location)
+    dropped(ready)
+    df.sparkSession.catalog.refreshByPath(location)

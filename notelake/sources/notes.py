@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.linkgraph import basename, folder
+from ..session import exists, replace_partitions
 
 HIDDEN = r"(^|/)(\.[^/]*|node_modules)(/|\z)"
 
@@ -52,47 +55,65 @@ def delete_folder(table: DataFrame, name: str) -> DataFrame:
 
 
 class KeyValueStore:
-    """JSON values by key as a Parquet table (key, value); values that are not JSON read as null."""
+    """JSON values by key as a Parquet table (key, value), dealt into partitions by key, of which a write rewrites one; values that are not JSON read as null."""
+
+    def __init__(self, spark: SparkSession, location: str, partitions: int = 64):
+        self.spark, self.location, self.partitions = spark, location, partitions
 
-    def __init__(self, spark: SparkSession, location: str):
-        self.spark, self.location = spark, location
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.partitions)).cast("int").alias("part")
 
     def _all(self) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.location)
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], "key string, value string")
-        return self.spark.read.schema("key string, value string").parquet(self.location)
+        kind = "key string, value string, part int"
+        return self.spark.read.schema(kind).parquet(self.location).where("key is not null") if exists(self.spark, self.location) else self.spark.createDataFrame([], kind)
+
+    def entries(self) -> DataFrame:
+        """(key, value) with values that are no JSON as null."""
+        return self._all().select("key", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).alias("value"))
 
     def read(self, key: str):
         """The value as a Python object, None where it is missing or corrupt."""
-        import json
-
-        row = self._all().where(F.col("key") == key).first()
+        row = self._all().where((F.col("key") == key) & (F.col("part") == self._part_of(key))).first()
         try:
             return None if row is None else json.loads(row.value)
         except ValueError:
             return None
 
-    def write(self, key: str, value) -> None:
-        import json
+    def _part_of(self, key: str) -> int:
+        return self.spark.range(1).select(F.lit(key).alias("key")).select(self._part()).first()[0]
 
-        from ..session import atomic_overwrite
+    def put(self, rows: DataFrame) -> None:
+        """Upsert rows(key, value), one for each key."""
+        new = rows.select("key", "value", self._part())
+        self._replace(new.select("part").distinct(), new.select("key"), new)
 
-        one = self.spark.createDataFrame([(key, json.dumps(value, ensure_ascii=False))], "key string, value string")
-        atomic_overwrite(self._all().where(F.col("key") != key).unionByName(one), self.location)
+    def remove(self, keys: DataFrame) -> None:
+        self._replace(keys.select(self._part()).distinct(), keys.select("key"), None)
 
-    def delete(self, key: str) -> None:
-        from ..session import atomic_overwrite
+    def _replace(self, parts: DataFrame, gone: DataFrame, new: DataFrame | None) -> None:
+        rows = self._all().join(F.broadcast(parts), "part", "left_semi").join(gone, "key", "left_anti").select("key", "value", "part")  # at most so many rows as partitions are broadcast
+        none = parts.select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), "part")  # a partition without rows is replaced too
+        replace_partitions((rows.unionByName(new) if new is not None else rows).unionByName(none), self.location, "part", self.partitions)
 
-        atomic_overwrite(self._all().where(F.col("key") != key), self.location)
+    def write(self, key: str, value) -> None:
+        self.put(self.spark.createDataFrame([(key, json.dumps(value, ensure_ascii=False))], "key string, value string"))
+
+    def delete(self, key: str) -> None:
+        self.remove(self.spark.createDataFrame([(key,)], "key string"))
 
     def exists(self, key: str) -> bool:
-        return bool(self._all().where(F.col("key") == key).head(1))
+        return bool(self._all().where((F.col("key") == key) & (F.col("part") == self._part_of(key))).head(1))
 
     def keys(self) -> DataFrame:
         return self._all().select("key")
 
     def clear(self) -> None:
-        from ..session import atomic_overwrite
+        self.remove(self.keys())
+
 
-        atomic_overwrite(self._all().limit(0), self.location)
+def readable(paths: DataFrame, notes: DataFrame) -> DataFrame:
+    """The notes of ``paths(path)``; one that does not exist is an error when the rows are read."""
+    there = notes.withColumn("_there", F.lit(True))
+    found = paths.join(there, "path", "left")
+    missing = F.raise_error(F.concat(F.lit("no such note: "), F.coalesce("path", F.lit("null")))).cast("boolean")
+    return found.where(F.coalesce("_there", missing)).select(notes.columns)
