@@ -1,6 +1,7 @@
 """Path globs as anchored regular expressions with a literal prefix that scans can be pruned by.
 
-``**`` crosses folders, ``*`` and ``?`` do not; ``{a,b}``, ``[..]`` and a leading ``!`` work, and dot files match. Extended globs such as ``@(a|b)`` are refused.
+``**`` crosses folders, ``*`` and ``?`` do not; ``{a,b}``, ``[..]``, a leading ``!`` and the extended forms ``@(a|b)``, ``?(a|b)``, ``*(a|b)``, ``+(a|b)`` and ``!(a|b)`` (what is none of these,
+within a folder) work, and dot files match.
 """
 
 from __future__ import annotations
@@ -20,11 +21,23 @@ def parse_patterns(text: str, comments: bool = True) -> list[str]:
 
 def to_regex(glob: str) -> str:
     """The regular expression (without anchors) of a glob."""
-    if re.search(r"[@+*?!]\(", glob):
-        raise ValueError(f"extended globs are not supported: {glob}")
-    out, at, depth = [], 0, 0
+    out, at, depth, open_ = [], 0, 0, []
     while at < len(glob):
         c = glob[at]
+        if c in "@?*+!" and glob.startswith("(", at + 1):
+            out.append("(?:(?!(?:" if c == "!" else "(?:")
+            open_.append(c)
+            at += 2
+            continue
+        if c == ")" and open_:
+            kind = open_.pop()
+            out.append(")(?:/|\\z))[^/]*)" if kind == "!" else ")" + {"@": ""}.get(kind, kind))
+            at += 1
+            continue
+        if c == "|" and open_:
+            out.append("|")
+            at += 1
+            continue
         if glob.startswith("**/", at) and (at == 0 or glob[at - 1] == "/"):
             out.append("(?:.*/)?")
             at += 3
@@ -57,20 +70,23 @@ def to_regex(glob: str) -> str:
         at += 1
     if depth:
         raise ValueError(f"unclosed {{ in {glob}")
+    if open_:
+        raise ValueError(f"unclosed ( in {glob}")
     return "".join(out)
 
 
 def literal_prefix(glob: str) -> str:
-    return re.match(r"[^*?\[{!]*", glob)[0] if not glob.startswith("!") else ""
+    return re.match(r"[^*?\[{!@+]*", glob)[0] if not glob.startswith("!") else ""
 
 
 def matches(path: Column, patterns: list[str]) -> Column:
     """Whether any pattern fits; no patterns fit nothing. Literal prefixes go in front, as those reach the scan."""
     tests = []
     for p in patterns:
-        test = path.rlike(rf"(?s)\A(?:{to_regex(p.lstrip('!'))})\z")
+        negated = p.startswith("!") and not p.startswith("!(")
+        test = path.rlike(rf"(?s)\A(?:{to_regex(p.lstrip('!') if negated else p)})\z")
         prefix = literal_prefix(p)
-        tests.append(~test if p.startswith("!") else path.startswith(prefix) & test if prefix else test)
+        tests.append(~test if negated else path.startswith(prefix) & test if prefix else test)
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def is_due(last: Column, streak: Column, now: Column) -> Column:
     return last.isNull() | (days_between(now, last) >= interval(streak))
 
 
+def worth_asking(words: Column, tags: Column, wanted: list[str] | None = None) -> Column:
+    """Notes of a hundred words or more that have one of the wanted tags, if any are wanted."""
+    return (words >= 100) & (F.arrays_overlap(tags, F.array(*map(F.lit, wanted))) if wanted else F.lit(True))
+
+
 def should_quiz(last: Column, streak: Column, now: Column) -> Column:
     """Neither mastered and fresh nor asked within a day."""
     days = days_between(now, last)
@@ -84,9 +91,11 @@ def sample(scored: DataFrame, n: int, seed: int = 0) -> DataFrame:
     banded = scored.crossJoin(F.broadcast(cuts)).withColumn("band", F.when(F.col("score") >= F.col("c")[0], 0).when(F.col("score") >= F.col("c")[1], 1).otherwise(2)).drop("c")
     unit = (F.xxhash64("note_id", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 1) / float(1 << 53)
     key = F.log(unit) / F.greatest("score", F.lit(1e-9))
-    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc(key), "note_id"))
-    share = F.when(F.col("band") == 0, round(n * 0.40)).when(F.col("band") == 1, round(n * 0.35)).otherwise(n - round(n * 0.40) - round(n * 0.35))
-    return banded.withColumn("_r", rank).where(F.col("_r") <= share).drop("_r")
+    first, second = round(n * 0.40), round(n * 0.35)
+    keyed = banded.withColumn("_k", key)
+    # a bounded heap a task and band instead of a sort of each band in one task
+    best = [keyed.where(F.col("band") == b).orderBy(F.desc("_k"), "note_id").limit(k) for b, k in enumerate((first, second, n - first - second))]
+    return functools.reduce(DataFrame.unionByName, best).drop("_k")
 
 
 #: How many questions of each format a quiz has.
@@ -109,11 +118,11 @@ def stale_questions(cache: DataFrame, notes: DataFrame, now: Column, days: int =
     return cache.join(fresh.select("question_id"), "question_id", "left_anti")
 
 
-def merge_events(local: DataFrame, remote: DataFrame, key: str = "event_id", ts: str = "ts") -> DataFrame:
-    """Union of two logs, one row per id, the local one where both have it, by time."""
+def merge_events(local: DataFrame, remote: DataFrame, key: str = "event_id") -> DataFrame:
+    """Union of two logs, one row per id, the local one where both have it; readers order it by time where they need to."""
     both = local.withColumn("_p", F.lit(0)).unionByName(remote.withColumn("_p", F.lit(1)))
     cols = [c for c in local.columns if c != key]
-    return both.groupBy(key).agg(F.min_by(F.struct(*cols), "_p").alias("x")).select(key, "x.*").orderBy(ts, key)
+    return both.groupBy(key).agg(F.min_by(F.struct(*cols), "_p").alias("x")).select(key, "x.*")
 
 
 def orphans(history: DataFrame, notes: DataFrame) -> DataFrame:

@@ -57,10 +57,11 @@ def conversation_list(messages: DataFrame) -> DataFrame:
     return out.select("conversation_id", "messages", topic(F.col("first_user")).alias("topic"), "last_seq", "last_role", "last_content")
 
 
-def message_sources(answers: DataFrame, notes: DataFrame) -> DataFrame:
-    """(answer_id, path) of notes whose path or (case aside) base name stands in the answer; the notes of a conversation are few and broadcast by the planner when they are."""
+def message_sources(answers: DataFrame, notes: DataFrame, key: str) -> DataFrame:
+    """(answer_id, path) of answers(answer_id, key, text) that hold the path or (case aside) the base name of one of the notes(key, path) under the same key: a conversation, or its goal."""
     name = F.lower(F.replace(F.substring_index("path", "/", -1), F.lit(".md"), F.lit("")))
-    return answers.join(notes.select("path", name.alias("name")), F.col("text").contains(F.col("path")) | F.lower("text").contains(F.col("name"))).select("answer_id", "path").distinct()
+    joined = answers.join(notes.select(key, "path", name.alias("name")), key)
+    return joined.where(F.col("text").contains(F.col("path")) | F.lower("text").contains(F.col("name"))).select("answer_id", "path").distinct()
 
 
 def prompt_context(notes: DataFrame, key: str, path: str, content: str, separator: str = "\n\n---\n\n") -> DataFrame:

@@ -54,6 +54,36 @@ class OfflineEmbeddings:
         return out
 
 
+class LetterEmbeddings:
+    """Unit vectors of how often each of the letters stands in a text: simple enough to be worked out in SQL, for dry runs and comparisons."""
+
+    def __init__(self, letters: str = "etaoinsr", batch_size: int = 128):
+        self.letters, self.batch_size = letters, batch_size
+
+    def embed(self, texts):
+        out = []
+        for t in texts:
+            v = [float(t.count(c)) for c in self.letters]
+            n = sum(x * x for x in v) ** 0.5 or 1.0
+            out.append(([x / n for x in v], None))
+        return out
+
+
+class ScriptedChat:
+    """Answers every request with what a function makes of its last message."""
+
+    def __init__(self, answer: Callable[[str], str]):
+        self.answer = answer
+
+    def chat(self, messages):
+        return self.answer(messages[-1]["content"])
+
+
+def embed_one(provider: EmbeddingProvider, text: str) -> list[float] | None:
+    """The vector of one text, None for a blank one."""
+    return with_retries(lambda: provider.embed([text]))[0][0] if text.strip() else None
+
+
 def retryable(error: Exception) -> bool:
     """429 and server errors, and whatever speaks of the network; client errors never."""
     status = getattr(error, "status", None)
@@ -96,7 +126,7 @@ def embed(rows: DataFrame, provider: EmbeddingProvider, parallelism: int | None
     return rows.mapInPandas(run, "path string, content_hash string, embedding array<float>, token_count int")
 
 
-def chat(requests: DataFrame, provider: ChatProvider, key: str) -> DataFrame:
+def chat(requests: DataFrame, provider: ChatProvider, key: str, attempts: int = 3, base: float = 1.0) -> DataFrame:
     """(key, response, error) of requests(key, system, messages): one call a row, with retries; a failed call is a message, not a failed query."""
     ship(requests.sparkSession)
     kind = dict(requests.dtypes)[key]
@@ -107,7 +137,7 @@ def chat(requests: DataFrame, provider: ChatProvider, key: str) -> DataFrame:
             for r in f.itertuples(index=False):
                 said = [{"role": "system", "content": r.system}] * bool(r.system) + [{"role": m["role"], "content": m["content"]} for m in r.messages]
                 try:
-                    out.append((with_retries(lambda m=said: provider.chat(m)), None))
+                    out.append((with_retries(lambda m=said: provider.chat(m), attempts, base), None))
                 except Exception as e:
                     out.append((None, mapped_error(getattr(e, "status", None))))
             yield pd.DataFrame({key: f[key].values, "response": [a for a, _ in out], "error": [b for _, b in out]})

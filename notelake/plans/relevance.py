@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import select
+from ..functions.json import scores as json_scores
 from ..functions.markdown import prepare
 from ..functions.scores import note_band, to_score
 from ..functions.text import content_hash, estimate_tokens, preview, truncate, was_truncated
-from ..operators.cache import changed, split
+from ..operators.cache import EmbeddingCache, split
 from ..operators.search import top_k
-from .providers import EmbeddingProvider, embed
+from ..session import stage
+from .prompts import SYSTEM
+from .providers import ChatProvider, EmbeddingProvider, chat, embed
 
+#: Told (phase, current, total, message) on the driver.
+Progress = Callable[[str, int, int, str], None]
 REASON = "Selected by embedding similarity"
 
 
+def query_text(name: Column, description: Column, milestones: Column) -> Column:
+    """The text that a goal is embedded by; milestones only where there are any."""
+    head = F.concat(F.lit("Learning Goal: "), name, F.lit("\nDescription: "), description)
+    return F.when(F.size(milestones) > 0, F.concat(head, F.lit("\nMilestones: "), F.array_join(milestones, ", "))).otherwise(head)
+
+
+def silent(phase: str, current: int, total: int, message: str) -> None:
+    """Progress that nobody follows."""
+
+
 @dataclass(frozen=True)
 class Draft:
     name: str
@@ -35,12 +51,19 @@ def prepared(notes: DataFrame, limit: int = 8191) -> DataFrame:
     return rows.select("*", content_hash(F.col("content")).alias("content_hash"), estimate_tokens(F.col("text")).alias("estimated_tokens"), was_truncated(F.col("text")).alias("was_truncated"))
 
 
-def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider) -> DataFrame:
-    """(path, content_hash, embedding, from_cache): hits from the cache, misses from the provider; only misses are sent."""
-    ready = prepared(notes)
-    hits = split(ready, cached).where("from_cache").select("path", "content_hash", "embedding", "from_cache")
-    fresh = embed(changed(ready, cached), provider)
-    return hits.unionByName(fresh.select("path", "content_hash", "embedding", F.lit(False).alias("from_cache")))
+def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None) -> DataFrame:
+    """(path, content_hash, embedding, from_cache, token_count): hits from the cache, misses from the provider.
+
+    Notes are prepared and joined with the cache once and written; what the provider answers is written too, so that no later action or retried stage asks, and pays, again."""
+    ready = stage(split(prepared(notes), cached), "ready")
+    said = progress or silent
+    total, misses = ready.agg(F.count("*"), F.count_if(~F.col("from_cache"))).first()
+    said("indexing", total - misses, total, "notes found in the cache")
+    none = F.lit(None).cast("int").alias("token_count")
+    fresh = stage(embed(ready.where("not from_cache"), provider), "fresh")
+    said("indexing", total, total, "notes indexed")
+    hits = ready.where("from_cache").select("path", "content_hash", "embedding", "from_cache", none)
+    return hits.unionByName(fresh.select("path", "content_hash", "embedding", F.lit(False).alias("from_cache"), "token_count"))
 
 
 def merged(candidates: DataFrame, scores: DataFrame) -> DataFrame:
@@ -63,13 +86,41 @@ def autoselected(rows: DataFrame, least: float = 70) -> DataFrame:
     return rows.where(F.col("score") >= least)
 
 
-def score_notes(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, draft: Draft, include: list[str] | None = None, exclude: list[str] | None = None, k: int = 40) -> DataFrame:
-    """The relevance search without a model: path, score, reason, preview, band; best first."""
+def rerank_request(candidates: DataFrame, draft: Draft) -> DataFrame:
+    """One request (request_id, system, messages) with the top candidates(path, similarity, preview), best first; none without candidates."""
+    one = F.concat(F.lit("### "), F.col("path"), F.lit("\n"), F.col("preview"))
+    text = F.expr("listagg(_t, '\n\n') within group (order by similarity desc, path)")
+    held = candidates.withColumn("_t", one).agg(F.count("*").alias("n"), text.alias("notes")).where("n > 0")
+    asked = F.concat(F.lit(draft.text() + "\n\nNotes:\n\n"), F.col("notes"))
+    return held.select(F.lit(0).alias("request_id"), F.lit(SYSTEM["relevance"]).alias("system"), F.array(F.struct(F.lit("user").alias("role"), asked.alias("content"))).alias("messages"))
+
+
+def score_notes(notes: DataFrame, cached: DataFrame | EmbeddingCache, provider: EmbeddingProvider, draft: Draft, include: list[str] | None = None, exclude: list[str] | None = None, k: int = 40, model: ChatProvider | None = None, progress: Progress | None = None, now: Column | None = None) -> DataFrame:
+    """The relevance search: path, score, reason, preview, band; best first.
+
+    Include and exclude globs, preparation, cache, provider, top k by cosine; with a chat ``model`` its scores and reasons replace those of the candidates it names. A cache object gets what the
+    provider answered; ``progress(phase, current, total, message)`` is called on the driver at every phase. Without notes the result is empty and nobody is asked."""
+    said = progress or silent
     chosen = select(notes, include or [], exclude or [])
-    vectors = embedded(chosen, cached, provider)
+    writable = isinstance(cached, EmbeddingCache)
+    vectors = embedded(chosen, cached.get() if writable else cached, provider, progress)
+    if writable:
+        fresh = vectors.where("not from_cache")
+        if fresh.head(1):
+            cached.set(fresh.withColumn("created_at", F.current_timestamp() if now is None else now))
+    said("searching", 0, 1, "embedding the goal")
     query = provider.embed([draft.text()])[0][0]
     best = top_k(vectors, query, k, "path").join(chosen.select("path", preview(F.col("content")).alias("preview")), "path")
-    return ranked(best.select("path", to_score(F.col("similarity")).alias("score"), F.lit(REASON).alias("reason"), "preview", note_band(to_score(F.col("similarity"))).alias("band")))
+    best = stage(best, "candidates")
+    said("searching", 1, 1, "notes found")
+    if model is None:
+        found = best.select("path", to_score(F.col("similarity")).cast("double").alias("score"), F.lit(REASON).alias("reason"), "preview")
+    else:
+        said("explaining", 0, k, "asking the model")
+        answer = stage(chat(rerank_request(best, draft), model, "request_id"), "answer")
+        found = merged(best, json_scores(answer))
+        said("explaining", k, k, "scores given")
+    return ranked(found.withColumn("band", note_band(F.col("score"))))
 
 
 def note_context(path: Column, text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import parsed
+from ..functions.text import is_blank
 from ..session import ship
 
 #: Malformed events that end a stream.
@@ -43,24 +45,75 @@ def fold(lines: DataFrame, key: str = "stream_id", order: str = "seq") -> DataFr
     return out.select(key, F.coalesce("content", F.lit("")).alias("content"), F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), "errors", (F.col("errors") >= MOST_ERRORS).alias("failed"))
 
 
-def fold_stream(lines: DataFrame, key: str = "stream_id", order: str = "seq") -> DataFrame:
-    """The same of a streaming DataFrame: state per stream is the text so far and three counters; an updated row per stream and trigger."""
-    ship(lines.sparkSession)
-    e = lines.select(key, order, decode(F.col("line")).alias("e")).where("e is not null").select(key, order, "e.*")
+def lines_of(chunks: DataFrame, key: str = "stream_id", order: str = "seq", text: str = "chunk") -> DataFrame:
+    """(key, order, line) of streams that came in chunks(key, order, text) cut anywhere: lines are numbered from 0, what stands behind the last line break is a line too, blank ones are left out."""
+    whole = chunks.groupBy(key).agg(F.expr(f"listagg({text}, '') within group (order by {order})").alias("_w"))
+    rows = whole.select(key, F.posexplode(F.split("_w", "\n")).alias(order, "line"))
+    return rows.where(~is_blank(F.col("line")))
+
+
+#: Streams without news for so long are given up.
+IDLE = 600_000
+
+
+def fold_stream(rows: DataFrame, key: str = "stream_id", order: str = "seq", idle: int = IDLE) -> DataFrame:
+    """The same of a streaming DataFrame of rows(key, order from 0, line) or of rows(key, order from 0, chunk), chunks being cut anywhere; an updated row per stream and trigger, by ``order`` across triggers.
+
+    State of a stream: its text so far, counters, the tail of an unfinished line, and rows that came before their turn; it ends with the stream's end event, or ``idle`` milliseconds without news."""
+    ship(rows.sparkSession)
+    whole_lines = "line" in rows.columns
+    kind = dict(rows.dtypes)[key]
+    plain = rows.select(key, F.col(order).cast("bigint").alias("_o"), F.col("line" if whole_lines else "chunk").alias("_t"))
+    fields = "content string, input_tokens long, output_tokens long, errors long"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        content, inp, out, errors = state.get if state.exists else ("", 0, 0, 0)
+        text, inp, out, errors, turn, tail, waiting = state.get if state.exists else ("", 0, 0, 0, 0, "", "{}")
+        if state.hasTimedOut:
+            state.remove()
+            text, inp, out, errors, _ = told(tail, text, inp, out, errors)
+            yield row(k, text, inp, out, errors, True)
+            return
+        early = {int(a): b for a, b in json.loads(waiting).items()}
         for f in frames:
-            for r in f.sort_values(order).itertuples():
-                errors += 0 if r.ok else 1
-                content += r.text if isinstance(r.text, str) else ""
-                inp = int(r.input_tokens) if r.input_tokens == r.input_tokens and r.input_tokens is not None else inp
-                out = int(r.output_tokens) if r.output_tokens == r.output_tokens and r.output_tokens is not None else out
-        state.update((content, inp, out, errors))
-        yield pd.DataFrame({key: [k[0]], "content": [content], "input_tokens": [inp], "output_tokens": [out], "errors": [errors], "failed": [errors >= MOST_ERRORS]})
-
-    kind = dict(e.dtypes)[key]
-    return e.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, content string, input_tokens long, output_tokens long, errors long, failed boolean", "content string, input_tokens long, output_tokens long, errors long", "update", "NoTimeout")
+            early.update((int(a), b or "") for a, b in zip(f["_o"], f["_t"], strict=True) if a >= turn)
+        ended = False
+        while turn in early:
+            now = early.pop(turn)
+            *lines, tail = [now, ""] if whole_lines else (tail + now).split("\n")
+            for line in lines:
+                text, inp, out, errors, end = told(line, text, inp, out, errors)
+                ended |= end
+            turn += 1
+        if ended and not early:
+            state.remove()
+        else:
+            state.update((text, inp, out, errors, turn, tail, json.dumps(early)))
+            state.setTimeoutDuration(idle)
+        yield row(k, text, inp, out, errors, ended)
+
+    def told(line: str, text: str, inp: int, out: int, errors: int) -> tuple[str, int, int, int, bool]:
+        """Text and counters after one line, and whether it ends the stream."""
+        if not line.startswith("data: ") or not line.strip():
+            return text, inp, out, errors, False
+        if line[6:] == "[DONE]":
+            return text, inp, out, errors, True
+        try:
+            e = json.loads(line[6:])
+            kind = e.get("type")
+            if kind == "message_start":
+                inp = int(e["message"]["usage"]["input_tokens"])
+            elif kind == "message_delta":
+                out = int(e["usage"]["output_tokens"])
+            elif kind == "content_block_delta" and e["delta"].get("type") == "text_delta":
+                text += e["delta"]["text"]
+            return text, inp, out, errors, kind == "message_stop"
+        except (ValueError, KeyError, TypeError, AttributeError):
+            return text, inp, out, errors + 1, False
+
+    def row(k: tuple, text: str, inp: int, out: int, errors: int, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame({key: [k[0]], "content": [text], "input_tokens": [inp], "output_tokens": [out], "errors": [errors], "failed": [errors >= MOST_ERRORS], "ended": [ended]})
+
+    return plain.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {fields}, failed boolean, ended boolean", f"{fields}, turn long, tail string, waiting string", "update", "ProcessingTimeTimeout")
 
 
 def rate_window(requests: DataFrame, key: str, ts: str = "ts", seconds: int = 60, most: int = 10) -> DataFrame:
