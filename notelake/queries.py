@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import globs, json, markdown, scores, text
 from .operators import cache, clusters, documents, linkgraph, review, rollups, search
 from .plans import providers, relevance
+from .session import ship, stage
 from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -221,9 +223,9 @@ def llm_tokens(spark, sf):
     return notes_of(spark, sf).select("path", text.estimate_model_tokens(F.col("content")).alias("tokens"))
 
 
-@query(f"{WITH_NOTES}, p AS (SELECT path, {d_prepare('content')} AS t FROM notes) SELECT path, {d_hash('t')} AS content_hash FROM p")
+@query(f"{WITH_NOTES} SELECT path, {d_hash('content')} AS content_hash FROM notes")
 def content_hash(spark, sf):
-    return notes_of(spark, sf).select("path", text.content_hash(markdown.prepare(F.col("content"))).alias("content_hash"))
+    return notes_of(spark, sf).select("path", text.content_hash(F.col("content")).alias("content_hash"))
 
 
 def _d_last(x: str, what: str, upto: str) -> str:
@@ -232,16 +234,21 @@ def _d_last(x: str, what: str, upto: str) -> str:
     return f"(CASE WHEN instr(reverse({head}), {lit}) = 0 THEN -1 ELSE length({head}) - instr(reverse({head}), {lit}) - {len(what)} + 1 END)"
 
 
-def _d_truncate() -> str:
-    sql = f"{WITH_NOTES}, p AS (SELECT path, content AS t, {d_tokens('content')} AS n FROM notes), q AS (SELECT *, floor(length(t) * (400.0::DOUBLE / n) * 0.95::DOUBLE)::BIGINT AS target FROM p), s0 AS (SELECT *, {_d_last('t', chr(10) * 2, 'target')} AS para, {_d_last('t', ' ', 'target')} AS word, -1 AS best FROM q)"
+LETTERS = "etaoinsr"
+EMBED_LIMIT = 8191
+
+
+def _d_truncate(limit: int, source: str) -> str:
+    """CTEs that cut ``t`` of ``source`` at ``limit`` tokens: the last one, s6, has the columns of the source and ``made``, the text as cut."""
+    sql = f"p AS (SELECT *, {d_tokens('t')} AS n FROM {source}), q AS (SELECT *, floor(length(t) * ({limit}.0::DOUBLE / n) * 0.95::DOUBLE)::BIGINT AS target FROM p), s0 AS (SELECT *, {_d_last('t', chr(10) * 2, 'target')} AS para, {_d_last('t', ' ', 'target')} AS word, -1 AS best FROM q)"
     for i, e in enumerate([". ", "! ", "? ", "。", "！", "？"]):
         sql += f", s{i + 1} AS (SELECT * EXCLUDE (best), CASE WHEN {_d_last('t', e, 'target')} > best THEN {_d_last('t', e, 'target')} + {len(e)} ELSE best END AS best FROM s{i})"
     cut = "CASE WHEN para > target * 0.7 THEN para WHEN best > target * 0.7 THEN best WHEN word > target * 0.8 THEN word ELSE target END"
-    made = f"CASE WHEN n <= 400 THEN t ELSE concat({d_trim(f'left(t, ({cut})::INT)')}, chr(10), chr(10), '[content truncated]') END"
-    return sql + f" SELECT path, md5({made}) AS digest, contains({made}, '[content truncated]') AS was_truncated FROM s6"
+    made = f"CASE WHEN n <= {limit} THEN t ELSE concat({d_trim(f'left(t, ({cut})::INT)')}, chr(10), chr(10), '[content truncated]') END"
+    return sql + f", made AS (SELECT * EXCLUDE (n, target, para, word, best), {made} AS made FROM s6)"
 
 
-@query(_d_truncate())
+@query(f"{WITH_NOTES}, own AS (SELECT path, content AS t FROM notes), {_d_truncate(400, 'own')} SELECT path, md5(made) AS digest, contains(made, '[content truncated]') AS was_truncated FROM made")
 def truncate_tokens(spark, sf):
     t = text.truncate(F.col("content"), 400)
     return notes_of(spark, sf).select("path", t.alias("t")).select("path", F.md5(F.col("t").cast("binary")).alias("digest"), text.was_truncated(F.col("t")).alias("was_truncated"))
@@ -322,12 +329,13 @@ def inlink_counts(spark, sf):
 
 # --- cache and embedding ---
 
-D_READY = f"{WITH_NOTES}, p AS (SELECT seq, path, {d_prepare('content')} AS t FROM notes), h AS (SELECT seq, path, {d_hash('t')} AS content_hash, {d_tokens('t')} AS tokens FROM p)"
+D_READY = f"{WITH_NOTES}, p AS (SELECT seq, path, content, {d_prepare('content')} AS t FROM notes), h AS (SELECT seq, path, {d_hash('content')} AS content_hash, {d_tokens('t')} AS tokens FROM p)"
 
 
 def ready(spark, sf) -> DataFrame:
-    t = markdown.prepare(F.col("content"))
-    return notes_of(spark, sf).select("seq", "path", t.alias("t")).select("seq", "path", text.content_hash(F.col("t")).alias("content_hash"), text.estimate_tokens(F.col("t")).alias("estimated_tokens"))
+    """Notes with the hash of their whole content and the tokens of what is sent of them, written once."""
+    t = text.estimate_tokens(markdown.prepare(F.col("content")))
+    return stage(notes_of(spark, sf).select("seq", "path", text.content_hash(F.col("content")).alias("content_hash"), t.alias("estimated_tokens")), "ready")
 
 
 def cached(rows: DataFrame) -> DataFrame:
@@ -366,12 +374,20 @@ def embed_cost(spark, sf):
     return providers.priced(read(spark, sf, "events").select("event_id", name.alias("model"), (F.col("event_id") % 1000 * 1000).alias("tokens"))).select("event_id", "model", "dims", "cost")
 
 
-@query()
+def _d_vector(x: str) -> str:
+    return "[" + ", ".join(f"(length({x}) - length(replace({x}, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+
+
+D_EMBEDDED = f"{WITH_NOTES}, own AS (SELECT path, seq, content, {d_prepare('content')} AS t FROM notes WHERE NOT starts_with(path, 'goals/')), {_d_truncate(EMBED_LIMIT, 'own')}, e AS (SELECT path, seq, content, made, {_d_vector('made')} AS v, {d_tokens('made')} AS tokens FROM made WHERE {d_trim('made')} <> ''), u AS (SELECT path, seq, content, tokens, list_transform(v, lambda x: (x / (CASE WHEN list_dot_product(v, v) = 0 THEN 1.0::DOUBLE ELSE sqrt(list_dot_product(v, v)) END))::FLOAT) AS embedding FROM e)"
+
+
+@query(f"{D_EMBEDDED} SELECT path, {d_hash('content')} AS content_hash, false AS from_cache, tokens AS token_count, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 5) AS weighed FROM u")
 def embed_pipeline(spark, sf):
-    """Cold run of the whole embedding plan with the offline provider; no SQL form."""
+    """A cold run of the whole embedding plan with a provider that SQL can follow."""
     empty = spark.createDataFrame([], "path string, content_hash string, embedding array<float>")
-    made = relevance.embedded(globs.own_folder(notes_of(spark, sf)), empty, providers.OfflineEmbeddings(16))
-    return made.select("path", "content_hash", "from_cache", F.size("embedding").alias("dims"))
+    made = relevance.embedded(globs.own_folder(notes_of(spark, sf)), empty, providers.LetterEmbeddings(LETTERS))
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return made.select("path", "content_hash", "from_cache", "token_count", F.round(weighed, 5).alias("weighed"))
 
 
 # --- relevance ---
@@ -495,19 +511,21 @@ def last_message(spark, sf):
     return documents.replace_last(t, new)
 
 
-@query("SELECT a.conv_id * 1000 + a.turn AS answer_id, n.path FROM conversations a JOIN (SELECT DISTINCT concat('lib/', split_part(lower(text), ' ', 2), '.md') AS path, split_part(lower(text), ' ', 2) AS name FROM conversations WHERE turn = 0 AND conv_id % 10 = 0) n ON contains(a.text, n.path) OR contains(lower(a.text), n.name) WHERE a.role = 'assistant'")
+@query("SELECT DISTINCT a.conv_id * 1000 + a.turn AS answer_id, n.path FROM conversations a JOIN (SELECT DISTINCT conv_id, concat('lib/', split_part(lower(text), ' ', 2), '.md') AS path, split_part(lower(text), ' ', 2) AS name FROM conversations WHERE role = 'user') n ON n.conv_id = a.conv_id AND (contains(a.text, n.path) OR contains(lower(a.text), n.name)) WHERE a.role = 'assistant'")
 def message_sources(spark, sf):
+    """Every conversation is about notes that its user's turns name; answers are searched for those."""
     t = talk(spark, sf)
     word = F.split_part(F.lower("content"), F.lit(" "), F.lit(2))
-    notes = t.where("seq = 0 and conversation_id % 10 = 0").select(F.concat(F.lit("lib/"), word, F.lit(".md")).alias("path")).distinct()
-    answers = t.where("role = 'assistant'").select((F.col("conversation_id") * 1000 + F.col("seq")).alias("answer_id"), F.col("content").alias("text"))
-    return rollups.message_sources(answers, notes)
+    notes = t.where("role = 'user'").select("conversation_id", F.concat(F.lit("lib/"), word, F.lit(".md")).alias("path")).distinct()
+    answers = t.where("role = 'assistant'").select((F.col("conversation_id") * 1000 + F.col("seq")).alias("answer_id"), "conversation_id", F.col("content").alias("text"))
+    return rollups.message_sources(answers, notes, "conversation_id")
 
 
-@query("SELECT source, md5(string_agg(concat('## ', doc_id, chr(10), chr(10), left(text, 100)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY 1")
+@query("SELECT goal_id, md5(string_agg(concat('## ', doc_id, chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_id::VARCHAR)) AS digest FROM (SELECT doc_id // 8 AS goal_id, doc_id, coalesce(text, '') AS text FROM documents) GROUP BY 1")
 def prompt_context(spark, sf):
-    d = read(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 100).alias("body"))
-    return rollups.prompt_context(d, "source", "path", "body").select("source", F.md5(F.col("context").cast("binary")).alias("digest"))
+    """Goals have eight notes each; a goal's context holds their whole texts."""
+    d = read(spark, sf, "documents").select(F.floor(F.col("doc_id") / 8).alias("goal_id"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("body"))
+    return rollups.prompt_context(d, "goal_id", "path", "body").select("goal_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 # --- quizzes ---
@@ -574,20 +592,6 @@ def eval_parse(spark, sf):
     return made.select("doc_id", json.evaluation(F.col("response")).alias("e")).select("doc_id", "e.*")
 
 
-@query()
-def qa_document_round_trip(spark, sf):
-    """Sessions written as documents and parsed back; no SQL form."""
-    q, a = quiz(spark, sf)
-    rows = q.join(a, ["session_id", "question_id"], "left").select(
-        "session_id", (F.col("ordinal") - 1).alias("ordinal"), F.lit("open-ended").alias("type"), F.concat(F.lit("What is "), "question_id").alias("text"), F.lit("n.md").alias("source_note_path"),
-        F.array().cast("array<string>").alias("options"), F.lit(None).cast("int").alias("correct_answer"), F.when(F.col("is_correct").isNotNull(), "it").alias("user_answer"), "is_correct", F.when(F.col("is_correct").isNotNull(), "fine").alias("explanation"),
-    )
-    body = documents.write_questions(rows)
-    fields = F.struct(F.concat(F.lit("qa-"), "session_id").alias("id"), F.lit("g").alias("goalId"))
-    loaded = documents.accepted(documents.load(body.select("session_id", documents.save(fields, F.col("body")).alias("content")), documents.SESSION))
-    return loaded.select("session_id", F.explode(documents.questions(F.col("body"))).alias("q")).select("session_id", "q.ordinal", "q.type", "q.text", "q.user_answer", "q.is_correct", "q.explanation")
-
-
 # --- streams ---
 
 SSE = "SELECT conv_id AS stream_id, turn AS seq, CASE WHEN turn = 0 THEN concat('data: {{\"type\":\"message_start\",\"message\":{{\"usage\":{{\"input_tokens\":', length(text), '}}}}}}') WHEN turn % 5 = 4 THEN concat('data: {{\"type\":\"message_delta\",\"usage\":{{\"output_tokens\":', turn, '}}}}') WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN 'data: {{broken' ELSE concat('data: {{\"type\":\"content_block_delta\",\"delta\":{{\"type\":\"text_delta\",\"text\":\"t', turn, ' \"}}}}') END AS line FROM {table}"
