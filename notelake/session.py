@@ -62,6 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back. ``dropped`` removes it."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
