@@ -5,11 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import dropped, shared_dir, ship, stage  # noqa: F401
 
 #: Rows and bytes handed to Python at once: texts are long, so far fewer than Spark's defaults.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -37,44 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="notelake-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was given.
-
-    Where neither is set, a temporary folder of this process for a local master, whose executors share its disk; on a cluster an error."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("staged tables need a folder that the driver and all executors share: set spark.checkpoint.dir when the application starts")
-    return _local_dir()
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back. ``dropped`` removes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -116,6 +74,7 @@ def mapped(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | None], schem
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
+    prepared(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
