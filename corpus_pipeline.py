@@ -1,6 +1,9 @@
 """A corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and returns the columns of ``documents``; the last returns packed pieces.
+
+Rows without doc_id are judged by themselves: language ID may reject them, the joins by doc_id leave them as they are. A doc_id names one document: of rows that repeat it with equal texts the
+n-gram join keeps one. null and blank texts go with language ID. Other columns pass through, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
