@@ -32,7 +32,7 @@ class EmbeddingCache:
     def _replace(self, parts: DataFrame, rows: DataFrame) -> None:
         """The touched partitions (column part) with new rows; a partition left without rows keeps a row of nobody's, so that it is replaced too."""
         none = parts.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self._all().schema if f.name != "part"], "part").distinct()
-        replace_partitions(rows.unionByName(none), self.location, "part", self.partitions)
+        replace_partitions(rows.unionByName(none), self.location, "part")
 
     def get(self) -> DataFrame:
         return self._all().where(self._mine()).drop("part")

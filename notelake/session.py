@@ -85,11 +85,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def replace_partitions(df: DataFrame, location: str, by: str, files: int = 1) -> None:
+def replace_partitions(df: DataFrame, location: str, by: str) -> None:
     """Write ``df`` over those partitions of a Parquet table that it has rows of, and leave the others alone; ``df`` may read the table.
 
     All rows are written beside the table first: a job that fails changes nothing, and the swap that ends it only renames finished files, partition by partition."""
     ready = stage(df, "partitions")
-    ready.repartition(files, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(location)
+    ready.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(location)
     dropped(ready)
     df.sparkSession.catalog.refreshByPath(location)

@@ -93,7 +93,7 @@ class KeyValueStore:
     def _replace(self, parts: DataFrame, gone: DataFrame, new: DataFrame | None) -> None:
         rows = self._all().join(F.broadcast(parts), "part", "left_semi").join(gone, "key", "left_anti").select("key", "value", "part")  # at most so many rows as partitions are broadcast
         none = parts.select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), "part")  # a partition without rows is replaced too
-        replace_partitions((rows.unionByName(new) if new is not None else rows).unionByName(none), self.location, "part", self.partitions)
+        replace_partitions((rows.unionByName(new) if new is not None else rows).unionByName(none), self.location, "part")
 
     def write(self, key: str, value) -> None:
         self.put(self.spark.createDataFrame([(key, json.dumps(value, ensure_ascii=False))], "key string, value string"))

@@ -52,14 +52,10 @@ def lines_of(chunks: DataFrame, key: str = "stream_id", order: str = "seq", text
     return rows.where(~is_blank(F.col("line")))
 
 
-#: Streams without news for so long are given up.
-IDLE = 600_000
-
-
-def fold_stream(rows: DataFrame, key: str = "stream_id", order: str = "seq", idle: int = IDLE) -> DataFrame:
+def fold_stream(rows: DataFrame, key: str = "stream_id", order: str = "seq", idle: int | None = None) -> DataFrame:
     """The same of a streaming DataFrame of rows(key, order from 0, line) or of rows(key, order from 0, chunk), chunks being cut anywhere; an updated row per stream and trigger, by ``order`` across triggers.
 
-    State of a stream: its text so far, counters, the tail of an unfinished line, and rows that came before their turn; it ends with the stream's end event, or ``idle`` milliseconds without news."""
+    State of a stream: its text so far, counters, the tail of an unfinished line, and rows that came before their turn; it ends with the stream's end event, or after ``idle`` milliseconds without news, for queries that run on (with such a timeout Spark never ends an available-now query)."""
     ship(rows.sparkSession)
     whole_lines = "line" in rows.columns
     kind = dict(rows.dtypes)[key]
@@ -88,7 +84,8 @@ def fold_stream(rows: DataFrame, key: str = "stream_id", order: str = "seq", idl
             state.remove()
         else:
             state.update((text, inp, out, errors, turn, tail, json.dumps(early)))
-            state.setTimeoutDuration(idle)
+            if idle:
+                state.setTimeoutDuration(idle)
         yield row(k, text, inp, out, errors, ended)
 
     def told(line: str, text: str, inp: int, out: int, errors: int) -> tuple[str, int, int, int, bool]:
@@ -113,7 +110,7 @@ def fold_stream(rows: DataFrame, key: str = "stream_id", order: str = "seq", idl
     def row(k: tuple, text: str, inp: int, out: int, errors: int, ended: bool) -> pd.DataFrame:
         return pd.DataFrame({key: [k[0]], "content": [text], "input_tokens": [inp], "output_tokens": [out], "errors": [errors], "failed": [errors >= MOST_ERRORS], "ended": [ended]})
 
-    return plain.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {fields}, failed boolean, ended boolean", f"{fields}, turn long, tail string, waiting string", "update", "ProcessingTimeTimeout")
+    return plain.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {fields}, failed boolean, ended boolean", f"{fields}, turn long, tail string, waiting string", "update", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def rate_window(requests: DataFrame, key: str, ts: str = "ts", seconds: int = 60, most: int = 10) -> DataFrame:

@@ -292,3 +292,90 @@ def test_rate_window_leaves_its_start_out(spark):
     rows = [("k", base), ("k", base + dt.timedelta(seconds=60))]
     got = events.rate_window(spark.createDataFrame(rows, "k string, ts timestamp"), "k", most=1).orderBy("ts").collect()
     assert [r.in_window for r in got] == [1, 1]
+
+
+def test_streams_cut_anywhere_and_out_of_order(spark, tmp_path):
+    """Chunks cut within lines, that come in three triggers in the wrong order; the last line has no break."""
+    events_ = ['{"type":"message_start","message":{"usage":{"input_tokens":7}}}', '{"type":"content_block_delta","delta":{"type":"text_delta","text":"He"}}', "{broken", '{"type":"content_block_delta","delta":{"type":"text_delta","text":"llo"}}', '{"type":"message_delta","usage":{"output_tokens":3}}', "[DONE]"]
+    whole = "event: x\n\n" + "\n".join("data: " + e for e in events_) + "\n"
+    chunks = [whole[i : i + 23] for i in range(0, len(whole), 23)]
+    rows = [("s", k, c) for k, c in enumerate(chunks)]
+    schema = "stream_id string, seq long, chunk string"
+    whole_df = spark.createDataFrame(rows, schema)
+    batch = events.fold(events.lines_of(whole_df)).first()
+    assert (batch.content, batch.input_tokens, batch.output_tokens, batch.errors) == ("Hello", 7, 3, 1)
+    tail = spark.createDataFrame([("t", 0, whole[:-8])], schema)
+    assert events.fold(events.lines_of(tail)).first().content == "Hello"
+    src = tmp_path / "in"
+    out = []
+    for part in (rows[6:], rows[:2], rows[2:6]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+        q = events.fold_stream(spark.readStream.schema(schema).parquet(str(src))).writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [(r.content, r.ended) for r in out][-1] == ("Hello", True) and out[0].content == ""
+    assert (out[-1].input_tokens, out[-1].output_tokens, out[-1].errors) == (7, 3, 1)
+
+
+def test_a_second_search_asks_nobody(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    class Counting:
+        batch_size = 2
+
+        def __init__(self, log):
+            self.log = log
+
+        def embed(self, texts):
+            with open(self.log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return [([float(len(t)), 1.0], None) for t in texts]
+
+    notes = spark.createDataFrame([(f"n{i}.md", "word " * (i + 1)) for i in range(5)] + [("goals/g/goal.md", "own"), ("t/x.md", "left out")], "path string, content string")
+    held = cache.EmbeddingCache(spark, str(tmp_path / "cache"), "p", "m", 4)
+    told = []
+    draft = relevance.Draft("n", "d")
+    first = relevance.score_notes(notes, held, Counting(str(calls)), draft, [], ["t/**"], 3, progress=lambda *x: told.append(x)).collect()
+    texts = sum(map(int, calls.read_text().split()))
+    assert texts == 5 + 1 and len(first) == 3 and held.get().count() == 5
+    assert [x[0] for x in told] == ["indexing", "indexing", "searching", "searching"]
+    again = relevance.score_notes(notes, held, Counting(str(calls)), draft, [], ["t/**"], 3).collect()
+    assert again == first and sum(map(int, calls.read_text().split())) == texts + 1  # the goal alone
+    edited = notes.where("path <> 'n0.md'").unionAll(spark.createDataFrame([("n0.md", "else")], "path string, content string"))
+    relevance.score_notes(edited, held, Counting(str(calls)), draft, [], ["t/**"], 3)
+    assert sum(map(int, calls.read_text().split())) == texts + 1 + 2
+    assert relevance.score_notes(notes.limit(0), held, Counting(str(calls)), draft).count() == 0
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    held = cache.EmbeddingCache(spark, str(tmp_path / "cache"), "p", "m", 4)
+    row = "path string, content_hash string, embedding array<float>, token_count int, created_at timestamp"
+    at = dt.datetime(2030, 1, 1)
+    held.set(spark.createDataFrame([(f"n{i}", "h", [1.0], i, at) for i in range(20)], row))
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet")}
+    bad = spark.createDataFrame([("n1", "new", [1.0], 1, at)], row).withColumn("content_hash", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        held.set(bad)
+    assert held.get().count() == 20 and {str(p): p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet")} == before
+    held.set(spark.createDataFrame([("n1", "new", [1.0], 1, dt.datetime(2031, 1, 1))], row))
+    after = {str(p) for p in (tmp_path / "cache").rglob("*.parquet")}
+    assert len(after & before.keys()) == 3 and held.get().where("content_hash = 'new'").count() == 1  # three of four partitions untouched
+
+
+def test_missing_notes_are_errors(spark):
+    notes = spark.createDataFrame([("a.md", "x")], "path string, content string")
+    wanted = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert notes_source.readable(wanted("a.md"), notes).count() == 1
+    with pytest.raises(Exception, match="no such note: b.md"):
+        notes_source.readable(wanted("a.md", "b.md"), notes).collect()
+
+
+def test_bands_of_a_sample(spark):
+    scored = spark.createDataFrame([(i, i / 300) for i in range(300)], "note_id long, score double")
+    got = review.sample(scored, 20, 3)
+    assert sorted(r["count"] for r in got.groupBy("band").count().collect()) == [5, 7, 8] and got.select("note_id").distinct().count() == 20
+    assert got.exceptAll(review.sample(scored, 20, 3)).count() == 0
+
+
+@pytest.mark.parametrize("glob,path,want", [("@(a|b)/x.md", "b/x.md", True), ("@(a|b)/x.md", "c/x.md", False), ("+(ab)/*", "abab/x", True), ("a?(b).md", "a.md", True), ("*(x).md", "xx.md", True), ("!(a|b)/*.md", "c/x.md", True), ("!(a|b)/*.md", "a/x.md", False)])
+def test_extended_globs(spark, glob, path, want):
+    assert one(spark, globs.matches(F.lit(path), [glob])) is want
