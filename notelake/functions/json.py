@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import trim
 
+#: What the application tells a learner.
+UNABLE = "Unable to evaluate answer. Please try again."
+BROKEN = "Error evaluating answer. Please try again."
+UNEXPLAINED = "No explanation provided."
+RIGHT = "Correct! This answer demonstrates understanding of the concept."
+WRONG = "Incorrect. The correct answer was: "
+#: Fixed value: a block of JSON in a model's answer.
 FENCED = r"```json\s*([\s\S]*?)\s*```"
 
 
@@ -89,11 +96,11 @@ def evaluation(c: Column) -> Column:
     flag, k = F.try_variant_get(v, "$.isCorrect", "string"), kind(at(v, "$.isCorrect"))
     truthy = F.coalesce((k == "boolean") & (flag == "true") | (k == "number") & (F.try_variant_get(v, "$.isCorrect", "double") != 0) | (k == "string") & (flag != "") | k.isin("array", "object"), F.lit(False))
     said = text_at(v, "$.explanation")
-    why = F.when(block.isNull(), "Unable to evaluate answer. Please try again.").when(v.isNull(), "Error evaluating answer. Please try again.").when(F.coalesce(said, F.lit("")) == "", "No explanation provided.").otherwise(said)
+    why = F.when(block.isNull(), UNABLE).when(v.isNull(), BROKEN).when(F.coalesce(said, F.lit("")) == "", UNEXPLAINED).otherwise(said)
     return F.struct(truthy.alias("is_correct"), why.alias("explanation"))
 
 
 def grade(answer: Column, correct: Column, options: Column) -> Column:
     """struct<is_correct, explanation> of a multiple-choice answer."""
     right = F.coalesce(answer == correct, F.lit(False))
-    return F.struct(right.alias("is_correct"), F.when(right, "Correct! This answer demonstrates understanding of the concept.").otherwise(F.concat(F.lit("Incorrect. The correct answer was: "), F.get(options, correct.cast("int")))).alias("explanation"))
+    return F.struct(right.alias("is_correct"), F.when(right, RIGHT).otherwise(F.concat(F.lit(WRONG), F.get(options, correct.cast("int")))).alias("explanation"))

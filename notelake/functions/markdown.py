@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CJK, WS, trim
+from .text import WS, trim
 
 OPEN, CLOSE = "\x01", "\x02"
 
 
+#: Patterns of the note format, as the application reads it.
+FRONT = r"\A---\r?\n[\s\S]*?---\r?\n?"
+CODE = r"```(\w*)\r?\n[\s\S]*?```"
+IMAGE = r"!\[([^\]]*)\]\([^)]+\)"
+FRONT_LINES = r"\A---\r?\n([\s\S]*?)\r?\n---"
+TAG = r"(?<![`\w])#([a-zA-Z][a-zA-Z0-9_/-]*)"
+LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
+WORDS_FRONT = r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?"
+FENCE = r"```[\s\S]*?```"
+INLINE = r"`[^`]+`"
+#: What the second word count takes out of a text, in order, and what it leaves in place.
+PLAIN = ((r"\A---[\s\S]*?---\n?", ""), (FENCE, ""), (INLINE, ""), (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", ""))
+#: The characters that the second word count takes for words.
+WORD_CJK = r"[\u4e00-\u9fff\uac00-\ud7af\u3040-\u309f\u30a0-\u30ff]"
+
+
 def strip_frontmatter(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A---\r?\n[\s\S]*?---\r?\n?", "")
+    return F.regexp_replace(c, FRONT, "")
 
 
 def _named(c: Column, pattern: str, label: str) -> Column:
@@ -22,11 +38,11 @@ def _named(c: Column, pattern: str, label: str) -> Column:
 
 
 def summarize_code(c: Column) -> Column:
-    return _named(c, r"```(\w*)\r?\n[\s\S]*?```", "code")
+    return _named(c, CODE, "code")
 
 
 def summarize_images(c: Column) -> Column:
-    return _named(c, r"!\[([^\]]*)\]\([^)]+\)", "image")
+    return _named(c, IMAGE, "image")
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -42,7 +58,7 @@ def prepare(c: Column, frontmatter: bool = True, code: bool = True, images: bool
 
 def frontmatter(c: Column) -> Column:
     """map<string, string> of a leading block's ``key: value`` lines, the last of a key; quotes at the ends and white space dropped. Lists stay as written (``items`` splits them)."""
-    block = F.regexp_extract(c, r"\A---\r?\n([\s\S]*?)\r?\n---", 1)
+    block = F.regexp_extract(c, FRONT_LINES, 1)
     lines = F.filter(F.split(block, "\n"), lambda x: F.instr(x, ":") > 1)
     pair = lambda x: F.struct(trim(F.substring_index(x, ":", 1)).alias("k"), trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"))
     pairs = F.transform(lines, pair)
@@ -60,13 +76,13 @@ def items(v: Column) -> Column:
 def tags(c: Column) -> Column:
     """Distinct tags of the frontmatter, then those in the text outside code, all with ``#``."""
     named = F.transform(F.coalesce(items(F.try_element_at(frontmatter(c), F.lit("tags"))), F.array().cast("array<string>")), lambda t: F.when(t.startswith("#"), t).otherwise(F.concat(F.lit("#"), t)))
-    bare = F.regexp_replace(F.regexp_replace(c, r"```[\s\S]*?```", ""), r"`[^`]+`", "")
-    return F.array_union(named, F.transform(F.regexp_extract_all(bare, F.lit(r"(?<![`\w])#([a-zA-Z][a-zA-Z0-9_/-]*)"), 1), lambda t: F.concat(F.lit("#"), t)))
+    bare = F.regexp_replace(F.regexp_replace(c, FENCE, ""), INLINE, "")
+    return F.array_union(named, F.transform(F.regexp_extract_all(bare, F.lit(TAG), 1), lambda t: F.concat(F.lit("#"), t)))
 
 
 def links(c: Column) -> Column:
     """Distinct targets of wiki links in order, without alias and anchor; pure anchors dropped."""
-    raw = F.transform(F.regexp_extract_all(c, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1), trim)
+    raw = F.transform(F.regexp_extract_all(c, F.lit(LINK), 1), trim)
     return F.array_distinct(F.transform(F.filter(raw, lambda x: (x != "") & ~x.startswith("#")), lambda x: F.substring_index(x, "#", 1)))
 
 
@@ -79,16 +95,16 @@ def headings(c: Column) -> Column:
 
 def count_words(c: Column) -> Column:
     """Words between white space, outside frontmatter and fenced code."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?", ""), r"```[\s\S]*?```", "")
+    bare = F.regexp_replace(F.regexp_replace(c, WORDS_FRONT, ""), FENCE, "")
     return F.regexp_count(bare, F.lit(rf"[^{WS[1:]}+")).cast("bigint")
 
 
 def count_words_and_cjk(c: Column) -> Column:
     """Words with a Latin letter between white space and punctuation, plus CJK characters; outside frontmatter, code, link targets and HTML tags."""
-    for pattern, to in ((r"\A---[\s\S]*?---\n?", ""), (r"```[\s\S]*?```", ""), (r"`[^`]+`", ""), (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", "")):
+    for pattern, to in PLAIN:
         c = F.regexp_replace(c, pattern, to)
     words = F.filter(F.split(c, rf"[{WS[1:-1]}\p{{P}}]+"), lambda w: w.rlike("[a-zA-Z]"))
-    return (F.size(words) + F.regexp_count(c, F.lit(CJK.replace(r"\u3400-\u4dbf", "")))).cast("bigint")
+    return (F.size(words) + F.regexp_count(c, F.lit(WORD_CJK))).cast("bigint")
 
 
 def metadata(content: Column) -> list[Column]:

@@ -15,8 +15,9 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import is_blank, trim
 
+#: The document format (front matter, keys, numbers).
 FRONT = r"\A---\s*\n([\s\S]*?)\n---\s*\n([\s\S]*)\z"
-KEY = re.compile(r"( *)([A-Za-z0-9_-]+):\s*(.*)", re.DOTALL)
+KEY = re.compile(r"( *)([a-zA-Z0-9_-]+):\s*(.*)", re.DOTALL)
 NUMBER = re.compile(r"-?\d+(\.\d+)?")
 
 
@@ -120,6 +121,7 @@ def save(fields: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), json_to_yaml(F.to_json(fields)), F.lit("\n---\n"), body)
 
 
+#: How a message begins, and the parts of a question in a session's body.
 HEADER = r"\A## (User|Assistant) - ([^\n\r]+)\z"
 
 
