@@ -109,7 +109,10 @@ def roots(ids, links):
     return {i: find(i) for i in ids}
 
 
-def test_jaccard_components(spark):
+@pytest.mark.parametrize("block", [512, 5])
+def test_jaccard_components(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # 5: long runs, leaders, pairs of blocks
+    monkeypatch.setattr(ngram_join, "FAMILY_BLOCK", block)
     r, texts = random.Random(5), {}
     for f in range(30):  # families of edited copies around the threshold, some sharing a passage
         base = prose(f, r.choice([4, 30, 90, 300])).split()
