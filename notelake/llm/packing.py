@@ -29,7 +29,7 @@ from .common import released, slices, stage, table
 CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 192, 8
 #: Columns are generated until the fractional optimum is proven to be within this share (the price of the best column bounds it).
 SLACK = 0.01
-KEPT_WORDS, JOINED = 400_000, 256
+KEPT_WORDS, JOINED = 200_000, 256
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: The byte-level pre-tokeniser's pattern with its Unicode classes written out for the characters of ORDINARY.
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
@@ -123,8 +123,6 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 if rows:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
-        del codec
-        ids_of.cache_clear()  # the tokenizer and its words weigh more than reading them again
         released()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, PIECES)
