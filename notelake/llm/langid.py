@@ -92,11 +92,12 @@ def languages(docs: DataFrame) -> list[str]:
     return found
 
 
-def fit(docs: DataFrame, langs: list[str] | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages (all, or those given) and float32 log likelihoods (bucket, language) with add-1/2 smoothing; at most languages x buckets numbers reach the driver."""
+def fit(docs: DataFrame, langs: list[str] | None = None, block: bool = False) -> tuple[list[str], np.ndarray]:
+    """Languages (``langs``, where they are known; a ``block`` of them leaves rows of others out) and float32 log likelihoods (bucket, language) with add-1/2 smoothing; at most languages x buckets numbers reach the driver."""
     langs = languages(docs) if langs is None else langs
+    docs = docs.where(F.col("lang").isin(langs)) if block else docs
     n = np.full((BUCKETS, len(langs)), 0.5)
-    got = language_counts(docs.join(docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string"), "lang", "left_semi") if langs else docs.limit(0)).toArrow()
+    got = language_counts(docs).toArrow()
     at = {lang: k for k, lang in enumerate(langs)}
     n[got.column("bucket").to_numpy(), np.array([at[x] for x in got.column("lang").to_pylist()], dtype=int)] += got.column("n").to_numpy()
     return langs, np.log(n / n.sum(0)).astype(np.float32) if langs else n.astype(np.float32)
@@ -251,7 +252,7 @@ def predict_in_blocks(rows: DataFrame, train: DataFrame, langs: list[str], keep:
     rows = stage(rows.withColumn(number, F.expr("uuid()")), "numbered")
     found = []
     for a in range(0, len(langs), MOST_LANGUAGES):
-        block, logp = fit(train, langs[a : a + MOST_LANGUAGES])
+        block, logp = fit(train, langs[a : a + MOST_LANGUAGES], block=True)
         model = spark.sparkContext.broadcast(logp)
 
         def kernel(batch: pa.RecordBatch, block=block, model=model) -> dict | None:
