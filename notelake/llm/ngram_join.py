@@ -20,7 +20,6 @@ have no name to report: they get their component when a named row has the same s
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -402,43 +401,53 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = met.select(F.explode("members").alias("class")).distinct()
     named = first.where("doc_id is not null")
     known = points(docs, wanted, named, "points")
-    links, near = [], None
+    near = None
     long = stage(met.where("chunk > 0").select("run").distinct(), "long")
     if long.head(1):
         star = stage(pairwise(stars(met.join(long, "run", "left_semi")), known, may_link), "star")
-        links.append(verified(star, docs, named))
-        near = components(links[0])
-        dropped(star)
+        links = verified(star, docs, named)
+        near = components(links)
+        dropped(star, links)
     dropped(long)
     members = labelled(met.select("run", "chunk", F.explode("members").alias("class")), near)
-    open_ = members.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("run")
+    # written: few and small, so that long runs are not dealt out by their key to meet them
+    open_ = stage(members.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("run"), "open")
     left = stage(members.join(open_, "run", "left_semi").select("run", "chunk", "class", "component"), "left")
+    dropped(open_)
     pairs = stage(candidates(left, known), "pairs")
     dropped(left, met, known)
-    links.append(verified(pairs, docs, named))
-    if near:
-        dropped(near)
-    near = components(functools.reduce(DataFrame.unionAll, links))
+    near = joined_to(near, verified(pairs, docs, named))
     family = components(pairs)
     families = labelled(family.toDF("class", "family"), near)
-    open_ = families.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+    open_ = stage(families.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family"), "open")
     families = stage(families.join(open_, "family", "left_semi").select("class", "family", "component"), "families")
-    dropped(pairs, family, near)
+    dropped(pairs, family, open_)
     if families.head(1):
-        links.append(family_links(families, docs, named))
+        near = joined_to(near, family_links(families, docs, named))
     dropped(families)
-    final = components(functools.reduce(DataFrame.unionAll, links))
-    dropped(*links)
-    owned = first.join(final.toDF("class", "component"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
-    least = stage(owned.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "least")
+    owned = first.join(near.toDF("class", "component"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
+    least = stage(owned.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     label = stage(owned.join(least, "component").select("class", "component_id"), "labels")
-    dropped(final, least, first)
+    dropped(near, least, first)
     # rows without shingles have no class and stay out of the join, whose sides are plain shuffles, so that a class of very many copies can be split
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     empty = each.where("class is null").withColumn("component_id", F.lit(None).cast("bigint"))
     return each.where("class is not null").join(label, "class", "left").select(columns).unionAll(empty.select(columns))
 
 
+def joined_to(near: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links(a, b), which are dropped: known components take part as stars, so few rounds are left; without new links they stay."""
+    if near is None:
+        out = components(links)
+    elif links.head(1):
+        out = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")))
+        dropped(near)
+    else:
+        out = near
+    dropped(links)
+    return out
+
+
 def stars(runs_: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes and, per order of leaders, the leader of most of a class's runs: runs of a shared passage have leaders of other families."""
     star = runs_.select(F.posexplode("leaders").alias("k", "a"), "times", "members").select("k", "a", "times", F.explode("members").alias("b")).groupBy("k", "b", "a").agg(F.sum("times").alias("times"))
