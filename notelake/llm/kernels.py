@@ -23,12 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words ``[^\\x20\\x09-\\x0D]+`` of texts laid back to back, and the first word of each text (length + 1)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words ``[^\\x20\\x09-\\x0D]+`` (or between other bytes) of texts laid back to back, and the first word of each text (length + 1)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
+    space = between[data]
     edge = np.empty(n + 1, bool)
     edge[0] = edge[n] = True
     edge[1:n] = space[:-1]
