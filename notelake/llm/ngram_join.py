@@ -10,7 +10,8 @@ shingles in any common order (rarest first), and every run of documents that sha
 2. runs: first shingles as packed arrays per bucket, sorted in the task that owns the bucket; a run is cut where sizes alone rule links out.
 3. stars, for runs of more than BLOCK members only, as a third of all documents may be near copies of one: each class is verified against a few leaders of most of its long runs.
 4. trees: every run whose members are not all connected yet is searched by R-tree, in pairs of blocks where it is long. The candidates' maximum spanning forest by bound is verified on whole sets.
-5. families: candidates that hang together but are not all connected yet are bounded and verified in blocks, until a link joins their components.
+5. families: components that candidates hang together, whole, are bounded and verified in blocks unless they are one component by now, until a link joins their components: of a document's
+   candidates in a known component only the one of the best bound was verified so far, and any other may be its link.
 6. connected components of all links. Links within a component that is already known need no proof, as results are components.
 
 Empty sets (null, empty or blank texts) link with nothing. Texts with fewer than five words are one shingle. Repeated rows are copies. Shingles are compared
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, mapped, partitions, released, slices, stage, table, utf8
+from .common import components, dropped, mapped, partitions, prepared, released, slices, stage, table, utf8
 from .filters import passed
 from .kernels import LOWER, ODD, U, mix, word_hashes, words
 
@@ -228,9 +229,20 @@ def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
         released()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x.as_buffer() for b in batches for x in b.column("blob")]
-        if not blobs:
-            return
+        """Bucket by bucket, as they come sorted: a task holds one at a time."""
+        now, blobs = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                if bucket != now and blobs:
+                    yield from met_in(blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from met_in(blobs)
+        released()
+
+    def met_in(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         count = [len(x) // 20 for x in blobs]
         h, c = (np.concatenate([np.frombuffer(x, np.uint64, k, skip * k * 8) for x, k in zip(blobs, count, strict=True)]) for skip in (0, 1))
         n = np.concatenate([np.frombuffer(x, np.uint32, k, 16 * k) for x, k in zip(blobs, count, strict=True)]).astype(np.int64)
@@ -259,7 +271,6 @@ def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
                 rows = []
         if rows:
             yield emit(rows)
-        released()
 
     def emit(rows: list) -> pa.RecordBatch:
         key, chunk, times, leaders, members = zip(*rows, strict=True)
@@ -267,7 +278,7 @@ def runs(docs: DataFrame, times: np.ndarray) -> DataFrame:
         lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(members), pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int32()), pa.array(times, pa.int64()), pa.array(np.array(leaders, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64())), lists], ["run", "chunk", "times", "leaders", "members"])
 
-    dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(partitions(spark), "bucket")
+    dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(meet, "run bigint, chunk int, times bigint, leaders array<bigint>, members array<bigint>")
     return found.groupBy("run", "chunk").agg(F.sum("times").alias("times"), F.first("leaders").alias("leaders"), F.first("members").alias("members"))
 
@@ -393,6 +404,7 @@ def family_links(families: DataFrame, docs: DataFrame, first: DataFrame) -> Data
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``: component_id is the least doc_id reachable by links, itself included."""
+    prepared(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     found = stage(sets(docs), "sets")
     each = found.where("cells is null")
@@ -416,9 +428,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dropped(open_)
     pairs = stage(candidates(left, known), "pairs")
     dropped(left, met, known)
+    family = families_of(pairs, near)
     near = joined_to(near, verified(pairs, docs, named))
-    family = components(pairs)
-    families = labelled(family.toDF("class", "family"), near)
+    families = labelled(family, near)
     open_ = stage(families.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family"), "open")
     families = stage(families.join(open_, "family", "left_semi").select("class", "family", "component"), "families")
     dropped(pairs, family, open_)
@@ -435,6 +447,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return each.where("class is not null").join(label, "class", "left").select(columns).unionAll(empty.select(columns))
 
 
+def families_of(pairs: DataFrame, near: DataFrame | None) -> DataFrame:
+    """Staged (class, family) of all members of the known components, or classes in none, that candidate pairs(a, b) hang together."""
+    ends = labelled(labelled(pairs.toDF("class", "b"), near).select("b", F.col("component").alias("ca")).toDF("class", "ca"), near)
+    whole = components(ends.select(F.col("ca").alias("a"), F.col("component").alias("b")))
+    family = whole.toDF("component", "family")
+    if near is None:
+        return stage(family.toDF("class", "family"), "family")
+    # a component is named by one of its members, so what is no component's name is a class in none
+    known = near.toDF("class", "component").join(family, "component").select("class", "family")
+    alone = family.join(near.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("class"), "family")
+    out = stage(known.unionAll(alone), "family")
+    dropped(whole)
+    return out
+
+
 def joined_to(near: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (id, component) after more links(a, b), which are dropped: known components take part as stars, so few rounds are left; without new links they stay."""
     if near is None:

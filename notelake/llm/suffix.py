@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import dropped, mapped, partitions, released, slices, stage, table, utf8
+from .common import dropped, mapped, partitions, prepared, released, slices, stage, table, utf8
 from .filters import passed
 from .kernels import U, gram_hashes, mix, word_hashes, words
 
@@ -259,7 +259,7 @@ def for_copies(copies: DataFrame, matches: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, first_start_word): spans of at least 50 words of ``docs(doc_id, text)`` that repeat an earlier place."""
-    spark = docs.sparkSession
+    spark = prepared(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
     every = stage(outlines(docs), "outlines")
     classes = stage(every.where(f"n_words >= {LENGTH}").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("places", "doc_id").alias("places")), "classes")
