@@ -38,6 +38,7 @@ LEAST, LONGEST, BEST = 10, 3, 2000
 FLUSH, HELD = 1 << 20, 1 << 20
 #: Routes for each shuffle partition, of which a task holds one at a time.
 ROUTES = 4
+FIELDS = ["lang", "phrase", "words", "n"]
 PIECE = np.zeros(256, bool)
 PIECE[[*map(ord, ".,;:!?"), *range(10, 14)]] = True
 BETWEEN = PIECE.copy()
@@ -213,6 +214,8 @@ def phrase_texts(w: Words, first: np.ndarray, size: np.ndarray) -> pa.Array:
 def counted(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
     """Staged (lang, phrase, words, n) of marked words and phrases, and of a few others; with words = 0 how many words a language has."""
     sent = texts.sparkSession.sparkContext.broadcast(bit_map(keys))
+    parts = partitions(texts.sparkSession)
+    routes = ROUTES * parts
 
     def passes(mark: np.ndarray) -> np.ndarray:
         mask = sent.value
@@ -224,19 +227,21 @@ def counted(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
         held: list[tuple] = []
 
         def emit(rows: list[tuple], all_: bool) -> Iterator[pa.RecordBatch]:
-            """Equal phrases as one; they stay here while they are few."""
+            """Equal phrases as one; they stay here while they are few, and leave in one list for each route."""
             code, lang, size, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
             texts_ = pa.concat_arrays([r[4] for r in rows])
-            _, at, which = np.unique(code, return_index=True, return_inverse=True)
-            n = np.bincount(which, weights=n).astype(np.int64)
-            one = (code[at], lang[at], size[at], n, texts_.take(pa.array(at)))
+            code, at, which = np.unique(code, return_index=True, return_inverse=True)
+            one = (code, lang[at], size[at], np.bincount(which, weights=n).astype(np.int64), texts_.take(pa.array(at)))
             held.clear()
             if not all_ and len(at) < HELD // 2:
                 held.append(one)
-            else:
-                names = pa.array(known, pa.string()).take(pa.array(one[1]))
-                for a in range(0, len(at), 50_000):
-                    yield pa.RecordBatch.from_arrays([names.slice(a, 50_000), one[4].slice(a, 50_000).cast(pa.string()), pa.array(one[2][a : a + 50_000], pa.int32()), pa.array(n[a : a + 50_000])], ["lang", "phrase", "words", "n"])
+                return
+            bucket = ((code >> U(32)) * U(routes)) >> U(32)  # ascending, as codes are
+            cut = np.searchsorted(bucket, np.arange(routes + 1, dtype=np.uint64))
+            have = np.flatnonzero(np.diff(cut))
+            ends = pa.array(np.append(cut[have], len(code)), pa.int32())
+            lists = [pa.array(known, pa.string()).take(pa.array(one[1])), one[4].cast(pa.string()), pa.array(one[2], pa.int32()), pa.array(one[3], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), *[pa.ListArray.from_arrays(ends, x) for x in lists]], ["bucket", *FIELDS])
 
         known: list[str] = []
         numbers: dict[str, int] = {}
@@ -272,11 +277,32 @@ def counted(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
         if held:
             yield from emit(list(held), True)
         names = [*total]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([total[x] for x in names], pa.int64())], ["lang", "phrase", "words", "n"])
+        one = [pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([total[x] for x in names], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), x) for x in one]], ["bucket", *FIELDS])
+        released()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Route by route, equal texts of one language added up."""
+
+        def told(parts_: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts_).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+            yield from t.select(["lang", "phrase", "words", "n_sum"]).rename_columns(FIELDS).combine_chunks().to_batches(50_000)
+
+        now, held = None, []
+        for batch in batches:
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now and held:
+                    yield from told(held)
+                    held = []
+                now = bucket
+                held.append(pa.RecordBatch.from_arrays([batch.column(f).slice(i, 1).flatten() for f in FIELDS], FIELDS))
+        if held:
+            yield from told(held)
         released()
 
-    found = texts.mapInArrow(run, "lang string, phrase string, words int, n bigint")
-    return stage(found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")), "counts")
+    lists = "bucket int, lang array<string>, phrase array<string>, words array<int>, n array<bigint>"
+    dealt = texts.mapInArrow(run, lists).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return stage(dealt.mapInArrow(settle, "lang string, phrase string, words int, n bigint"), "counts")
 
 
 def scored(counts: DataFrame, least: int) -> DataFrame:
