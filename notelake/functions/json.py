@@ -66,12 +66,28 @@ def scores(responses: DataFrame, response: str = "response", keep: list[str] | N
     return fields.where("note_path is not null and score is not null and reason is not null").withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(100.0)))
 
 
-def questions(responses: DataFrame, response: str, keep: list[str], notes: Column) -> DataFrame:
-    """Valid questions of model responses; ``notes``: array of known paths in order. A source is the first path that equals it or ends with it."""
-    rows = responses.withColumn("_v", variant(F.col(response))).withColumn("_n", notes)
+def source_paths(asked: DataFrame, notes: DataFrame, source: str = "sourceNotePath") -> DataFrame:
+    """(source, path) of the distinct sources of ``asked``: the first of notes(place, path) that equals it or ends with it.
+
+    A path has one suffix for each length that occurs among sources, so equal suffixes meet in a join by value."""
+    wanted = asked.where(F.col(source) != "").select(F.col(source).alias("_s")).distinct()
+    lengths = wanted.agg(F.collect_set(F.length("_s")).alias("_l"))  # one row; at most as many numbers as the longest path has characters
+    size = F.length("path")
+    held = notes.where("path is not null").select("place", "path").crossJoin(F.broadcast(lengths))
+    ends = held.select("place", "path", F.explode(F.filter("_l", lambda n: n <= size)).alias("_n")).select("place", "path", F.substring("path", F.length("path") - F.col("_n") + 1, F.col("_n")).alias("_s"))
+    return ends.join(wanted, "_s", "left_semi").groupBy("_s").agg(F.min(F.struct("place", "path")).alias("_b")).select(F.col("_s").alias(source), F.col("_b.path").alias("source"))
+
+
+def questions(responses: DataFrame, response: str, keep: list[str], notes: Column | DataFrame) -> DataFrame:
+    """Valid questions of model responses; ``notes``: known paths in order, as an array where they are few, else as a table notes(place, path). A source is the first path that equals it or ends with it."""
+    few = isinstance(notes, Column)
+    rows = responses.withColumn("_v", variant(F.col(response))).withColumn("_n", notes if few else F.lit(None).cast("array<string>"))
     items = elements(rows, "_v", [*keep, "_n"], "$.questions")
     q = items.select(*keep, "_n", "pos", *[text_at(F.col("value"), f"$.{n}").alias(n) for n in ("type", "text", "sourceNotePath")], F.try_variant_get("value", "$.options", "array<string>").alias("options"), number_at(F.col("value"), "$.correctAnswer").alias("correct_answer"))
-    q = q.withColumn("source", F.get(F.filter("_n", lambda p: (p == F.col("sourceNotePath")) | p.endswith(F.col("sourceNotePath"))), F.lit(0)))
+    if few:
+        q = q.withColumn("source", F.get(F.filter("_n", lambda p: (p == F.col("sourceNotePath")) | p.endswith(F.col("sourceNotePath"))), F.lit(0)))
+    else:
+        q = q.join(source_paths(q, notes), "sourceNotePath", "left")
     choice = (F.col("type") == "multiple-choice") & (F.size("options") == 4) & F.col("correct_answer").between(0, 3)
     good = (F.col("text") != "") & (F.col("sourceNotePath") != "") & F.col("source").isNotNull() & (choice | (F.col("type") == "open-ended"))
     only = lambda c: F.when(F.col("type") == "multiple-choice", F.col(c))

@@ -1,4 +1,4 @@
-"""Clusters of notes, from the specification documents: centroids, evolution, overrides, quality. Reduction and density clustering have no counterpart in Spark: PCA and k-means with silhouette stand in."""
+"""Clusters of notes, from the specification documents: centroids, evolution, overrides, quality. Density clustering is in ``density``, the reduction in ``layout``; k-means with silhouette, after PCA if asked, is the fallback."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import dot
 from ..functions.text import CJK
-from ..session import dropped, stage
+from .components import components
 from .search import blocks, similarities
 
 
@@ -162,6 +162,23 @@ def davies_bouldin(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     return worst.crossJoin(F.broadcast(pairs.agg(F.avg("distance").alias("separation"))))  # one row each
 
 
+def silhouette(vectors: DataFrame) -> DataFrame:
+    """(id, cluster, silhouette) of vectors(cluster, id, embedding) by mean squared distances, exact without a pair of vectors: a cluster's count, sum and sum of squares give the mean from any vector to all of it.
+
+    0 for the only vector of a cluster and where there is one cluster. Clusters go in blocks of a bounded number, each of which scans the vectors once."""
+    square = dot(F.col("embedding"), F.col("embedding"))
+    rows = vectors.select("id", F.col("cluster").alias("own"), "embedding", square.alias("q"))
+    parts = rows.select("own", F.posexplode("embedding").alias("i", "x")).groupBy("own", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    sums = parts.groupBy("own").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("query"))
+    size = rows.groupBy("own").agg(F.count("*").alias("n"), F.sum("q").alias("total"))
+    near = similarities(rows, sums.select(F.col("own").alias("query_id"), "query"), "id").select("id", "own", "q", F.col("query_id").alias("cluster"), "similarity").join(size.toDF("cluster", "n", "total"), "cluster")
+    own = F.col("own") == F.col("cluster")
+    mean = (F.col("n") * F.col("q") - 2 * F.col("similarity") + F.col("total")) / F.when(own, F.col("n") - 1).otherwise(F.col("n"))
+    each = near.withColumn("d", F.when(~own | (F.col("n") > 1), mean))
+    out = each.groupBy("id", F.col("own").alias("cluster")).agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
+    return out.select("id", "cluster", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+
+
 def tag_homogeneity(members: DataFrame) -> DataFrame:
     """(cluster, homogeneity): the share of a cluster's notes(cluster, id, tags) that have its commonest tag; 0 without tags."""
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -192,25 +209,11 @@ def split_by_tag(notes: DataFrame) -> DataFrame:
     return notes.join(best, "path", "left").select("path", F.concat_ws("/", "cluster", "t").alias("cluster"))
 
 
-def link_components(notes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """(path, cluster, component) of notes(path, cluster): connected components of edges(source, target) within clusters, named by their least path; labels spread to neighbours until they stand still."""
+def link_components(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, cluster, component) of notes(path, cluster): connected components of edges(source, target) within clusters, named by their least path."""
     who = notes.select("path", "cluster")
-    inner = edges.join(who.toDF("source", "c1"), "source").join(who.toDF("target", "c2"), "target").where("c1 = c2 and source != target")
-    both = stage(inner.select("source", "target").unionAll(inner.select("target", "source")).distinct(), "edges")
-    now = stage(who.withColumn("component", F.col("path")), "labels")
-    for _ in range(most):
-        near = both.join(now.select(F.col("path").alias("target"), F.col("component").alias("m")), "target").groupBy(F.col("source").alias("path")).agg(F.min("m").alias("m"))
-        # a label also takes its own label's label, so that long chains close in a few rounds
-        far = now.select(F.col("path").alias("component"), F.col("component").alias("f"))
-        least = F.least("component", F.coalesce("m", "component"), F.coalesce("f", "component"))
-        then = stage(now.join(near, "path", "left").join(far, "component", "left").select("path", "cluster", least.alias("component")), "labels")
-        moved = then.join(now.select("path", F.col("component").alias("was")), "path").where("component != was").head(1)
-        dropped(now)
-        now = then
-        if not moved:
-            break
-    dropped(both)
-    return now
+    inner = edges.join(who.toDF("source", "c1"), "source").join(who.toDF("target", "c2"), "target").where("c1 = c2").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return who.join(components(inner).toDF("path", "component"), "path", "left").select("path", "cluster", F.coalesce("component", "path").alias("component"))
 
 
 def merge_by_tags(notes: DataFrame, least: float = 0.3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import progress, session_band
 from ..functions.text import last_index, round_half_up, trim
+from .mentions import mentions
 
 
 def quiz_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -59,9 +60,7 @@ def conversation_list(messages: DataFrame) -> DataFrame:
 
 def message_sources(answers: DataFrame, notes: DataFrame, key: str) -> DataFrame:
     """(answer_id, path) of answers(answer_id, key, text) that hold the path or (case aside) the base name of one of the notes(key, path) under the same key: a conversation, or its goal."""
-    name = F.lower(F.replace(F.substring_index("path", "/", -1), F.lit(".md"), F.lit("")))
-    joined = answers.join(notes.select(key, "path", name.alias("name")), key)
-    return joined.where(F.col("text").contains(F.col("path")) | F.lower("text").contains(F.col("name"))).select("answer_id", "path").distinct()
+    return mentions(answers, notes, key)
 
 
 def prompt_context(notes: DataFrame, key: str, path: str, content: str, separator: str = "\n\n---\n\n") -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..operators.numbering import numbered
 from ..session import ship
+from ..streaming.limits import Limiter
 
 #: Models, their dimensions and prices.
 MODELS = [
@@ -108,36 +110,60 @@ def mapped_error(status: int | None) -> str:
 
 
 def embed(rows: DataFrame, provider: EmbeddingProvider, parallelism: int | None = None) -> DataFrame:
-    """(path, content_hash, embedding, token_count) of prepared rows(path, content_hash, text, estimated_tokens); blank texts give no row. Batches are cut per task, so no shuffle is needed to form them."""
+    """(path, content_hash, embedding, token_count) of prepared rows(path, content_hash, text, estimated_tokens); blank texts give no row.
+
+    Batches are cut over the whole input: rows are numbered first, then a batch's rows come together in one task, so that the provider is called ceil(rows / batch_size) times, but for retries. A task holds one batch."""
     ship(rows.sparkSession)
     rows = rows.where(~is_blank(F.col("text"))).select("path", "content_hash", "text", "estimated_tokens")
-    rows = rows.repartition(parallelism) if parallelism else rows
+    rows = numbered(rows, "_row").withColumn("_batch", F.floor(F.col("_row") / provider.batch_size))
+    rows = (rows.repartition(parallelism, "_batch") if parallelism else rows.repartition("_batch")).sortWithinPartitions("_batch", "_row")
+
+    def answered(part: pd.DataFrame) -> pd.DataFrame:
+        got = with_retries(lambda: provider.embed(part["text"].tolist()))
+        if len(got) != len(part):
+            raise ValueError("the provider answered another number of texts")
+        tokens = [int(e) if n is None else int(n) for (_, n), e in zip(got, part["estimated_tokens"], strict=True)]
+        return pd.DataFrame({"path": part["path"].values, "content_hash": part["content_hash"].values, "embedding": [v for v, _ in got], "token_count": tokens})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for f in frames:
-            for k in range(0, len(f), provider.batch_size):
-                part = f.iloc[k : k + provider.batch_size]
-                got = with_retries(lambda p=part: provider.embed(p["text"].tolist()))
-                if len(got) != len(part):
-                    raise ValueError("the provider answered another number of texts")
-                tokens = [int(e) if n is None else int(n) for (_, n), e in zip(got, part["estimated_tokens"], strict=True)]
-                yield pd.DataFrame({"path": part["path"].values, "content_hash": part["content_hash"].values, "embedding": [v for v, _ in got], "token_count": tokens})
+            for batch, part in f.groupby("_batch", sort=True):
+                if held and held[0]["_batch"].iloc[0] != batch:
+                    yield answered(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield answered(pd.concat(held))
 
     return rows.mapInPandas(run, "path string, content_hash string, embedding array<float>, token_count int")
 
 
-def chat(requests: DataFrame, provider: ChatProvider, key: str, attempts: int = 3, base: float = 1.0) -> DataFrame:
-    """(key, response, error) of requests(key, system, messages): one call a row, with retries; a failed call is a message, not a failed query."""
+def chat(requests: DataFrame, provider: ChatProvider, key: str, attempts: int = 3, base: float = 1.0, most: int | None = None, seconds: float = 60.0, tasks: int = 1) -> DataFrame:
+    """(key, response, error) of requests(key, system, messages): one call a row, with retries; a failed call is a message, not a failed query.
+
+    With ``most``, no more calls than that are made in any ``seconds``, retries included: requests go to ``tasks`` tasks, each of which waits for one of its most / tasks slots before a call."""
     ship(requests.sparkSession)
     kind = dict(requests.dtypes)[key]
+    if most is not None:
+        if most < tasks:
+            raise ValueError("every task needs a slot")
+        requests = requests.repartition(tasks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = Limiter(most // tasks, seconds) if most is not None else None
+
+        def ask(said: list[dict]) -> str:
+            if slots:
+                slots.wait()
+            return provider.chat(said)
+
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
                 said = [{"role": "system", "content": r.system}] * bool(r.system) + [{"role": m["role"], "content": m["content"]} for m in r.messages]
                 try:
-                    out.append((with_retries(lambda m=said: provider.chat(m), attempts, base), None))
+                    out.append((with_retries(lambda m=said: ask(m), attempts, base), None))
                 except Exception as e:
                     out.append((None, mapped_error(getattr(e, "status", None))))
             yield pd.DataFrame({key: f[key].values, "response": [a for a, _ in out], "error": [b for _, b in out]})

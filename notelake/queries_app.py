@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import globs, ids, markdown
-from .operators import cache, clusters, documents, review, rollups, state
+from .functions import json as model_json
+from .operators import cache, clusters, density, documents, layout, numbering, review, rollups, state
 from .plans import prompts, providers, relevance
 from .queries import D_EMBEDDED, D_SIM, D_TAGS, LETTERS, NOW, QUERIES, SQL, WITH_NOTES, d_trim, goals, labelled, memberships, notes_of, now, query, quiz, read, talk
 from .session import shared_dir
 from .sources import notes as sources
-from .streaming import events
+from .streaming import events, limits, saving
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -691,3 +692,74 @@ def review_sample(spark, sf):
     return review.sample(e, 40, 7).select("note_id", "band")
 
 
+# --- what needs more than one pass: density, layout, admission, saved streams, numbers over a whole table ---
+
+
+@query()
+def density_clusters(spark, sf):
+    """Clusters of all embeddings by density; compared with brute force in the tests."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return density.density_clusters(e).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def reduced_vectors(spark, sf):
+    """All embeddings in ten dimensions; a drawing, so there is no SQL form."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return layout.reduced(e, rounds=15).withColumnRenamed("id", "vec_id")
+
+
+D_PAIRS = "SELECT a.vec_id, a.label AS own, b.label AS other, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT vec_id, own AS cluster, round(coalesce((min(d) FILTER (WHERE own <> other) - max(d) FILTER (WHERE own = other)) / greatest(min(d) FILTER (WHERE own <> other), max(d) FILTER (WHERE own = other)), 0), 7) AS silhouette FROM ({D_PAIRS}) GROUP BY 1, 2")
+def silhouettes(spark, sf):
+    return clusters.silhouette(labelled(spark, sf)).select(F.col("id").alias("vec_id"), "cluster", F.round("silhouette", 7).alias("silhouette"))
+
+
+D_ADMITTED = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), r AS (
+  SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::BIGINT[] AS taken, 0::BIGINT AS n, 0::BIGINT AS t, 0::BIGINT AS first FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN len(live) < 4 THEN list_append(live, t) ELSE live END, len(live), t, coalesce(live[1], 0) FROM (
+    SELECT e.user_id, e.i, e.event_id, e.t, list_filter(r.taken, lambda x: x > e.t - 172800000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+)
+SELECT user_id, event_id, n AS in_window, n < 4 AS allowed, CASE WHEN n < 4 THEN 0.0 ELSE (first + 172800000000 - t) / 1000000.0::DOUBLE END AS wait_seconds FROM r WHERE i > 0
+"""
+
+
+@query(D_ADMITTED)
+def requests_admitted(spark, sf):
+    """Four requests of a user in any two days."""
+    return limits.admitted(read(spark, sf, "events"), "user_id", "event_id", seconds=172_800, most=4).drop("ts")
+
+
+@query(f"SELECT conversation_id, seq, role, content FROM ({D_SPOKEN}) UNION ALL SELECT conversation_id, max(seq) + 1, 'user', 'why?' FROM ({D_SPOKEN}) WHERE {D_NEW} GROUP BY 1 UNION ALL SELECT conversation_id, max(seq) + 2, 'assistant', 'because' FROM ({D_SPOKEN}) WHERE {D_NEW} GROUP BY 1")
+def streams_saved(spark, sf):
+    """The exchanges of ``exchanges_saved`` in two epochs, the later one first and then replayed."""
+    c, m = conversation_tables(spark, sf)
+    later = F.lit("2030-01-01").cast("timestamp")
+    store = saving.ConversationStore(spark, fresh(spark, "conversations"), 8)
+    store.create(c.withColumn("created_at", later), m.withColumn("timestamp", later))
+    x = exchanges(spark, sf).withColumn("exchange_id", F.concat(F.lit("x"), "conversation_id")).withColumn("timestamp", later)
+    for epoch, part in ((1, x.where("conversation_id % 2 = 1")), (0, x.where("conversation_id % 2 = 0")), (2, x.where("conversation_id % 2 = 1"))):
+        store.save(part, epoch)
+    return store.messages().select(F.col("conversation_id").cast("bigint").alias("conversation_id"), "seq", "role", "content")
+
+
+D_ASKED = "SELECT doc_id, right(path, 3 + (doc_id * 7 % 20)::INT) AS s FROM notes JOIN documents ON doc_id = seq"
+
+
+@query(f"{WITH_NOTES}, asked AS ({D_ASKED}) SELECT s AS source, arg_min(path, seq) AS path FROM (SELECT DISTINCT s FROM asked) JOIN notes ON ends_with(path, s) GROUP BY 1")
+def question_sources(spark, sf):
+    """Sources that are ends of paths, among all notes."""
+    n = notes_of(spark, sf).select("path", F.col("seq").alias("place"))
+    asked = n.select(F.right("path", 3 + F.col("place") * 7 % 20).alias("sourceNotePath"))
+    return model_json.source_paths(asked, n).select(F.col("sourceNotePath").alias("source"), F.col("source").alias("path"))
+
+
+@query(f"{WITH_NOTES} SELECT path, row_number() OVER (ORDER BY path) - 1 AS row, (row_number() OVER (ORDER BY path) - 1) // 128 AS batch FROM notes")
+def batches_over_all(spark, sf):
+    rows = numbering.numbered(notes_of(spark, sf).select("path"), "row", ["path"])
+    return rows.select("path", "row", F.floor(F.col("row") / 128).alias("batch"))
