@@ -96,7 +96,7 @@ def start(nodes: DataFrame, dims: int) -> DataFrame:
 def reduced(vectors: DataFrame, dims: int = 10, k: int = 15, min_dist: float = 0.1, rounds: int = 40, seed: int = 7) -> DataFrame:
     """(id, y: array<double>) of vectors(id, embedding) in ``dims`` dimensions, by cosine distance and ``k`` neighbours."""
     named = vectors.select("id", "embedding").where("id is not null")
-    length = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    length = F.when(F.col("embedding").isNotNull(), F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     direction = F.when((length > 0) & (length < float("inf")), F.transform("embedding", lambda x: x.cast("double") / length))
     whole = named.select("id", direction.alias("embedding"))
     nodes = stage(unit(whole), "nodes")
