@@ -1,6 +1,6 @@
 """Path globs as anchored regular expressions with a literal prefix that scans can be pruned by.
 
-``**`` crosses folders, ``*`` and ``?`` do not; ``{a,b}``, ``[..]``, a leading ``!`` and the extended forms ``@(a|b)``, ``?(a|b)``, ``*(a|b)``, ``+(a|b)`` and ``!(a|b)`` (what is none of these,
+``**`` crosses folders where it is a whole segment (elsewhere it is ``*``), ``*`` and ``?`` do not; ``{a,b}``, ``{1..3}``, ``[..]`` with named classes, a leading ``!`` and the extended forms ``@(a|b)``, ``?(a|b)``, ``*(a|b)``, ``+(a|b)`` and ``!(a|b)`` (what is none of these,
 within a folder) work, and dot files match.
 """
 
@@ -12,6 +12,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The named classes of characters.
+CLASSES = {"alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "blank": " \\t", "digit": "0-9", "lower": "a-z", "punct": r"\p{Punct}", "space": r"\s", "upper": "A-Z", "word": r"\w", "xdigit": "A-Fa-f0-9"}
+NAMED = re.compile(r"\[:(\w+):\]")
+RANGE, MOST_IN_RANGE = re.compile(r"\{(-?\d+|[a-zA-Z])\.\.(-?\d+|[a-zA-Z])\}"), 1000
+
+
+def between(first: str, last: str) -> list[str]:
+    """The members of a brace range, numbers or letters, up or down; what is neither is left as it is."""
+    if (first.lstrip("-").isdigit()) != (last.lstrip("-").isdigit()):
+        return [f"{{{first}..{last}}}"]
+    number = first.lstrip("-").isdigit()
+    a, b = (int(first), int(last)) if number else (ord(first), ord(last))
+    if abs(b - a) >= MOST_IN_RANGE:
+        raise ValueError(f"the range {first}..{last} is too long")
+    step = 1 if b >= a else -1
+    return [str(x) if number else chr(x) for x in range(a, b + step, step)]
+
 
 def parse_patterns(text: str, comments: bool = True) -> list[str]:
     """One pattern a line, trimmed; blank lines and, if asked, lines with # dropped."""
@@ -42,20 +59,28 @@ def to_regex(glob: str) -> str:
             out.append("(?:.*/)?")
             at += 3
             continue
-        if glob.startswith("**", at):
+        if glob.startswith("**", at) and (at == 0 or glob[at - 1] in "/({,|") and (at + 2 == len(glob) or glob[at + 2] in "/)},|"):  # a segment of its own crosses folders
             out.append(".*")
             at += 2
             continue
+        if c == "{" and (ends := RANGE.match(glob, at)):
+            out.append("(?:" + "|".join(map(re.escape, between(*ends.groups()))) + ")")
+            at = ends.end()
+            continue
         if c == "*":
             out.append("[^/]*")
         elif c == "?":
             out.append("[^/]")
         elif c == "[":
-            to = glob.find("]", at + 2)
-            if to < 0:
+            to = at + 2 if glob[at + 1 : at + 2] in ("!", "^") else at + 1
+            body, first = ["^"] if to > at + 1 else [], to
+            while to < len(glob) and (glob[to] != "]" or to == first):  # a first ] and named classes are members
+                named = NAMED.match(glob, to)
+                body.append(CLASSES.get(named[1], "") if named else "\\" + glob[to] if glob[to] in "\\[]^&" else glob[to])
+                to = named.end() if named else to + 1
+            if to >= len(glob):
                 raise ValueError(f"unclosed [ in {glob}")
-            body = glob[at + 1 : to].replace("\\", "\\\\")
-            out.append("[" + ("^" + body[1:] if body[0] in "!^" else body) + "]")
+            out.append(f"[{''.join(body)}]")
             at = to
         elif c == "{":
             depth += 1

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, trim
-
-OPEN, CLOSE = "\x01", "\x02"
-
+from .text import let, trim
 
 #: Patterns of the note format, as the application reads it.
 FRONT = r"\A---\r?\n[\s\S]*?---\r?\n?"
@@ -31,10 +28,14 @@ def strip_frontmatter(c: Column) -> Column:
 
 
 def _named(c: Column, pattern: str, label: str) -> Column:
-    """Matches of a pattern with one group as ``[label: group]``, the group trimmed and the label itself where it is blank."""
-    c = F.regexp_replace(c, pattern, f"[{label}: {OPEN}$1{CLOSE}]")
-    c = F.regexp_replace(F.regexp_replace(c, rf"{OPEN}{WS}+", OPEN), rf"{WS}+{CLOSE}", CLOSE)
-    return F.translate(F.replace(c, F.lit(OPEN + CLOSE), F.lit(label)), OPEN + CLOSE, "")
+    """Matches of a pattern with one group as ``[label: group]``, the group trimmed and the label itself where it is blank: what stands between the matches, and the groups, put together again."""
+
+    def put(x: Column) -> Column:
+        groups = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+        one = lambda g: F.concat(F.lit(f"[{label}: "), F.coalesce(F.nullif(trim(g), F.lit("")), F.lit(label)), F.lit("]"))
+        return F.when(x.rlike(pattern), F.array_join(F.zip_with(F.split(x, pattern), groups, lambda between, g: F.concat(between, F.when(g.isNull(), "").otherwise(one(g)))), "")).otherwise(x)
+
+    return let(c, put)
 
 
 def summarize_code(c: Column) -> Column:

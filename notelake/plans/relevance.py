@@ -15,19 +15,21 @@ from ..functions.scores import note_band, to_score
 from ..functions.text import content_hash, estimate_tokens, preview, truncate, was_truncated
 from ..operators.cache import EmbeddingCache, split
 from ..operators.search import top_k
-from ..session import stage
+from ..session import dropped, stage
 from .prompts import SYSTEM
 from .providers import ChatProvider, EmbeddingProvider, chat, embed
 
 #: Told (phase, current, total, message) on the driver.
 Progress = Callable[[str, int, int, str], None]
 REASON = "Selected by embedding similarity"
+#: What stands before the parts of a goal's text.
+GOAL, DESCRIPTION, MILESTONES = "Learning Goal: ", "Description: ", "Milestones: "
 
 
 def query_text(name: Column, description: Column, milestones: Column) -> Column:
     """The text that a goal is embedded by; milestones only where there are any."""
-    head = F.concat(F.lit("Learning Goal: "), name, F.lit("\nDescription: "), description)
-    return F.when(F.size(milestones) > 0, F.concat(head, F.lit("\nMilestones: "), F.array_join(milestones, ", "))).otherwise(head)
+    head = F.concat(F.lit(GOAL), name, F.lit("\n" + DESCRIPTION), description)
+    return F.when(F.size(milestones) > 0, F.concat(head, F.lit("\n" + MILESTONES), F.array_join(milestones, ", "))).otherwise(head)
 
 
 def silent(phase: str, current: int, total: int, message: str) -> None:
@@ -41,8 +43,8 @@ class Draft:
     milestones: list[str] = field(default_factory=list)
 
     def text(self) -> str:
-        lines = [f"Learning Goal: {self.name}", f"Description: {self.description}"]
-        return "\n".join(lines + ([f"Milestones: {', '.join(self.milestones)}"] if self.milestones else []))
+        lines = [GOAL + self.name, DESCRIPTION + self.description]
+        return "\n".join(lines + ([MILESTONES + ", ".join(self.milestones)] if self.milestones else []))
 
 
 def prepared(notes: DataFrame, limit: int = 8191) -> DataFrame:
@@ -51,11 +53,16 @@ def prepared(notes: DataFrame, limit: int = 8191) -> DataFrame:
     return rows.select("*", content_hash(F.col("content")).alias("content_hash"), estimate_tokens(F.col("text")).alias("estimated_tokens"), was_truncated(F.col("text")).alias("was_truncated"))
 
 
-def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None) -> DataFrame:
-    """(path, content_hash, embedding, from_cache, token_count): hits from the cache, misses from the provider.
+def indexed(notes: DataFrame, cached: DataFrame, limit: int = 8191) -> DataFrame:
+    """Staged (path, content_hash, from_cache, embedding of hits, text and estimated_tokens of misses, preview): originals are hashed and looked up first, only what the cache misses is prepared."""
+    known = split(notes.select("path", "content", content_hash(F.col("content")).alias("content_hash")), cached)
+    miss = ~F.col("from_cache")
+    rows = known.withColumn("text", F.when(miss, truncate(prepare(F.col("content")), limit)))
+    return stage(rows.select("path", "content_hash", "from_cache", "embedding", "text", F.when(miss, estimate_tokens(F.col("text"))).alias("estimated_tokens"), preview(F.col("content")).alias("preview")), "ready")
+
 
-    Notes are prepared and joined with the cache once and written; what the provider answers is written too, so that no later action or retried stage asks, and pays, again."""
-    ready = stage(split(prepared(notes), cached), "ready")
+def vectors_of(ready: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, content_hash, embedding, from_cache, token_count) of indexed notes, hits from the cache, misses from the provider; and what the provider answered, staged, so that no later action or retried stage asks, and pays, again."""
     said = progress or silent
     total, misses = ready.agg(F.count("*"), F.count_if(~F.col("from_cache"))).first()
     said("indexing", total - misses, total, "notes found in the cache")
@@ -63,7 +70,12 @@ def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, p
     fresh = stage(embed(ready.where("not from_cache"), provider), "fresh")
     said("indexing", total, total, "notes indexed")
     hits = ready.where("from_cache").select("path", "content_hash", "embedding", "from_cache", none)
-    return hits.unionByName(fresh.select("path", "content_hash", "embedding", F.lit(False).alias("from_cache"), "token_count"))
+    return hits.unionByName(fresh.select("path", "content_hash", "embedding", F.lit(False).alias("from_cache"), "token_count")), fresh
+
+
+def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None) -> DataFrame:
+    """(path, content_hash, embedding, from_cache, token_count): hits from the cache, misses from the provider; each step is worked out once and written."""
+    return vectors_of(indexed(notes, cached), provider, progress)[0]
 
 
 def merged(candidates: DataFrame, scores: DataFrame) -> DataFrame:
@@ -103,15 +115,16 @@ def score_notes(notes: DataFrame, cached: DataFrame | EmbeddingCache, provider:
     said = progress or silent
     chosen = select(notes, include or [], exclude or [])
     writable = isinstance(cached, EmbeddingCache)
-    vectors = embedded(chosen, cached.get() if writable else cached, provider, progress)
+    ready = indexed(chosen, cached.get() if writable else cached)
+    vectors, fresh = vectors_of(ready, provider, progress)
     if writable:
-        fresh = vectors.where("not from_cache")
-        if fresh.head(1):
-            cached.set(fresh.withColumn("created_at", F.current_timestamp() if now is None else now))
+        made = vectors.where("not from_cache")
+        if made.head(1):
+            cached.set(made.withColumn("created_at", F.current_timestamp() if now is None else now))
     said("searching", 0, 1, "embedding the goal")
     query = provider.embed([draft.text()])[0][0]
-    best = top_k(vectors, query, k, "path").join(chosen.select("path", preview(F.col("content")).alias("preview")), "path")
-    best = stage(best, "candidates")
+    best = stage(top_k(vectors, query, k, "path").join(ready.select("path", "preview"), "path"), "candidates")
+    dropped(ready, fresh)
     said("searching", 1, 1, "notes found")
     if model is None:
         found = best.select("path", to_score(F.col("similarity")).cast("double").alias("score"), F.lit(REASON).alias("reason"), "preview")

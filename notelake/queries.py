@@ -70,9 +70,9 @@ def d_tokens(x: str) -> str:
 
 
 def d_named(x: str, pattern: str, label: str) -> str:
-    marked = f"regexp_replace({x}, '{pattern}', concat('[{label}: ', chr(1), '\\1', chr(2), ']'), 'g')"
-    tidy = f"regexp_replace(regexp_replace({marked}, concat(chr(1), '{DWS}+'), chr(1), 'g'), concat('{DWS}+', chr(2)), chr(2), 'g')"
-    return f"replace(replace(replace({tidy}, concat(chr(1), chr(2)), '{label}'), chr(1), ''), chr(2), '')"
+    one = f"concat('[{label}: ', coalesce(nullif({d_trim('l[i]')}, ''), '{label}'), ']')"
+    put = f"array_to_string(list_transform(generate_series(1, len(p)), lambda i: concat(p[i], CASE WHEN i < len(p) THEN {one} ELSE '' END)), '')"
+    return f"(SELECT {put} FROM (SELECT regexp_split_to_array(v, '{pattern}') AS p, regexp_extract_all(v, '{pattern}', 1) AS l FROM (SELECT {x} AS v)))"
 
 
 def d_front(x: str) -> str:

@@ -379,3 +379,40 @@ def test_bands_of_a_sample(spark):
 @pytest.mark.parametrize("glob,path,want", [("@(a|b)/x.md", "b/x.md", True), ("@(a|b)/x.md", "c/x.md", False), ("+(ab)/*", "abab/x", True), ("a?(b).md", "a.md", True), ("*(x).md", "xx.md", True), ("!(a|b)/*.md", "c/x.md", True), ("!(a|b)/*.md", "a/x.md", False)])
 def test_extended_globs(spark, glob, path, want):
     assert one(spark, globs.matches(F.lit(path), [glob])) is want
+
+
+@pytest.mark.parametrize(
+    "glob,path,want",
+    [
+        ("a**", "abc", True), ("a**", "ab/c", False), ("a**/x.md", "ab/c/x.md", False), ("a**/x.md", "ab/x.md", True), ("**b/x", "ab/x", True), ("**b/x", "c/ab/x", False), ("a/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True), ("{a/**,b}", "a/c/d", True),
+        ("n{1..3}.md", "n2.md", True), ("n{1..3}.md", "n4.md", False), ("n{3..1}.md", "n1.md", True), ("{a..c}/x", "b/x", True), ("{a..c}/x", "d/x", False), ("n{-1..1}", "n-1", True), ("{a..3}", "{a..3}", True),
+        ("[[:digit:]].md", "7.md", True), ("[[:digit:]].md", "x.md", False), ("[![:digit:]_].md", "7.md", False), ("[![:digit:]_].md", "x.md", True), ("[[:alpha:][:digit:]-].md", "-.md", True), ("[[:upper:]]*", "ab", False), ("[]a].md", "].md", True),
+    ],
+)
+def test_globs_of_segments_ranges_and_classes(spark, glob, path, want):
+    assert one(spark, globs.matches(F.lit(path), [glob])) is want
+
+
+def test_ranges_are_bounded():
+    with pytest.raises(ValueError):
+        globs.to_regex("{1..100000}")
+
+
+@pytest.mark.parametrize(
+    "text_,want",
+    [
+        ("a\x01b\x02 ![ x\x01 ](u) \x01\x02", "a\x01b\x02 [image: x\x01] \x01\x02"),
+        ("![](u)![ \t](v)![y](w)z", "[image: image][image: image][image: y]z"),
+        ("!![](x)(y)", "![image: image](y)"),
+        ("![](a![b](c)", "[image: image]"),
+        ("none", "none"),
+        ("![a](u)", "[image: a]"),
+    ],
+)
+def test_images_leave_other_characters_alone(spark, text_, want):
+    assert one(spark, markdown.summarize_images(F.lit(text_))) == want
+
+
+def test_code_leaves_other_characters_alone(spark):
+    assert one(spark, markdown.summarize_code(F.lit("\x01```py\nx\n```\x02```\ny```$1"))) == "\x01[code: py]\x02[code: code]$1"
+    assert one(spark, markdown.summarize_code(F.lit(None).cast("string"))) is None
