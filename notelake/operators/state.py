@@ -141,3 +141,16 @@ def neighbours(questions: DataFrame) -> DataFrame:
     """Each question with the one before and the one behind it, null at either end."""
     w = Window.partitionBy("session_id").orderBy("ordinal")
     return questions.withColumns({"previous_id": F.lag("question_id").over(w), "next_id": F.lead("question_id").over(w)})
+
+
+def delete_sessions(sessions: DataFrame, questions: DataFrame, answers: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without the sessions of gone(session_id)."""
+    which = gone.select("session_id").distinct()
+    return tuple(t.join(which, "session_id", "left_anti").select(t.columns) for t in (sessions, questions, answers))
+
+
+def finish_goals(goals: DataFrame, milestones: DataFrame, done: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """What the completion button does, in one step: goals of done(goal_id) become completed and all their milestones with them."""
+    which = done.select("goal_id").distinct().withColumn("_d", F.lit(True))
+    marked = milestones.join(which, "goal_id", "left").withColumn("completed", F.coalesce("_d", F.lit(False)) | F.col("completed"))
+    return complete_goals(goals, done, now), marked.select(milestones.columns)

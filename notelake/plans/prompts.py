@@ -23,6 +23,19 @@ def evaluation_prompt(question: Column, source: Column, answer: Column) -> Colum
     return F.concat(F.lit("Question: "), question, F.lit("\nNote:\n"), source, F.lit("\nAnswer: "), answer)
 
 
+def discussion_prompt(goal: Column, description: Column, milestones: Column, context: Column) -> Column:
+    """The system message of a discussion: its rule, the goal with its milestones (an array of texts), and the notes as one context; parts that are missing are left out."""
+    stones = F.when(F.size(milestones) > 0, F.concat(F.lit("Milestones:\n"), F.array_join(F.transform(milestones, lambda m: F.concat(F.lit("- "), m)), "\n")))
+    notes = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("Notes:\n\n"), context))
+    return F.concat_ws("\n\n", F.lit(SYSTEM["discuss"]), F.concat(F.lit("Goal: "), goal), description, stones, notes)
+
+
+def brainstorm_prompt(today: Column, known: Column) -> Column:
+    """The system message of a brainstorm: its rule, the date that deadlines are after, and the names of goals there are already (an array, null for none)."""
+    have = F.when(F.size(known) > 0, F.concat(F.lit("Goals so far: "), F.array_join(known, "; ")))
+    return F.concat_ws("\n\n", F.lit(SYSTEM["brainstorm"]), F.concat(F.lit("Today: "), today.cast("string")), have)
+
+
 def request_bodies(messages: DataFrame, key: str = "conversation_id") -> DataFrame:
     """(key, system, messages, model, max_tokens, temperature) of messages(key, seq, role, content): system messages are joined by blank lines, the others stay in order; option columns of the input win over defaults."""
     said = F.when(F.col("role") != "system", F.struct("seq", "role", "content"))

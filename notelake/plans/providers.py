@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,20 +110,24 @@ def mapped_error(status: int | None) -> str:
     return {401: "invalid API key", 403: "access denied", 404: "not found", 429: "rate limit exceeded"}.get(status or 0, "server error" if status and status >= 500 else "request failed")
 
 
-def embed(rows: DataFrame, provider: EmbeddingProvider, parallelism: int | None = None) -> DataFrame:
+def embed(rows: DataFrame, provider: EmbeddingProvider, parallelism: int | None = None, done: Accumulator | None = None) -> DataFrame:
     """(path, content_hash, embedding, token_count) of prepared rows(path, content_hash, text, estimated_tokens); blank texts give no row.
 
-    Batches are cut over the whole input: rows are numbered first, then a batch's rows come together in one task, so that the provider is called ceil(rows / batch_size) times, but for retries. A task holds one batch."""
+    Batches are cut over the whole input: rows are numbered first, then a batch's rows come together in one task, so that the provider is called ceil(rows / batch_size) times, but for retries. A task holds one batch.
+    ``done`` counts texts as tasks end."""
     ship(rows.sparkSession)
     rows = rows.where(~is_blank(F.col("text"))).select("path", "content_hash", "text", "estimated_tokens")
     rows = numbered(rows, "_row").withColumn("_batch", F.floor(F.col("_row") / provider.batch_size))
-    rows = (rows.repartition(parallelism, "_batch") if parallelism else rows.repartition("_batch")).sortWithinPartitions("_batch", "_row")
+    # a stated number, so that adaptive execution does not put few, slow calls into one task
+    rows = rows.repartition(parallelism or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_batch").sortWithinPartitions("_batch", "_row")
 
     def answered(part: pd.DataFrame) -> pd.DataFrame:
         got = with_retries(lambda: provider.embed(part["text"].tolist()))
         if len(got) != len(part):
             raise ValueError("the provider answered another number of texts")
         tokens = [int(e) if n is None else int(n) for (_, n), e in zip(got, part["estimated_tokens"], strict=True)]
+        if done is not None:
+            done.add(len(part))
         return pd.DataFrame({"path": part["path"].values, "content_hash": part["content_hash"].values, "embedding": [v for v, _ in got], "token_count": tokens})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

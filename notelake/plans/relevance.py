@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,7 +21,7 @@ from ..session import dropped, stage
 from .prompts import SYSTEM
 from .providers import ChatProvider, EmbeddingProvider, chat, embed
 
-#: Told (phase, current, total, message) on the driver.
+#: Told (phase, current, total, message) on the driver, while jobs run by a thread that follows them.
 Progress = Callable[[str, int, int, str], None]
 REASON = "Selected by embedding similarity"
 #: What stands before the parts of a goal's text.
@@ -36,6 +38,27 @@ def silent(phase: str, current: int, total: int, message: str) -> None:
     """Progress that nobody follows."""
 
 
+@contextlib.contextmanager
+def followed(value: Callable[[], int], told: Callable[[int], None], every: float = 0.1):
+    """While the body runs, ``told`` hears of every new value: of counters that running tasks of a job move on."""
+    ended, last = threading.Event(), value()
+
+    def follow() -> None:
+        nonlocal last
+        while not ended.wait(every):
+            if (now := value()) != last:
+                last = now
+                told(now)
+
+    thread = threading.Thread(target=follow, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        thread.join()
+
+
 @dataclass(frozen=True)
 class Draft:
     name: str
@@ -67,7 +90,9 @@ def vectors_of(ready: DataFrame, provider: EmbeddingProvider, progress: Progress
     total, misses = ready.agg(F.count("*"), F.count_if(~F.col("from_cache"))).first()
     said("indexing", total - misses, total, "notes found in the cache")
     none = F.lit(None).cast("int").alias("token_count")
-    fresh = stage(embed(ready.where("not from_cache"), provider), "fresh")
+    done = ready.sparkSession.sparkContext.accumulator(0) if progress else None
+    with followed(lambda: min(done.value, misses), lambda n: said("indexing", total - misses + n, total, "indexing notes")) if progress else contextlib.nullcontext():
+        fresh = stage(embed(ready.where("not from_cache"), provider, None, done), "fresh")
     said("indexing", total, total, "notes indexed")
     hits = ready.where("from_cache").select("path", "content_hash", "embedding", "from_cache", none)
     return hits.unionByName(fresh.select("path", "content_hash", "embedding", F.lit(False).alias("from_cache"), "token_count")), fresh

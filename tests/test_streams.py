@@ -267,3 +267,48 @@ def test_layout_repeats(spark):
     one, two = ({r.id: tuple(r.y) for r in layout.reduced(e.repartition(n), 2, 5, rounds=3).collect()} for n in (1, 5))
     assert all(np.allclose(one[i], two[i], atol=1e-6) for i in one)
     assert layout.reduced(e.where("false")).count() == 0
+
+
+# --- progress, completion, prompts ---
+
+
+def test_progress_while_tasks_run(spark):
+    from notelake.plans import relevance
+
+    class Slow:
+        batch_size = 5
+
+        def embed(self, texts):
+            import time
+
+            time.sleep(0.4)
+            return [([1.0, 0.0], None) for _ in texts]
+
+    notes = spark.range(60).select(F.concat(F.lit("n"), "id", F.lit(".md")).alias("path"), F.concat(F.lit("text "), "id").alias("content"))
+    empty = spark.createDataFrame([], "path string, content_hash string, embedding array<float>")
+    heard = []
+    made = relevance.embedded(notes, empty, Slow(), lambda *x: heard.append(x))
+    assert made.count() == 60
+    counts = [n for phase, n, total, _ in heard if phase == "indexing" and total == 60]
+    assert counts[0] == 0 and counts[-1] == 60 and counts == sorted(counts) and any(0 < n < 60 for n in counts)
+
+
+def test_finished_goals_and_deleted_sessions(spark):
+    goals = spark.createDataFrame([(1, "active", None), (2, "active", None)], "goal_id int, status string, updated_at string")
+    stones = spark.createDataFrame([(1, "a", False), (1, "b", True), (2, "c", False), (None, "d", None)], "goal_id int, milestone_id string, completed boolean")
+    g, m = state.finish_goals(goals, stones, spark.createDataFrame([(1,), (1,), (9,)], "goal_id int"), F.lit("now"))
+    assert sorted(map(tuple, g.collect())) == [(1, "completed", "now"), (2, "active", None)]
+    assert {r.milestone_id: r.completed for r in m.collect()} == {"a": True, "b": True, "c": False, "d": None}
+    tables_ = [spark.createDataFrame([("s1", i), ("s2", i), (None, i)], "session_id string, x int") for i in range(3)]
+    assert [sorted(map(tuple, t.collect()), key=str) for t in state.delete_sessions(*tables_, spark.createDataFrame([("s1",), (None,)], "session_id string"))] == [[("s2", i), (None, i)] for i in range(3)]
+
+
+def test_prompt_builders(spark):
+    from notelake.plans import prompts
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    whole = one(prompts.discussion_prompt(F.lit("G"), F.lit("D"), F.array(F.lit("a"), F.lit("b")), F.lit("## n\n\ntext")))
+    assert whole == prompts.SYSTEM["discuss"] + "\n\nGoal: G\n\nD\n\nMilestones:\n- a\n- b\n\nNotes:\n\n## n\n\ntext"
+    assert one(prompts.discussion_prompt(F.lit("G"), F.lit(None), F.lit(None).cast("array<string>"), F.lit(""))) == prompts.SYSTEM["discuss"] + "\n\nGoal: G"
+    assert one(prompts.brainstorm_prompt(F.lit("2024-05-01").cast("date"), F.array(F.lit("x"), F.lit("y")))).endswith("Today: 2024-05-01\n\nGoals so far: x; y")
+    assert one(prompts.brainstorm_prompt(F.lit("2024-05-01").cast("date"), F.lit(None).cast("array<string>"))).endswith("Today: 2024-05-01")
