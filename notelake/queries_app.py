@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import globs, ids, markdown
 from .functions import json as model_json
-from .operators import cache, clusters, density, documents, layout, numbering, review, rollups, state
+from .operators import cache, clusters, density, documents, layout, noteindex, numbering, review, rollups, state
 from .plans import prompts, providers, relevance
 from .queries import D_EMBEDDED, D_SIM, D_TAGS, LETTERS, NOW, QUERIES, SQL, WITH_NOTES, d_trim, goals, labelled, memberships, notes_of, now, query, quiz, read, talk
 from .session import shared_dir
@@ -763,3 +763,12 @@ def question_sources(spark, sf):
 def batches_over_all(spark, sf):
     rows = numbering.numbered(notes_of(spark, sf).select("path"), "row", ["path"])
     return rows.select("path", "row", F.floor(F.col("row") / 128).alias("batch"))
+
+
+@query(SQL["note_search"])
+def note_search_indexed(spark, sf):
+    """The rows of ``note_search`` from an index of grams."""
+    n = notes_of(spark, sf).select("path", F.concat(F.lit("Doc "), "seq").alias("title"), markdown.tags(F.col("content")).alias("tags"))
+    index = noteindex.NoteIndex(spark, fresh(spark, "note-index"), 8)
+    index.put(n)
+    return index.search("Doc 12").select("path")

@@ -312,3 +312,27 @@ def test_prompt_builders(spark):
     assert one(prompts.discussion_prompt(F.lit("G"), F.lit(None), F.lit(None).cast("array<string>"), F.lit(""))) == prompts.SYSTEM["discuss"] + "\n\nGoal: G"
     assert one(prompts.brainstorm_prompt(F.lit("2024-05-01").cast("date"), F.array(F.lit("x"), F.lit("y")))).endswith("Today: 2024-05-01\n\nGoals so far: x; y")
     assert one(prompts.brainstorm_prompt(F.lit("2024-05-01").cast("date"), F.lit(None).cast("array<string>"))).endswith("Today: 2024-05-01")
+
+
+# --- search by grams ---
+
+
+def test_note_index_equals_the_scan(spark, tmp_path):
+    from notelake.operators import noteindex, review
+
+    rows = [("a.md", "Deep Work", ["#focus", "work"]), ("b.md", "deep learning", ["ml"]), ("c.md", "Über Été", None), ("d.md", None, ["deep", None]), ("e.md", "", []), ("f.md", "aaa", ["aa"]), ("g.md", "tag:work", ["x"]), (None, "deep", ["deep"])]
+    kind = "path string, title string, tags array<string>"
+    index = noteindex.NoteIndex(spark, f"{tmp_path}/index", 3)
+    assert index.search("deep").count() == 0
+
+    def same(notes):
+        df = spark.createDataFrame([n for n in notes if n[0] is not None], kind)
+        for words in ("deep", "DEEP W", "e", "ep", "eep", "work", "focus", "#focus", "aa", "aaaa", "ét", "", "zzz", "learning", "tag:work", "x"):
+            got = sorted((r.path, r.title) for r in index.search(words).collect())
+            assert got == sorted((r.path, r.title) for r in review.search_notes(df, words).collect()), words
+
+    index.put(spark.createDataFrame(rows, kind))
+    same(rows)
+    index.put(spark.createDataFrame([("b.md", "shallow", ["deep"]), ("h.md", "Deeper", [])], kind))
+    index.remove(spark.createDataFrame([("a.md",), ("zz.md",)], "path string"))
+    same([r for r in rows if r[0] not in ("a.md", "b.md")] + [("b.md", "shallow", ["deep"]), ("h.md", "Deeper", [])])
