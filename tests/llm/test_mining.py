@@ -221,3 +221,10 @@ def test_known_components_hide_no_link(spark):
 def flat(text):
     raw = text.encode()
     return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+
+
+def test_an_empty_benchmark_hits_nothing(spark, folder):
+    docs = pa.table({"doc_id": [1, 2], "text": ["a b c", None]})
+    d = folder(documents=docs, benchmark=pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}))
+    got = QUERIES["op11_benchmark_decontamination"](spark, d).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == [(i, n, 0, 0, hashlib.sha256(b"").hexdigest(), False) for i, n in ((1, 3), (2, 0))]

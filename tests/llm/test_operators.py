@@ -54,6 +54,7 @@ def test_empty_tables(spark, folder, name):
         embeddings=none(vec_id=pa.int64(), embedding=pa.list_(pa.float32()), label=pa.int32()),
         pages=none(page_id=pa.int64(), url=pa.string(), html=pa.string()),
         conversations=none(conv_id=pa.int64(), turn=pa.int64(), role=pa.string(), text=pa.string()),
+        benchmark=none(item_id=pa.int64(), text=pa.string()),
     )
     assert QUERIES[name](spark, d).count() == 0
 
