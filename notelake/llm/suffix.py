@@ -8,7 +8,7 @@ every length, and within an interval equal words to the left extend the match. E
 
 Suffixes that occur more than HOT times would fill one task; their windows are compared by hashes of all 50 words instead: occurrences are dealt into parts at random, each part
 knows its distinct windows and their first occurrences, and only these meet across parts; results are the same. Documents with the same words are one class and are searched once. The result has one row per span that repeats an earlier place: documents
-without repeats do not appear. Words are compared by 64-bit hashes (32 bits for words beyond the minimiser).
+without repeats do not appear. Words are compared by 64-bit hashes, each word of a window by its own.
 
 null, empty and short texts (under 50 words) never match. Rows with a null doc_id are left out. Repeated rows (same doc_id, same text) are one document.
 """
@@ -30,7 +30,7 @@ from .kernels import U, gram_hashes, mix, word_hashes, words
 LENGTH, GRAM = 50, 10
 #: Starts of windows over which a minimiser is taken, and words of a window beside the minimiser.
 SPREAD = LENGTH - GRAM
-#: Occurrences of one suffix that are sorted together, and rows that are sorted at once, about: 5 MB of words around them.
+#: Occurrences of one suffix that are sorted together, and rows that are sorted at once, about: 10 MB of words around them.
 HOT = CHUNK = 20_000
 #: Occurrences of hot suffixes whose windows are told apart in one task before they meet those of others.
 PART = 500
@@ -80,7 +80,7 @@ def outlines(docs: DataFrame) -> DataFrame:
 def suffixes(texts: DataFrame) -> DataFrame:
     """Repeated suffixes of ``texts(doc_id, text, places, hot)`` (places in order).
 
-    A row: key, doc_id, place, low and high (how far left of the minimiser its windows begin), left and right (32-bit word hashes, outward from the minimiser). Of hot
+    A row: key, doc_id, place, low and high (how far left of the minimiser its windows begin), left and right (64-bit word hashes, outward from the minimiser). Of hot
     suffixes, a row with the place of its first window as place, the windows' hashes one after the other as left, and low null."""
 
     def kernel(batch: pa.RecordBatch) -> dict | None:
@@ -103,11 +103,10 @@ def suffixes(texts: DataFrame) -> DataFrame:
         is_hot = np.isin(spot, np.concatenate([*hot.values()])) if hot else named
         ids = np.asarray(batch.column("doc_id"))
         plain = np.flatnonzero(named & ~is_hot)
-        small = (h >> U(32)).astype("<u4")
         high = spot[plain] - begin[plain]
         low = high - size[plain] + 1
-        left = [small[s - k : s][::-1].tobytes() for s, k in zip(spot[plain], high, strict=True)]
-        right = [small[s + GRAM : s + LENGTH - k].tobytes() for s, k in zip(spot[plain], low, strict=True)]
+        left = [h[s - k : s][::-1].tobytes() for s, k in zip(spot[plain], high, strict=True)]
+        right = [h[s + GRAM : s + LENGTH - k].tobytes() for s, k in zip(spot[plain], low, strict=True)]
         boiling = np.flatnonzero(named & is_hot)
         hashes = gram_hashes(h, LENGTH) if len(boiling) else grams
         pad = [None] * len(boiling)
@@ -125,10 +124,10 @@ def suffixes(texts: DataFrame) -> DataFrame:
 
 
 def _matrix(blobs: list, width: int) -> np.ndarray:
-    """Rows of 32-bit words, filled with zeros to ``width``."""
-    size = np.array([len(b) // 4 for b in blobs], np.int64)
-    out = np.zeros((len(blobs), width), np.uint32)
-    out[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(blobs), "<u4")
+    """Rows of 64-bit words, filled with zeros to ``width``."""
+    size = np.array([len(b) // 8 for b in blobs], np.int64)
+    out = np.zeros((len(blobs), width), np.uint64)
+    out[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(blobs), np.uint64)
     return out
 
 
