@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, trim
+from .text import WS, let, trim
 
 #: Patterns of the note format, as the application reads it.
 FRONT = r"\A---\r?\n[\s\S]*?---\r?\n?"

@@ -84,23 +84,23 @@ def indexed(notes: DataFrame, cached: DataFrame, limit: int = 8191) -> DataFrame
     return stage(rows.select("path", "content_hash", "from_cache", "embedding", "text", F.when(miss, estimate_tokens(F.col("text"))).alias("estimated_tokens"), preview(F.col("content")).alias("preview")), "ready")
 
 
-def vectors_of(ready: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
-    """(path, content_hash, embedding, from_cache, token_count) of indexed notes, hits from the cache, misses from the provider; and what the provider answered, staged, so that no later action or retried stage asks, and pays, again."""
+def vectors_of(ready: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None, live: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(path, content_hash, embedding, from_cache, token_count) of indexed notes, hits from the cache, misses from the provider; and what the provider answered, staged, so that no later action or retried stage asks, and pays, again. ``live``: progress also hears of notes as tasks end."""
     said = progress or silent
     total, misses = ready.agg(F.count("*"), F.count_if(~F.col("from_cache"))).first()
     said("indexing", total - misses, total, "notes found in the cache")
     none = F.lit(None).cast("int").alias("token_count")
-    done = ready.sparkSession.sparkContext.accumulator(0) if progress else None
-    with followed(lambda: min(done.value, misses), lambda n: said("indexing", total - misses + n, total, "indexing notes")) if progress else contextlib.nullcontext():
+    done = ready.sparkSession.sparkContext.accumulator(0) if live else None
+    with followed(lambda: min(done.value, misses), lambda n: said("indexing", total - misses + n, total, "indexing notes")) if live else contextlib.nullcontext():
         fresh = stage(embed(ready.where("not from_cache"), provider, None, done), "fresh")
     said("indexing", total, total, "notes indexed")
     hits = ready.where("from_cache").select("path", "content_hash", "embedding", "from_cache", none)
     return hits.unionByName(fresh.select("path", "content_hash", "embedding", F.lit(False).alias("from_cache"), "token_count")), fresh
 
 
-def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None) -> DataFrame:
+def embedded(notes: DataFrame, cached: DataFrame, provider: EmbeddingProvider, progress: Progress | None = None, live: bool = False) -> DataFrame:
     """(path, content_hash, embedding, from_cache, token_count): hits from the cache, misses from the provider; each step is worked out once and written."""
-    return vectors_of(indexed(notes, cached), provider, progress)[0]
+    return vectors_of(indexed(notes, cached), provider, progress, live)[0]
 
 
 def merged(candidates: DataFrame, scores: DataFrame) -> DataFrame:
@@ -132,16 +132,16 @@ def rerank_request(candidates: DataFrame, draft: Draft) -> DataFrame:
     return held.select(F.lit(0).alias("request_id"), F.lit(SYSTEM["relevance"]).alias("system"), F.array(F.struct(F.lit("user").alias("role"), asked.alias("content"))).alias("messages"))
 
 
-def score_notes(notes: DataFrame, cached: DataFrame | EmbeddingCache, provider: EmbeddingProvider, draft: Draft, include: list[str] | None = None, exclude: list[str] | None = None, k: int = 40, model: ChatProvider | None = None, progress: Progress | None = None, now: Column | None = None) -> DataFrame:
+def score_notes(notes: DataFrame, cached: DataFrame | EmbeddingCache, provider: EmbeddingProvider, draft: Draft, include: list[str] | None = None, exclude: list[str] | None = None, k: int = 40, model: ChatProvider | None = None, progress: Progress | None = None, now: Column | None = None, live: bool = False) -> DataFrame:
     """The relevance search: path, score, reason, preview, band; best first.
 
     Include and exclude globs, preparation, cache, provider, top k by cosine; with a chat ``model`` its scores and reasons replace those of the candidates it names. A cache object gets what the
-    provider answered; ``progress(phase, current, total, message)`` is called on the driver at every phase. Without notes the result is empty and nobody is asked."""
+    provider answered; ``progress(phase, current, total, message)`` is called on the driver at every phase, and with ``live`` while notes are embedded. Without notes the result is empty and nobody is asked."""
     said = progress or silent
     chosen = select(notes, include or [], exclude or [])
     writable = isinstance(cached, EmbeddingCache)
     ready = indexed(chosen, cached.get() if writable else cached)
-    vectors, fresh = vectors_of(ready, provider, progress)
+    vectors, fresh = vectors_of(ready, provider, progress, live)
     if writable:
         made = vectors.where("not from_cache")
         if made.head(1):

@@ -287,7 +287,7 @@ def test_progress_while_tasks_run(spark):
     notes = spark.range(60).select(F.concat(F.lit("n"), "id", F.lit(".md")).alias("path"), F.concat(F.lit("text "), "id").alias("content"))
     empty = spark.createDataFrame([], "path string, content_hash string, embedding array<float>")
     heard = []
-    made = relevance.embedded(notes, empty, Slow(), lambda *x: heard.append(x))
+    made = relevance.embedded(notes, empty, Slow(), lambda *x: heard.append(x), live=True)
     assert made.count() == 60
     counts = [n for phase, n, total, _ in heard if phase == "indexing" and total == 60]
     assert counts[0] == 0 and counts[-1] == 60 and counts == sorted(counts) and any(0 < n < 60 for n in counts)
