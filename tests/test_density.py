@@ -103,12 +103,10 @@ def data(kind: str) -> np.ndarray:
         return np.concatenate([blobs, noise])
     if kind == "grid":  # nothing but ties
         return np.array([(i, j) for i in range(6) for j in range(5)] + [(20 + i, j) for i in range(4) for j in range(4)] + [(11.0, 2.0)], float)
-    if kind == "copies":
-        return np.concatenate([np.repeat(blobs[:3], [9, 2, 4], axis=0), np.repeat([[50.0, 50.0]], 12, axis=0), blobs[40:70], np.round(noise)])
-    return np.concatenate([np.linspace(0, 1, 30) ** 2, [5, 5.1, 5.2, 5.25, 5.3, 9]])[:, None]  # a chain whose gaps grow
+    return np.concatenate([np.repeat(blobs[:3], [9, 2, 4], axis=0), np.repeat([[50.0, 50.0]], 12, axis=0), blobs[40:70], np.round(noise)])
 
 
-@pytest.mark.parametrize("kind,size,samples,single", [("blobs", 5, 3, False), ("blobs", 8, 1, True), ("grid", 5, 3, False), ("copies", 5, 3, False), ("chain", 4, 2, False)])
+@pytest.mark.parametrize("kind,size,samples,single", [("blobs", 5, 3, False), ("grid", 5, 3, True), ("copies", 5, 3, False)])
 def test_equals_brute_force(spark, monkeypatch, kind, size, samples, single):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "VISITORS", 8)
