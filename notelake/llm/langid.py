@@ -5,16 +5,15 @@ into spans of four words; expectation-maximisation estimates the proportions of
 nested sets of the strongest ones, which grow as long as the penalised likelihood rises. The best set's strongest language names the document; the set with its proportions is given too.
 Texts that are null or have no letters are ``und`` with score 0 and an empty set. Ties go to the language that sorts first. Without labelled rows every document is ``und``.
 
-Memory: likelihoods are summed over stretches of text, so that a document takes 4 bytes a span and language. Where a document's spans times languages pass MOST_CELLS
-(35 MB of text with ten languages), its spans are of as many more words as bring them under it; the whole text counts in either case.
-More than MOST_LANGUAGES labels go in blocks: each block's sets are found over whole texts, and the mixture of a document is inferred again over all blocks' sets.
+Memory: the likelihoods of a batch's spans are held at once up to MOST_CELLS; those of a longer document are worked out anew from its trigrams wherever EM reads them, so that it
+takes two bytes a letter and some 30 bytes a word. What is held changes no result: spans, sums and sets are the same. All languages compete at once, whatever their number; the model has
+128 KB a language, on the driver and in each worker (MOST_LABELS languages: 1 GB).
 
 Rows: one per document in any order, null doc_ids and repeated rows included; empty tables give empty results; other columns play no part.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +22,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, released, slices, stage, table, utf8
+from .common import mapped, prepared, released, slices, table, utf8
 from .kernels import LOWER, words
 
 BUCKETS = 1 << 15
-#: A model is broadcast: 128 KB a language, so this many languages in one block.
-MOST_LANGUAGES = 512
-#: Labels whose names may reach the driver.
-MOST_LABELS = 100_000
+#: More labels than all the world's languages are an error: that is no column of languages.
+MOST_LABELS = 8192
+#: Languages whose counts a task holds at once.
+HELD_LANGUAGES = 256
 SPAN_WORDS, ROUNDS, PENALTY = 4, 8, 4.0
-#: Spans times languages of a document, and letters times languages whose likelihoods are looked up at once.
-MOST_CELLS, STRETCH_CELLS = 1 << 24, 1 << 21
+#: Spans times languages whose likelihoods are held, and letters times languages whose likelihoods are looked up at once.
+MOST_CELLS, STRETCH_CELLS = 1 << 23, 1 << 21
 CLEAN = LOWER.copy()
 CLEAN[:65] = 32
 CLEAN[91:97] = 32
@@ -58,7 +57,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
-    """(lang, bucket, n) over all rows with text and lang; each task sums its own rows first."""
+    """(lang, bucket, n) over all rows with text and lang, a row at least for each of these languages; tasks sum the rows of up to HELD_LANGUAGES languages first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -66,70 +65,98 @@ def language_counts(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column("text"))
                 code = part.column("lang").dictionary_encode()
-                of = np.repeat(code.indices.to_numpy().astype(np.int32), np.diff(offsets))
-                grams, kinds = trigrams(data, offsets), len(code.dictionary)
-                got = np.zeros(kinds * BUCKETS, np.int64)
-                for a in range(0, len(data), STRETCH_CELLS):
-                    here = slice(a, a + STRETCH_CELLS)
-                    use = CLEAN[data[here]] != 32
-                    got += np.bincount(of[here][use].astype(np.int64) * BUCKETS + grams[here][use], minlength=len(got))
-                for k, lang in enumerate(code.dictionary.to_pylist()):
-                    total[lang] = total.get(lang, 0) + got.reshape(-1, BUCKETS)[k]
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+                names = code.dictionary.to_pylist()
+                of = np.repeat(code.indices.to_numpy().astype(np.int64), np.diff(offsets))
+                grams, use = trigrams(data, offsets), CLEAN[data] != 32
+                order = np.argsort(of[use], kind="stable") if len(names) > 1 else slice(None)
+                kinds, grams = of[use][order], grams[use][order]
+                edge = np.searchsorted(kinds, np.arange(len(names) + 1))
+                for k, lang in enumerate(names):
+                    n = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    n += np.bincount(grams[edge[k] : edge[k + 1]], minlength=BUCKETS)
+                    if len(total) >= HELD_LANGUAGES:
+                        yield from told(total)
+        yield from told(total)
         released()
 
+    def told(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        while total:
+            lang, n = total.popitem()
+            at = np.flatnonzero(n) if n.any() else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+
     counted = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n bigint")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def languages(docs: DataFrame) -> list[str]:
-    """The labels of ``docs`` with text, in order: names only, one of each."""
-    found = sorted(r.lang for r in docs.where("text is not null and lang is not null").select("lang").distinct().limit(MOST_LABELS + 1).collect())
-    if len(found) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels: this is no column of languages")
-    return found
-
-
-def fit(docs: DataFrame, langs: list[str] | None = None, block: bool = False) -> tuple[list[str], np.ndarray]:
-    """Languages (``langs``, where they are known; a ``block`` of them leaves rows of others out) and float32 log likelihoods (bucket, language) with add-1/2 smoothing; at most languages x buckets numbers reach the driver."""
-    langs = languages(docs) if langs is None else langs
-    docs = docs.where(F.col("lang").isin(langs)) if block else docs
-    n = np.full((BUCKETS, len(langs)), 0.5)
-    got = language_counts(docs).toArrow()
-    at = {lang: k for k, lang in enumerate(langs)}
-    n[got.column("bucket").to_numpy(), np.array([at[x] for x in got.column("lang").to_pylist()], dtype=int)] += got.column("n").to_numpy()
-    return langs, np.log(n / n.sum(0)).astype(np.float32) if langs else n.astype(np.float32)
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages in order and float32 log likelihoods (bucket, language) with add-1/2 smoothing; each language's column is made in a task of its own, and only these columns reach the driver."""
 
+    def column(t: pa.Table) -> pa.Table:
+        n = np.full(BUCKETS, 0.5)
+        n[t.column("bucket").to_numpy()] += t.column("n").to_numpy()
+        return pa.table({"lang": t.column("lang")[:1], "logp": pa.array([np.log(n / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-def span_scores(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihoods (span, language) of all texts' spans, the texts that have words, and the first span of each of these."""
-    k = logp.shape[1]
+    made = language_counts(docs).groupBy("lang").applyInArrow(column, "lang string, logp binary").limit(MOST_LABELS + 1).toArrow()
+    if made.num_rows > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: this is no column of languages")
+    langs, logp = made.column("lang").to_pylist(), np.empty((BUCKETS, made.num_rows), np.float32)
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    for k, i in enumerate(order):
+        logp[:, k] = np.frombuffer(made.column("logp")[i].as_buffer(), np.float32)
+    return [langs[i] for i in order], logp
+
+
+class Spans:
+    """Likelihoods (span, language) of spans of letters, each relative to its best language. Slices of it are worked out when they are read."""
+
+    def __init__(self, grams: np.ndarray, edge: np.ndarray, logp: np.ndarray, best: np.ndarray | None = None):
+        self.grams, self.edge, self.logp = grams, edge, logp
+        self.shape = (len(edge) - 1, logp.shape[1])
+        self.best = best
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def logs(self, a: int, b: int) -> Iterator[tuple[int, np.ndarray]]:
+        """First span and log likelihoods of stretches of the spans ``a`` to ``b``: whole spans, STRETCH_CELLS letters times languages at once; a longer span by itself in parts."""
+        edge, step = self.edge, max(1, STRETCH_CELLS // max(1, self.shape[1]))
+        while a < b:
+            to = max(a + 1, min(b, int(np.searchsorted(edge, edge[a] + step, "right")) - 1))
+            if edge[to] - edge[a] > step:
+                yield a, sum(self.logp[self.grams[x : min(x + step, edge[to])]].sum(0, dtype=np.float64) for x in range(edge[a], edge[to], step))[None]
+            else:
+                yield a, np.add.reduceat(self.logp[self.grams[edge[a] : edge[to]]], edge[a:to] - edge[a], axis=0, dtype=np.float64)
+            a = to
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        a, b, _ = at.indices(len(self))
+        if self.best is None:
+            self.best = np.concatenate([part.max(1) for _, part in self.logs(0, len(self))])
+        out = np.empty((b - a, self.shape[1]), np.float32)
+        for x, part in self.logs(a, b):
+            out[x - a : x - a + len(part)] = np.exp(np.maximum(part - self.best[x : x + len(part), None], -60))
+        return out
+
+    def of(self, languages: np.ndarray) -> Spans | np.ndarray:
+        """The same spans of fewer languages, held where that is possible."""
+        self[0:0]  # the best of all languages
+        some = Spans(self.grams, self.edge, np.ascontiguousarray(self.logp[:, languages]), self.best)
+        return some[:] if some.shape[0] * some.shape[1] <= MOST_CELLS else some
+
+
+def spans_of(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray]:
+    """The spans of all texts, the texts that have words, and the first span of each of these."""
     starts, ends, first = words(np.where(CLEAN[data] == 32, np.uint8(32), data), offsets)
     n = np.diff(first)
     have = np.flatnonzero(n)
-    if not k or not len(have):
-        return np.zeros((0, k), np.float32), have[:0], have[:0]
-    size = SPAN_WORDS * -(-(n * k) // (SPAN_WORDS * MOST_CELLS)).clip(min=1)
-    place = np.arange(len(starts)) - np.repeat(first[:-1], n)
-    heads = np.flatnonzero(place % np.repeat(size, n) == 0)
+    heads = np.flatnonzero((np.arange(len(starts)) - np.repeat(first[:-1], n)) % SPAN_WORDS == 0)
     letters = np.concatenate([[0], np.cumsum(ends - starts)])
     grams = trigrams(data, offsets)[CLEAN[data] != 32]  # those around the words' bytes, back to back
-    edge = np.append(letters[heads], letters[-1])
-    out, at = np.empty((len(heads), k), np.float32), 0
-    while at < len(heads):  # whole spans, STRETCH_CELLS at once; a longer one by itself in parts
-        to = max(at + 1, int(np.searchsorted(edge, edge[at] + STRETCH_CELLS // k, "right")) - 1)
-        step = max(1, STRETCH_CELLS // k)
-        if to == at + 1:
-            out[at] = sum(logp[grams[a : min(a + step, edge[to])]].sum(0, dtype=np.float64) for a in range(edge[at], edge[to], step))
-        else:
-            out[at:to] = np.add.reduceat(logp[grams[edge[at] : edge[to]]], edge[at:to] - edge[at], axis=0)
-        at = to
-    return out, have, np.searchsorted(heads, first[have])
+    return Spans(grams, np.append(letters[heads], letters[-1]), logp), have, np.searchsorted(heads, first[have])
 
 
-def mixture(chance: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def mixture(chance: Spans | np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """EM of language proportions per document: chance (span, language), first span of each document, allowed (document, language). Proportions and log likelihood."""
     size = np.diff(np.append(first, len(chance)))
     share = (allowed / allowed.sum(1, keepdims=True)).astype(np.float32)
@@ -141,7 +168,7 @@ def mixture(chance: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds:
             all_of = np.maximum(part.sum(1, keepdims=True), 1e-30)
             if turn < rounds:
                 part /= all_of
-                total[d] += np.add.reduceat(part, a - a[0])
+                total[d] += np.add.reduceat(part, a - a[0], dtype=np.float64)
             else:
                 value[d] += np.add.reduceat(np.log(all_of[:, 0], dtype=np.float64), a - a[0])
         if turn < rounds:
@@ -158,12 +185,9 @@ def stretches(first: np.ndarray, spans: int, k: int) -> Iterator[tuple[np.ndarra
         yield d, np.maximum(first[d], a), b
 
 
-def sets_of(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Per document the chosen set's proportions (0 outside of it), and all languages' proportions; ``score``: log likelihoods (span, language), overwritten."""
+def sets_of(score: Spans | np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the chosen set's proportions (0 outside of it), and all languages' proportions; ``score``: likelihoods (span, language), held or, of one document, as they are read."""
     k = score.shape[1]
-    for a in range(0, len(score), step := max(1, STRETCH_CELLS // max(k, 1))):
-        part = score[a : a + step]
-        np.exp(np.maximum(part - part.max(1, keepdims=True), -60), out=part)
     n = np.diff(np.append(first, len(score)))
     every, _ = mixture(score, first, np.ones((len(first), k), np.float32))
     order = np.argsort(-every, axis=1, kind="stable")
@@ -173,9 +197,12 @@ def sets_of(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> t
     open_, m = np.arange(len(first)), 0
     while len(open_) and m < k:  # only documents whose last set was better grow theirs
         m += 1
-        spans = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in open_]) if len(open_) < len(first) else slice(None)
         inside = order[open_, :m] if len(open_) == 1 else None
-        held = score[spans] if inside is None else score[spans][:, np.sort(inside[0])]
+        if isinstance(score, Spans):
+            held = score.of(np.sort(inside[0]))
+        else:
+            spans = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in open_]) if len(open_) < len(first) else slice(None)
+            held = score[spans] if inside is None else score[spans][:, np.sort(inside[0])]
         at = np.cumsum(n[open_]) - n[open_]
         allowed = (rank[open_] < m).astype(np.float32)
         share, value = mixture(held, at, allowed if inside is None else np.ones((1, m), np.float32))
@@ -194,9 +221,18 @@ def infer(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray, penalty: floa
     """For each text: index of its language (-1: none), that language's proportion, the chosen set's proportions, and the share of the text that the set covers when all languages compete."""
     docs, k = len(offsets) - 1, logp.shape[1]
     lang, score, share, cover = np.full(docs, -1), np.zeros(docs), np.zeros((docs, k), np.float32), np.zeros(docs)
-    spans, have, first = span_scores(data, offsets, logp)
-    if len(have):
-        lang[have], score[have], share[have], cover[have] = named(*sets_of(spans, first, penalty))
+    if not k or not len(data):
+        return lang, score, share, cover
+    spans, have, first = spans_of(data, offsets, logp)
+    edge = np.append(first, len(spans))
+    cells, a = (edge[1:] + np.arange(1, len(have) + 1)) * k, 0
+    while a < len(have):  # documents whose likelihoods can be held together, or one
+        b = max(a + 1, int(np.searchsorted(cells, (cells[a - 1] if a else 0) + MOST_CELLS, "right")))
+        part = Spans(spans.grams, spans.edge[edge[a] : edge[b] + 1], logp)
+        few = part.shape[0] * k <= MOST_CELLS
+        at = have[a:b]
+        lang[at], score[at], share[at], cover[at] = named(*sets_of(part[:] if few else part, first[a:b] - first[a], penalty))
+        a = b
     return lang, score, share, cover
 
 
@@ -235,52 +271,14 @@ def judged(batch: pa.RecordBatch, langs: list[str], logp: np.ndarray) -> dict:
 
 def predict(docs: DataFrame, train: DataFrame, keep: list[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score, mixture and cover (their names behind ``prefix``) of whole texts, learned from ``train(text, lang)``."""
-    spark, langs, keep = docs.sparkSession, languages(train), list(keep)
+    spark, keep = prepared(docs.sparkSession), list(keep)
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    if len(langs) > MOST_LANGUAGES:
-        return predict_in_blocks(rows, train, langs, keep, prefix)
-    langs, logp = fit(train, langs)
+    langs, logp = fit(train)
     model = spark.sparkContext.broadcast(logp)
     schema = [*(f"`{c}` {kind}" for c, kind in rows.select(keep).dtypes), *(f"`{prefix}{c}` {kind}" for c, kind in ADDED)]
     return mapped(rows, lambda batch: {c: batch.column(c) for c in keep} | {prefix + c: x for c, x in judged(batch, langs, model.value).items()}, ", ".join(schema), "text")
 
 
-def predict_in_blocks(rows: DataFrame, train: DataFrame, langs: list[str], keep: list[str], prefix: str) -> DataFrame:
-    """``predict`` for any number of languages: a pass over the texts for each block of MOST_LANGUAGES finds the block's set for each document and keeps the set's span
-    likelihoods; the sets of all blocks then compete."""
-    spark, number = rows.sparkSession, f"{prefix}_number_{'_'.join(keep)}"
-    rows = stage(rows.withColumn(number, F.expr("uuid()")), "numbered")
-    found = []
-    for a in range(0, len(langs), MOST_LANGUAGES):
-        block, logp = fit(train, langs[a : a + MOST_LANGUAGES], block=True)
-        model = spark.sparkContext.broadcast(logp)
-
-        def kernel(batch: pa.RecordBatch, block=block, model=model) -> dict | None:
-            data, offsets = utf8(batch.column("text"))
-            spans, have, first = span_scores(data, offsets, model.value)
-            blank, out = letterless(batch.column("text"), data, offsets), []
-            if len(have):
-                chosen, _ = sets_of(spans.copy(), first)
-                for i, (row, x, y) in enumerate(zip(have, first, np.append(first[1:], len(spans)), strict=True)):
-                    if not blank[row]:
-                        out += [(batch.column(number)[int(row)].as_py(), block[j], spans[x:y, j].tobytes()) for j in np.flatnonzero(chosen[i] > 0)]
-            return dict(zip(("number", "lang", "spans"), map(list, zip(*out, strict=True)), strict=True)) if out else None
-
-        found.append(stage(mapped(rows.select(number, "text"), kernel, "number string, lang string, spans binary", "text"), "spans"))
-
-    def meet(t: pa.Table) -> pa.Table:
-        t = t.sort_by("lang")
-        names = t.column("lang").to_pylist()
-        spans = np.array([np.frombuffer(x, np.float32) for x in t.column("spans").to_pylist()]).T.copy()
-        pick, score, share, cover = named(*sets_of(spans, np.zeros(1, np.int64)))
-        return pa.table({"number": t.column("number")[:1], "lang_pred": [names[pick[0]]], "score": pa.array(score, pa.float64()), "mixture": pa.array([listed(names, share[0])], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float32())]))), "cover": pa.array(cover, pa.float64())})
-
-    best = functools.reduce(DataFrame.unionAll, found).groupBy("number").applyInArrow(meet, ", ".join(["number string", *(f"{c} {kind}" for c, kind in ADDED)]))
-    best = best.select(F.col("number").alias(number), F.struct("lang_pred", "score", "mixture", "cover").alias(number + "_found"))
-    none = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "mixture": F.array().cast(dict(ADDED)["mixture"]), "cover": F.lit(0.0)}
-    return rows.join(best, number, "left").select(*keep, *[F.coalesce(F.col(f"{number}_found.{c}"), x).alias(prefix + c) for c, x in none.items()])
-
-
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from labelled documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text", "lang")

@@ -1,6 +1,7 @@
 """Operators against brute force, libraries and defined results for odd rows."""
 
 import hashlib
+import itertools
 import random
 import struct
 import time
@@ -365,16 +366,71 @@ def test_long_texts_and_many_languages_take_bounded_memory():
     assert peak < 400e6 and lang[0] == 7 and abs(score[0] - 2 / 3) < 0.1 and share[0, 250] > 0.2
 
 
-def test_blocks_of_languages_name_the_same(spark, monkeypatch):
+def plain_mixture(text: str, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+    """EM written out span by span: the chosen nested set's proportions, all languages' proportions, and the penalised likelihood and proportions of any set."""
+    clean = ["".join(c.lower() for c in w) for w in text.split()]
+    spans = []
+    for at in range(0, len(clean), langid.SPAN_WORDS):
+        total = np.zeros(logp.shape[1])
+        for w in clean[at : at + langid.SPAN_WORDS]:
+            for x, y, z in zip(" " + w[:-1], w, w[1:] + " ", strict=True):
+                total += logp[((ord(x) << 16 | ord(y) << 8 | ord(z)) * 2654435761 % 2**32) >> 17]
+        spans.append(np.exp(np.maximum(total - total.max(), -60)))
+    spans = np.array(spans)
+
+    def em(langs: tuple[int, ...]) -> tuple[float, np.ndarray]:
+        share = np.ones(len(langs)) / len(langs)
+        for _ in range(langid.ROUNDS):
+            part = spans[:, langs] * share
+            share = (part / np.maximum(part.sum(1, keepdims=True), 1e-30)).mean(0)
+        wide = np.zeros(logp.shape[1])
+        wide[list(langs)] = share
+        return np.log(np.maximum((spans[:, langs] * share).sum(1), 1e-30)).sum() - langid.PENALTY / 2 * (len(langs) - 1) * np.log(len(spans) + 1), wide
+
+    every = em(tuple(range(logp.shape[1])))[1]
+    order, best = np.argsort(-every, kind="stable"), (-np.inf, None)
+    for m in range(1, len(order) + 1):
+        if (got := em(tuple(sorted(order[:m].tolist()))))[0] <= best[0]:
+            break
+        best = got
+    return best[1], every, {s: em(s) for r in range(1, 6) for s in itertools.combinations(range(logp.shape[1]), r)}
+
+
+@pytest.mark.parametrize("cells", [None, 1, 40, 700])
+def test_language_sets_equal_plain_em(monkeypatch, cells):
+    """Whatever is held at once, results are those of EM written out; the set is the best of all sets, not of the nested ones only."""
+    words, logp = languages_of(5)
+    r = random.Random(7)
+    kinds = [(0,), (1, 2), (3, 0), (4, 2, 1), (0, 1, 2, 3, 4), (2,), (3, 4)]
+    texts = [" ".join(r.choice(words[r.choice(k)]) for _ in range(n)) for n in (1, 3, 7, 40, 150) for k in kinds]
+    if cells:
+        monkeypatch.setattr(langid, "MOST_CELLS", cells)
+    lang, score, share, cover = langid.infer(*common.utf8(pa.array(["", *texts, None, "a b"])), logp)
+    assert lang[0] == -1 and lang[-2] == -1 and not share[0].any()
+    for i, text in enumerate(texts, 1):
+        chosen, every, sets = plain_mixture(text, logp)
+        assert abs(share[i] - chosen).max() < 1e-4 and lang[i] == chosen.argmax()
+        assert abs(score[i] - min(chosen.max(), every[lang[i]])) < 1e-4 and abs(cover[i] - every[chosen > 0].sum()) < 1e-4
+        if len(text.split()) >= 150:
+            assert abs(max(sets.values(), key=lambda x: x[0])[1] - chosen).max() < 1e-9
+
+
+def test_many_labels_and_labels_without_words(spark, monkeypatch):
     words, _ = languages_of(6)
     r = random.Random(5)
-    rows = [(i, " ".join(r.choices(words[i % 6], k=40)), f"l{i % 6}") for i in range(60)] + [(60, " ".join(r.choices(words[0], k=60) + r.choices(words[5], k=30)), None), (None, None, None), (61, "", "l1"), (None, " ".join(words[3]), None)]
+    rows = [(i, " ".join(r.choices(words[i % 6], k=40)), f"l{i % 6}") for i in range(60)] + [(60, " ".join(r.choices(words[0], k=60) + r.choices(words[5], k=30)), None), (None, None, None), (61, "", "l1"), (None, " ".join(words[3]), None), (62, " ", "blank")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    whole = {(r.doc_id, r.lang_pred) for r in langid.predict(df, df).collect()}
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    whole = sorted(map(str, langid.predict(df, df).collect()))
+    assert langid.fit(df)[0] == ["blank", *(f"l{i}" for i in range(6))]
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 2)
+    monkeypatch.setattr(langid, "MOST_CELLS", 30)
     got = langid.predict(df, df).collect()
-    assert {(r.doc_id, r.lang_pred) for r in got} == whole and len(got) == len(rows)
-    assert {x.lang for r in got if r.doc_id == 60 for x in r.mixture} == {"l0", "l5"}
+    assert [x[:60] for x in sorted(map(str, got))] == [x[:60] for x in whole] and len(got) == len(rows)
+    assert all(x.lang_pred == f"l{x.doc_id % 6}" for x in got if x.doc_id is not None and x.doc_id < 60)
+    assert {x.lang for x in got if x.doc_id == 60 for x in x.mixture} == {"l0", "l5"}
+    monkeypatch.setattr(langid, "MOST_LABELS", 5)
+    with pytest.raises(ValueError, match="labels"):
+        langid.predict(df, df)
 
 
 def test_rows_are_judged_by_themselves(spark):
