@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped, ship, stage
+from ..session import dropped, prepared, stage
 
 #: Notes of a key in one automaton, and characters of answers that meet it in one task, about.
 BLOCK, PART = 50_000, 1 << 24
@@ -37,7 +37,7 @@ def mentions(answers: DataFrame, notes: DataFrame, key: str, answer_id: str = "a
     """(answer_id, path) of answers(answer_id, key, text) that hold the path, or case aside the base name, of one of the notes(key, path) under the same key.
 
     A key with many notes is cut into blocks, and one with many or long answers into parts, by hash; every block meets every part of its key. An empty path or name is in every answer; rows with a null key, path, answer_id or text mention nothing; repeated rows are one."""
-    ship(answers.sparkSession)
+    prepared(answers.sparkSession)
     name = F.lower(F.replace(F.substring_index("path", "/", -1), F.lit(".md"), F.lit("")))
     known = notes.where(F.col(key).isNotNull() & F.col("path").isNotNull()).select(F.col(key).alias("_k"), "path").distinct().withColumn("name", name)
     said = answers.where(F.col(key).isNotNull() & F.col("text").isNotNull() & F.col(answer_id).isNotNull()).select(F.col(key).alias("_k"), F.col(answer_id).alias("_a"), "text")

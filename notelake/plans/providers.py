@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..operators.numbering import numbered
-from ..session import ship
+from ..session import prepared
 from ..streaming.limits import Limiter
 
 #: Models, their dimensions and prices.
@@ -115,7 +115,7 @@ def embed(rows: DataFrame, provider: EmbeddingProvider, parallelism: int | None
 
     Batches are cut over the whole input: rows are numbered first, then a batch's rows come together in one task, so that the provider is called ceil(rows / batch_size) times, but for retries. A task holds one batch.
     ``done`` counts texts as tasks end."""
-    ship(rows.sparkSession)
+    prepared(rows.sparkSession)
     rows = rows.where(~is_blank(F.col("text"))).select("path", "content_hash", "text", "estimated_tokens")
     rows = numbered(rows, "_row").withColumn("_batch", F.floor(F.col("_row") / provider.batch_size))
     # a stated number, so that adaptive execution does not put few, slow calls into one task
@@ -148,7 +148,7 @@ def chat(requests: DataFrame, provider: ChatProvider, key: str, attempts: int =
     """(key, response, error) of requests(key, system, messages): one call a row, with retries; a failed call is a message, not a failed query.
 
     With ``most``, no more calls than that are made in any ``seconds``, retries included: requests go to ``tasks`` tasks, each of which waits for one of its most / tasks slots before a call."""
-    ship(requests.sparkSession)
+    prepared(requests.sparkSession)
     kind = dict(requests.dtypes)[key]
     if most is not None:
         if most < tasks:

@@ -475,10 +475,10 @@ def goal_notes_remove(spark, sf):
     return rollups.remove_notes(goals(spark, sf), F.array(F.lit("n1"), F.lit("n2"))).select("goal_id", F.array_join("notes_paths", ",").alias("notes"))
 
 
-@query(f"SELECT doc_id, concat_ws(',', CASE WHEN {d_trim('name')} = '' THEN 'name' END, CASE WHEN length(name) > 200 THEN 'name too long' END, CASE WHEN regexp_matches(name, '[\\x00-\\x1F\\x7F]') THEN 'control characters' END, CASE WHEN doc_id % 6 = 0 THEN 'description' END, CASE WHEN doc_id % 8 = 0 THEN 'milestones' END) AS errors FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '  ' WHEN doc_id % 3 = 0 THEN left(text, 100) ELSE left(text, 260) END AS name FROM documents)")
+@query(f"SELECT doc_id, concat_ws(',', CASE WHEN {d_trim('name')} = '' THEN 'name' END, CASE WHEN length(name) > 200 THEN 'name too long' END, CASE WHEN regexp_matches(name, '[\\x00-\\x1F\\x7F]') THEN 'control characters' END, CASE WHEN doc_id % 6 = 0 THEN 'description' END, CASE WHEN doc_id % 8 = 0 THEN 'milestones' END) AS errors FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '  ' WHEN doc_id % 3 = 0 THEN concat_ws(' ', 'Learn', lang, source) ELSE text END AS name FROM documents)")
 def goal_validation(spark, sf):
     d = read(spark, sf, "documents")
-    name = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100)).otherwise(F.substring("text", 1, 260))
+    name = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.lit("Learn"), "lang", "source")).otherwise(F.col("text"))
     description, stones = F.when(F.col("doc_id") % 6 == 0, " ").otherwise("d"), F.when(F.col("doc_id") % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("m")))
     return d.select("doc_id", F.array_join(rollups.goal_errors(name, description, F.lit("2030-01-01"), stones), ",").alias("errors"))
 
@@ -594,10 +594,10 @@ def eval_parse(spark, sf):
 
 # --- streams ---
 
-SSE = "SELECT conv_id AS stream_id, turn AS seq, CASE WHEN turn = 0 THEN concat('data: {{\"type\":\"message_start\",\"message\":{{\"usage\":{{\"input_tokens\":', length(text), '}}}}}}') WHEN turn % 5 = 4 THEN concat('data: {{\"type\":\"message_delta\",\"usage\":{{\"output_tokens\":', turn, '}}}}') WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN 'data: {{broken' ELSE concat('data: {{\"type\":\"content_block_delta\",\"delta\":{{\"type\":\"text_delta\",\"text\":\"t', turn, ' \"}}}}') END AS line FROM {table}"
+SSE = "SELECT conv_id AS stream_id, turn AS seq, CASE WHEN turn = 0 THEN concat('data: {{\"type\":\"message_start\",\"message\":{{\"usage\":{{\"input_tokens\":', length(text), '}}}}}}') WHEN turn % 5 = 4 THEN concat('data: {{\"type\":\"message_delta\",\"usage\":{{\"output_tokens\":', turn, '}}}}') WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN 'data: {{broken' ELSE concat('data: {{\"type\":\"content_block_delta\",\"delta\":', to_json(named_struct('type', 'text_delta', 'text', coalesce(text, ''))), '}}') END AS line FROM {table}"
 
 
-@query("WITH e AS (SELECT conv_id, turn, text, CASE WHEN turn = 0 THEN 's' WHEN turn % 5 = 4 THEN 'd' WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN 'x' ELSE 't' END AS k FROM conversations) SELECT conv_id AS stream_id, coalesce(string_agg(concat('t', turn, ' '), '' ORDER BY turn) FILTER (WHERE k = 't'), '') AS content, coalesce(arg_max(length(text), turn) FILTER (WHERE k = 's'), 0) AS input_tokens, coalesce(max(turn) FILTER (WHERE k = 'd'), 0) AS output_tokens, count(*) FILTER (WHERE k = 'x') AS errors, count(*) FILTER (WHERE k = 'x') >= 5 AS failed FROM e GROUP BY 1")
+@query("WITH e AS (SELECT conv_id, turn, text, CASE WHEN turn = 0 THEN 's' WHEN turn % 5 = 4 THEN 'd' WHEN turn % 5 = 3 AND conv_id % 3 = 0 THEN 'x' ELSE 't' END AS k FROM conversations) SELECT conv_id AS stream_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE k = 't'), '') AS content, coalesce(arg_max(length(text), turn) FILTER (WHERE k = 's'), 0) AS input_tokens, coalesce(max(turn) FILTER (WHERE k = 'd'), 0) AS output_tokens, count(*) FILTER (WHERE k = 'x') AS errors, count(*) FILTER (WHERE k = 'x') >= 5 AS failed FROM e GROUP BY 1")
 def token_fold(spark, sf):
     return events.fold(spark.sql(SSE.replace("{table}", "{t}"), t=read(spark, sf, "conversations")))
 

@@ -64,10 +64,10 @@ def api_key_check(spark, sf):
     return rows.select("doc_id", *[F.coalesce(ids.key_error(p, F.col("k")), F.lit("ok")).alias(n) for n, p in (("first", "anthropic"), ("second", "voyage"))])
 
 
-@query(r"SELECT doc_id, left(trim(replace(regexp_replace(concat(' a/b', chr(92), doc_id, ':*?<>|..', left(text, 150)), '[/\\:*?" + '"' + r"<>|]', '', 'g'), '..', '')), 100) AS name FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS text FROM documents)")
+@query(r"SELECT doc_id, left(trim(replace(regexp_replace(concat(' a/b', chr(92), doc_id, ':*?<>|..', text), '[/\\:*?" + '"' + r"<>|]', '', 'g'), '..', '')), 100) AS name FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS text FROM documents)")
 def sanitized_goal_names(spark, sf):
     flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
-    name = F.concat(F.lit(" a/b\\"), F.col("doc_id").cast("string"), F.lit(":*?<>|.."), F.substring(flat, 1, 150))
+    name = F.concat(F.lit(" a/b\\"), F.col("doc_id").cast("string"), F.lit(":*?<>|.."), flat)
     return read(spark, sf, "documents").select("doc_id", rollups.sanitized_goal_name(name).alias("name"))
 
 
@@ -399,18 +399,19 @@ def qa_neighbours(spark, sf):
     return n.select("session_id", "question_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("previous_id", "next_id")])
 
 
-@query(f"SELECT s AS session_id, row_number() OVER (PARTITION BY s ORDER BY q) - 1 AS ordinal, 'open-ended' AS type, concat('What is ', q) AS text, CASE WHEN had THEN 'it' END AS user_answer, CASE WHEN had THEN correct END AS is_correct, CASE WHEN had THEN 'fine' END AS explanation FROM ({D_ONE})")
+@query(f"SELECT s AS session_id, row_number() OVER (PARTITION BY s ORDER BY q) - 1 AS ordinal, CASE WHEN q % 2 = 0 THEN 'multiple-choice' ELSE 'open-ended' END AS type, concat('What is ', q) AS text, CASE WHEN q % 2 = 0 THEN concat(s, ' a|', q, ' b|c: d|- e') ELSE '' END AS options, CASE WHEN q % 2 = 0 THEN s % 4 ELSE -1 END AS correct_answer, CASE WHEN had THEN 'it' END AS user_answer, CASE WHEN had THEN correct END AS is_correct, CASE WHEN had THEN 'fine' END AS explanation FROM ({D_ONE})")
 def qa_document_round_trip(spark, sf):
-    """Sessions written as documents and parsed back."""
+    """Sessions of open and multiple-choice questions written as documents and parsed back."""
     q, a = one_quiz(spark, sf)
+    choice, options = F.col("question_id") % 2 == 0, F.array(F.concat("session_id", F.lit(" a")), F.concat("question_id", F.lit(" b")), F.lit("c: d"), F.lit("- e"))
     rows = q.join(a, ["session_id", "question_id"], "left").select(
-        "session_id", (F.col("ordinal") - 1).alias("ordinal"), F.lit("open-ended").alias("type"), F.concat(F.lit("What is "), "question_id").alias("text"), F.lit("n.md").alias("source_note_path"),
-        F.array().cast("array<string>").alias("options"), F.lit(None).cast("int").alias("correct_answer"), F.when(F.col("is_correct").isNotNull(), "it").alias("user_answer"), "is_correct", F.when(F.col("is_correct").isNotNull(), "fine").alias("explanation"),
+        "session_id", (F.col("ordinal") - 1).alias("ordinal"), F.when(choice, "multiple-choice").otherwise("open-ended").alias("type"), F.concat(F.lit("What is "), "question_id").alias("text"), F.lit("n.md").alias("source_note_path"),
+        F.when(choice, options).otherwise(F.array().cast("array<string>")).alias("options"), F.when(choice, (F.col("session_id") % 4).cast("int")).alias("correct_answer"), F.when(F.col("is_correct").isNotNull(), "it").alias("user_answer"), "is_correct", F.when(F.col("is_correct").isNotNull(), "fine").alias("explanation"),
     )
     body = documents.write_questions(rows)
     fields = F.struct(F.concat(F.lit("qa-"), "session_id").alias("id"), F.lit("g").alias("goalId"))
     loaded = documents.accepted(documents.load(body.select("session_id", documents.save(fields, F.col("body")).alias("content")), documents.SESSION))
-    return loaded.select("session_id", F.explode(documents.questions(F.col("body"))).alias("q")).select("session_id", F.col("q.ordinal").cast("bigint").alias("ordinal"), "q.type", "q.text", "q.user_answer", "q.is_correct", "q.explanation")
+    return loaded.select("session_id", F.explode(documents.questions(F.col("body"))).alias("q")).select("session_id", F.col("q.ordinal").cast("bigint").alias("ordinal"), "q.type", "q.text", F.array_join("q.options", "|").alias("options"), F.coalesce("q.correct_answer", F.lit(-1)).cast("bigint").alias("correct_answer"), "q.user_answer", "q.is_correct", "q.explanation")
 
 
 # --- prompts, requests, providers, streams ---
@@ -459,11 +460,12 @@ def chat_errors(spark, sf):
     return told.select("c_custkey", F.coalesce("response", F.lit("-")).alias("response"), F.coalesce("error", F.lit("-")).alias("error"))
 
 
-@query("SELECT conv_id AS stream_id, string_agg(concat('t', turn, ' '), '' ORDER BY turn) AS content, count(*) AS output_tokens, 0 AS errors FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS stream_id, coalesce(string_agg(text, '' ORDER BY turn), '') AS content, count(*) AS output_tokens, 0 AS errors FROM conversations GROUP BY 1")
 def chunked_streams(spark, sf):
-    """Event streams cut into chunks of 37 characters anywhere, the last line without its break."""
+    """Whole turns as event streams cut into chunks of 37 characters anywhere, the last line without its break."""
     c = read(spark, sf, "conversations")
-    line = F.concat(F.lit('event: x\n\ndata: {"type":"content_block_delta","delta":{"type":"text_delta","text":"t'), "turn", F.lit(' "}}\n'))
+    delta = F.to_json(F.struct(F.lit("text_delta").alias("type"), F.coalesce("text", F.lit("")).alias("text")))
+    line = F.concat(F.lit('event: x\n\ndata: {"type":"content_block_delta","delta":'), delta, F.lit("}\n"))
     whole = c.withColumn("_l", line).groupBy(F.col("conv_id").alias("stream_id")).agg(F.expr("listagg(_l, '') within group (order by turn)").alias("w"), F.count("*").alias("n"))
     whole = whole.select("stream_id", F.concat("w", F.lit('data: {"type":"message_delta","usage":{"output_tokens":'), "n", F.lit("}}")).alias("w"))
     chunks = whole.select("stream_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 37))).alias("seq")).select("stream_id", "seq", F.substring("w", (F.col("seq") * 37 + 1).cast("int"), F.lit(37)).alias("chunk"))
