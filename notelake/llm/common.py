@@ -13,19 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import components  # noqa: F401
-from ..session import dropped, shared_dir, ship, stage  # noqa: F401
-
-#: Rows and bytes handed to Python at once: texts are long, so far fewer than Spark's defaults.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def prepared(spark: SparkSession) -> SparkSession:
-    """The session with this package on its workers and, unless set otherwise, batches of BATCH_ROWS rows and BATCH_BYTES (one row at least) for Python."""
-    ship(spark)
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, str(most))
-    return spark
+from ..session import dropped, prepared, shared_dir, ship, stage  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

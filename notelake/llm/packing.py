@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import released, slices, stage, table
+from .common import prepared, released, slices, stage, table
 
 CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 192, 8
 #: Columns are generated until the fractional optimum is proven to be within this share (the price of the best column bounds it).
@@ -279,6 +279,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all pieces of ``docs(doc_id, text)``."""
+    prepared(docs.sparkSession)
     cut = stage(pieces(docs, tokenizer, capacity, end_id), "pieces")
     per_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     total = np.zeros(capacity + 1, np.int64)
