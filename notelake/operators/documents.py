@@ -7,67 +7,103 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache, wraps
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import is_blank, trim
+from ..functions.text import is_blank, let, trim
 
 #: The document format (front matter, keys, numbers).
-FRONT = r"\A---\s*\n([\s\S]*?)\n---\s*\n([\s\S]*)\z"
-KEY = re.compile(r"( *)([a-zA-Z0-9_-]+):\s*(.*)", re.DOTALL)
+FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
+NAME = re.compile(r"[a-zA-Z0-9_-]+")
 NUMBER = re.compile(r"-?\d+(\.\d+)?")
+WORDS = {"true": True, "false": False, "null": None, "": None}
+MARKED = re.compile(r"[:#\[\]{}|>\n]")
 
 
 def split_document(c: Column) -> Column:
     """struct<frontmatter, body>; null where there is no frontmatter block."""
-    return F.when(c.rlike(FRONT), F.struct(F.regexp_extract(c, FRONT, 1).alias("frontmatter"), F.regexp_extract(c, FRONT, 2).alias("body")))
+    head = F.regexp_extract(c, FRONT, 0)
+    return let(head, lambda h: F.when(h != "", F.struct(F.regexp_extract(h, FRONT, 1).alias("frontmatter"), F.substring(c, F.length(h) + 1, F.length(c)).alias("body"))))
 
 
+def remembered(f):
+    """``f`` of a string, worked out once for those of under 64 characters that come again: keys and values do from document to document."""
+    kept = lru_cache(1 << 14)(f)
+
+    @wraps(f)
+    def call(text: str):
+        return kept(text) if len(text) < 64 else f(text)
+
+    return call
+
+
+@remembered
 def scalar(text: str):
     """A YAML scalar: boolean, null, number, quoted or plain string."""
     text = text.strip()
-    fixed = {"true": True, "false": False, "null": None, "": None}
-    if text in fixed:
-        return fixed[text]
-    if NUMBER.fullmatch(text):
+    if text in WORDS:
+        return WORDS[text]
+    first = text[0]
+    if (first == "-" or first.isdigit()) and NUMBER.fullmatch(text):
         return float(text) if "." in text else int(text)
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return re.sub(r'\\(n|"|\\)', lambda m: "\n" if m[1] == "n" else m[1], text[1:-1])
+    if first in "\"'" and len(text) > 1 and text[-1] == first:
+        inner = text[1:-1]
+        return re.sub(r'\\(n|"|\\)', lambda m: "\n" if m[1] == "n" else m[1], inner) if "\\" in inner else inner
     return text
 
 
+@remembered
+def pair_of(line: str) -> tuple[bool, str, str] | None:
+    """Whether a ``key: value`` line is indented, its key and what stands behind the colon; None for another line."""
+    bare = line.lstrip(" ")
+    key, colon, rest = bare.partition(":")
+    if colon and ((key.isascii() and key.isidentifier()) or NAME.fullmatch(key)):
+        return len(bare) < len(line), key, rest.lstrip()
+    return None
+
+
 def parse_yaml(block: str) -> dict:
     """Scalars, lists, lists of flat objects and flat objects; a key with nothing below it is null. Escapes are undone in one pass, so what ``write_yaml`` makes reads back."""
     out: dict = {}
     held: str | None = None
-    for line in filter(str.strip, block.split("\n")):
-        item, pair = re.fullmatch(r"\s*- (.*)", line), KEY.fullmatch(line)
-        if pair and not pair[1] and not item:
-            held = pair[2] if pair[3] == "" else None
-            out[pair[2]] = None if held else scalar(pair[3])
-        elif item and held is not None:
-            out[held] = out[held] if isinstance(out[held], list) else []
-            inner = KEY.fullmatch(item[1])
-            out[held].append({inner[2]: scalar(inner[3])} if inner and not inner[1] else scalar(item[1]))
-        elif pair and held is not None:
-            if out[held] is None:
-                out[held] = {}
-            into = out[held][-1] if isinstance(out[held], list) and out[held] else out[held]
-            if isinstance(into, dict):
-                into[pair[2]] = scalar(pair[3])
+    for line in block.split("\n"):
+        bare = line.lstrip()
+        if bare.startswith("- "):
+            if held is not None:
+                out[held] = out[held] if isinstance(out[held], list) else []
+                inner = pair_of(bare[2:])
+                out[held].append({inner[1]: scalar(inner[2])} if inner and not inner[0] else scalar(bare[2:]))
+        elif bare and (pair := pair_of(line)):
+            if not pair[0]:
+                held = pair[1] if pair[2] == "" else None
+                out[pair[1]] = None if held else scalar(pair[2])
+            elif held is not None:
+                if out[held] is None:
+                    out[held] = {}
+                into = out[held][-1] if isinstance(out[held], list) and out[held] else out[held]
+                if isinstance(into, dict):
+                    into[pair[1]] = scalar(pair[2])
     return out
 
 
+@remembered
+def write_string(value: str) -> str:
+    if MARKED.search(value) or scalar(value) != value:
+        return '"' + value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    return value
+
+
 def write_scalar(value) -> str:
+    if isinstance(value, str):
+        return write_string(value)
     if value is None:
         return ""
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, str) and (re.search(r"[:#\[\]{}|>\n]", value) or not isinstance(scalar(value), str) or scalar(value) != value):
-        return '"' + value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
     return str(value)
 
 
@@ -87,14 +123,21 @@ def write_yaml(fields: dict) -> str:
     return "\n".join(lines)
 
 
-@F.pandas_udf(StringType())
-def yaml_to_json(blocks: pd.Series) -> pd.Series:
-    return blocks.map(lambda b: None if b is None else json.dumps(parse_yaml(b), ensure_ascii=False))
+_json = json.JSONEncoder(ensure_ascii=False).encode
+
+
+@F.arrow_udf(StringType())
+def yaml_to_json(blocks: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else _json(parse_yaml(b)) for b in blocks.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def json_to_yaml(fields: pa.Array) -> pa.Array:
+    return pa.array([None if f is None else write_yaml(json.loads(f)) for f in fields.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def json_to_yaml(fields: pd.Series) -> pd.Series:
-    return fields.map(lambda f: None if f is None else write_yaml(json.loads(f)))
+#: Declared not deterministic, so that a filter on what was parsed stays behind it and no document is parsed or written a second time.
+yaml_to_json, json_to_yaml = yaml_to_json.asNondeterministic(), json_to_yaml.asNondeterministic()
 
 
 GOAL = "id string, name string, description string, deadline string, status string, createdAt string, updatedAt string, notesPaths array<string>, milestones array<struct<id:string,content:string,completed:boolean,order:int>>"
@@ -165,21 +208,33 @@ def questions(body: Column) -> Column:
 
     Ordinals are places among valid questions (stable keys); an open answer ends before its Status line."""
     sections = F.filter(F.split(body, r"\n## Question \d+"), lambda s: ~is_blank(s))
-    one = lambda s, p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
-    options = lambda s: F.transform(F.filter(F.split(F.regexp_extract(s, r"Options:\n((?:- [^\n]+\n?)+)", 1), "\n"), lambda x: x.startswith("- ")), lambda x: trim(F.substring(x, 3, 1_000_000)))
-    answer = lambda s: trim(F.regexp_replace(F.regexp_extract(s, r"#### User Answer\n([\s\S]*?)(?=\n#### Feedback|\z)", 1), r"\n\s*Status: (Correct|Incorrect)\s*\z", ""))
-    answered = lambda s: s.contains("#### User Answer\n") & s.contains("#### Feedback\n") & s.rlike("Status: (Correct|Incorrect)")
-    made = F.transform(
+    found = lambda s, p: F.regexp_extract(s, p, 1)
+    given = lambda x: F.nullif(x, F.lit(""))
+    options = lambda s: F.transform(F.filter(F.split(found(s, r"Options:\n((?:- [^\n]+\n?)+)"), "\n"), lambda x: x.startswith("- ")), lambda x: trim(F.substring(x, 3, 1_000_000)))
+    answer = lambda s: trim(F.regexp_replace(found(s, r"(?s)#### User Answer\n(.*?)(?=\n#### Feedback|\z)"), r"\n\s*Status: (Correct|Incorrect)\s*\z", ""))
+    # what a section says, read once; then what it means
+    read = F.transform(
         sections,
         lambda s: F.struct(
-            one(s, r"Type: (multiple-choice|open-ended)").alias("type"),
-            trim(one(s, r"### ([^\n]+)")).alias("text"),
-            trim(one(s, r"Source: ([^\n]+)")).alias("source_note_path"),
-            options(s).alias("options"),
-            one(s, r"Correct: (\d)").cast("int").alias("correct_answer"),
-            F.when(answered(s), answer(s)).alias("user_answer"),
-            F.when(answered(s), s.rlike("Status: Correct")).alias("is_correct"),
-            F.when(answered(s), trim(F.regexp_extract(s, r"#### Feedback\n([\s\S]*)", 1))).alias("explanation"),
+            s.alias("s"),
+            found(s, r"Type: (multiple-choice|open-ended)").alias("type"),
+            found(s, r"### ([^\n]+)").alias("text"),
+            found(s, r"Source: ([^\n]+)").alias("source"),
+            found(s, r"Correct: (\d)").alias("correct"),
+            (s.contains("#### User Answer\n") & s.contains("#### Feedback\n") & s.rlike("Status: (Correct|Incorrect)")).alias("answered"),
+        ),
+    )
+    made = F.transform(
+        read,
+        lambda r: F.struct(
+            given(r["type"]).alias("type"),
+            trim(given(r["text"])).alias("text"),
+            trim(given(r["source"])).alias("source_note_path"),
+            options(r["s"]).alias("options"),
+            given(r["correct"]).cast("int").alias("correct_answer"),
+            F.when(r["answered"], answer(r["s"])).alias("user_answer"),
+            F.when(r["answered"], r["s"].contains("Status: Correct")).alias("is_correct"),
+            F.when(r["answered"], trim(found(r["s"], r"(?s)#### Feedback\n(.*)"))).alias("explanation"),
         ),
     )
     choice = lambda q: (q["type"] == "multiple-choice") & (F.size(q["options"]) == 4) & q["correct_answer"].isNotNull()
