@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from notelake.functions import text
 from notelake.operators import documents
 
 
@@ -19,3 +20,29 @@ def test_a_document_begins_behind_its_first_front_matter(spark):
     texts = ["---\n\na: 1\n--- \n\nb\n---\nc", "---\na: 1\n---\n", "---\n---\nb", " ---\na: 1\n---\nb", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", documents.split_document(F.col("t")).alias("p")).orderBy("i").collect()
     assert [r.p and tuple(r.p) for r in rows] == [("a: 1", "b\n---\nc"), ("a: 1", ""), None, None, None]
+
+
+def test_texts_are_read_as_by_their_patterns(spark):
+    kept = ["a  b", " a\n\n b﻿", " \t", "", None, "é  ü", "x" * 1499 + " y  z", "𝒳" * 1001 + " tail " + "𝒴" * 700, "한국어 abc 你好 カナ", " 　"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(kept)], "i int, t string")
+    cjk, astral = F.regexp_count("t", F.lit(text.CJK)), F.regexp_count("t", F.lit(text.ASTRAL))
+    flat = F.regexp_replace(F.regexp_replace("t", rf"{text.WS}+", " "), r"\A +| +\z", "")
+    got = rows.select("i", "t", text.trim(F.col("t")).alias("a"), F.regexp_replace("t", rf"\A{text.WS}+|{text.WS}+\z", "").alias("b"), text.estimate_tokens(F.col("t")).alias("n"), F.coalesce(F.floor((2 * (F.length("t") + astral - cjk) + 2) / 3) + cjk, F.lit(0)).alias("m"), text.content_hash(F.col("t")).alias("h"), flat.alias("f")).collect()
+    for r in got:
+        assert r.a == r.b and r.n == r.m
+        if r.t is None:
+            assert r.h is None
+            continue
+        u = r.f.encode("utf-16-le")
+        n = len(u) // 2
+        h = 5381
+        for x in memoryview(u if n <= 1500 else u[:2000] + u[-1000:]).cast("H").tolist() + list(map(ord, f":{n}")):
+            h = (h * 33 + x) & 0xFFFFFFFF
+        assert r.h == f"{h:08x}"
+
+
+def test_only_the_ends_of_a_text_go_to_the_hash(spark, capsys):
+    """What leaves the JVM for a hash is a sample, so a batch of long texts stays small."""
+    spark.createDataFrame([("a",)], "t string").select(text.content_hash(F.col("t"))).explain()
+    plan = capsys.readouterr().out
+    assert "struct(ends" in plan
