@@ -1,9 +1,10 @@
 """What has to stay cheap as tables grow: nothing worked out twice, the same results by the faster ways."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from notelake.functions import text
-from notelake.operators import documents
+from notelake.functions import scores, text
+from notelake.operators import documents, search
 
 
 def test_documents_are_parsed_and_written_once(spark, capsys):
@@ -46,3 +47,17 @@ def test_only_the_ends_of_a_text_go_to_the_hash(spark, capsys):
     spark.createDataFrame([("a",)], "t string").select(text.content_hash(F.col("t"))).explain()
     plan = capsys.readouterr().out
     assert "struct(ends" in plan
+
+
+def test_similarities_are_worked_out_in_blocks_with_the_same_bits(spark, capsys):
+    rows = [(i, i % 3, [((i * 37 + j * 11) % 101 - 50) / 7 for j in range(9)]) for i in range(90)] + [(90 + i, 1, [1.0, None, *[0.0] * 7]) for i in range(2)]
+    v = spark.createDataFrame(rows + [(100 + i, label, e) for i, label, e in rows[:9]], "vec_id int, label int, embedding array<float>")
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = v.crossJoin(q).withColumn("similarity", scores.dot(F.col("embedding"), F.col("query")))
+    got = search.similarities(v, q)
+    assert sorted(map(repr, got.select("query_id", "vec_id", "similarity").collect())) == sorted(map(repr, pairs.select("query_id", "vec_id", "similarity").collect()))
+    rank = F.row_number().over(Window.partitionBy("query_id", "label").orderBy(F.desc("similarity"), "vec_id"))
+    want = pairs.withColumn("rank", rank).where("rank <= 2").select("query_id", "label", "vec_id", "rank")
+    assert sorted(search.top_k_each(v, q, 2, ["label"]).select("query_id", "label", "vec_id", "rank").collect()) == sorted(want.collect())
+    got.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
