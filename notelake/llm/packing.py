@@ -82,7 +82,7 @@ class Ids:
         split = [PRETOKEN.findall(x) if ORDINARY.match(x) and not self.added.search(x) else None for x in texts]
         met: set[str] = set()
         met.update(*filter(None, split))
-        self._learn([w for w in met if w not in seen])
+        self._learn(list(met.difference(seen)))  # with the hashes that the set holds
         whole = iter(self._encode([x for x, ws in zip(texts, split, strict=True) if ws is None]))
         return [next(whole) if ws is None else b"".join(map(seen.__getitem__, ws)) for ws in split]
 
