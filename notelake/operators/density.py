@@ -2,7 +2,9 @@
 
 1. Core distances: exact nearest neighbours (``neighbours``); equal vectors are one node that weighs as many rows as it stands for.
 2. Spanning edges of mutual reachability ``max(core, core, distance)``: Boruvka rounds. A component's best known edge, from neighbour lists or from a bounded sample, bounds what its members still
-   have to look for; members whose core distance is no less are done, cells of one component tell it nothing. Edges of equal weight may close a cycle, which the threshold graphs do not mind.
+   have to look for; members whose core distance is no less, or whose list of neighbours ends no nearer, are done. Components all whose members are done join by the edge they know. Once they
+   are less than half, the members of the others visit blocks, but for those of the component with most to look for: the others join it. Cells of one component tell it nothing. Edges of equal
+   weight may close a cycle, which the threshold graphs do not mind.
 3. Entry: the least threshold at which a row's component has ``min_size`` rows. Small components follow their least edge; of each tree of such pointers only the bottom merges, and once that is
    large, the whole tree has entered. The bottom grows in each round, so there are at most ``min_size`` rounds.
 4. Parts: what hangs together without the edges between two large components. Those edges, at most one for ``min_size`` rows, are the condensed tree; edges of one weight merge at once.
@@ -28,23 +30,23 @@ from pyspark.sql import functions as F
 
 from ..session import dropped, stage
 from .components import components
-from .neighbours import Cells, exact, matrix, nearest_of, neighbours, placed, unit, visited
+from .neighbours import CHUNK, Cells, as_array, exact, matrix, neighbours, one_chunk, placed, rough, unit, visited
 
 NOISE = -1
-#: Rows that every component compares itself with when its neighbours are all its own.
-SAMPLE = 256
+#: Rows that a component compares itself with when its neighbours are all its own, and neighbours that are listed for each row, at least.
+SAMPLE, LISTED = 256, 16
 
 
 def with_core(rows: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """Placed rows with ``core``: the distance within which k other rows are, copies counted; the farthest neighbour where there are fewer."""
+    """Placed rows with ``core``: the distance within which k other rows are, copies counted; the farthest neighbour where there are fewer; and ``radius``: all vectors that are nearer are in the list."""
     step = F.aggregate("near", F.struct((F.col("n") - 1).alias("c"), F.when(F.col("n") > k, 0.0).alias("d")), lambda s, x: F.struct((s["c"] + x["n"]).alias("c"), F.coalesce(s["d"], F.when(s["c"] + x["n"] >= k, x["d"])).alias("d")))
     last = F.coalesce(F.element_at(F.transform("near", lambda x: x["d"]), -1), F.lit(0.0))
     none = F.when(F.size("near") > 0, last).otherwise(0.0)
-    return rows.join(near, "id", "left").withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType))).withColumn("core", F.coalesce(step["d"], none)).drop("near")
+    return rows.join(near, "id", "left").withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType))).withColumns({"core": F.coalesce(step["d"], none), "radius": F.when(F.size("near") >= max(k, LISTED), last).otherwise(float("inf"))}).drop("near")
 
 
 def spanning_edges(rows: DataFrame, near: DataFrame, cells: Cells) -> DataFrame:
-    """Staged (a, b, w) whose threshold graphs hang together as those of all pairs of rows(id, n, v, cell, block, core) do."""
+    """Staged (a, b, w) whose threshold graphs hang together as those of all pairs of rows(id, n, v, cell, block, core, radius) do."""
     kind = dict(rows.dtypes)["id"]
     core = rows.select("id", "core")
     listed = near.select("id", F.explode("near").alias("x")).select("id", F.col("x.id").alias("other"), F.col("x.d").alias("d"))
@@ -61,22 +63,31 @@ def spanning_edges(rows: DataFrame, near: DataFrame, cells: Cells) -> DataFrame:
         both = then.select(F.col("ca").alias("comp"), "w", "a", "b", F.col("cb").alias("to")).unionAll(then.select(F.col("cb").alias("comp"), "w", "b", "a", F.col("ca").alias("to")))
         known = stage(best_of(both), "known")
         labelled = stage(rows.join(now, "id"), "labelled")
-        if known.count() < count:  # some component has all its neighbours inside
-            found = sampled(labelled, kind)
-            back = found.select(F.col("to").alias("comp"), "w", F.col("b").alias("a"), F.col("a").alias("b"), F.col("comp").alias("to"))
-            more = stage(best_of(known.unionByName(found).unionByName(back)), "known")
-            dropped(known)
-            known = more
-        asking = labelled.join(known.select("comp", F.col("w").alias("within")), "comp").where("core < within").select("id", "v", "cell", "core", "comp", "within")
-        one = {r.cell: r.x for r in labelled.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").collect()}  # at most so many rows as pivots
-        skip = np.array([one.get(c, NOWHERE) for c in range(len(cells.pivots))], object)
-        told = visited(labelled.select("id", "v", "cell", "block", "core", "comp"), asking, cells, nearest_outside, f"comp {kind}, w double, a {kind}, b {kind}, to {kind}", skip, "comp")
-        chosen = stage(best_of(known.unionByName(told)), "chosen")
+        reach = F.greatest("core", "radius")
+        open_ = stage(labelled.join(known.select("comp", "w"), "comp", "left").where(F.col("w").isNull() | (reach < F.col("w"))).groupBy("comp").agg(F.count("*").alias("asking")), "open")
+        unsettled = open_.count()
+        settled = known.join(open_, "comp", "left_anti")
+        if 2 * unsettled <= count:
+            chosen = stage(settled, "chosen")
+        else:
+            waits = open_.orderBy(F.desc("asking"), "comp").first()["comp"]  # whoever joins it may be anyone's nearest
+            search = open_.where(F.col("comp") != F.lit(waits)).select("comp")
+            asking = labelled.join(search, "comp", "left_semi")
+            bound = known.join(search, "comp", "left_semi")
+            if bound.count() < unsettled - 1:  # some component has all its neighbours inside
+                bound = best_of(bound.unionByName(sampled(labelled, asking.join(known, "comp", "left_anti"), kind)))
+            bound = stage(bound, "bound")
+            asking = asking.join(bound.select("comp", F.col("w").alias("within")), "comp", "left").withColumn("within", F.coalesce("within", F.lit(float("inf")))).where(reach < F.col("within"))
+            one = {r.cell: r.x for r in labelled.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").collect()}  # at most so many rows as pivots
+            skip = np.array([one.get(c, NOWHERE) for c in range(len(cells.pivots))], object)
+            told = visited(labelled.select("id", "v", "cell", "block", "core", "comp"), asking.select("id", "v", "cell", "core", "comp", "within"), cells, nearest_outside, f"comp {kind}, w double, a {kind}, b {kind}, to {kind}", skip, "comp")
+            chosen = stage(best_of(settled.unionByName(bound).unionByName(told)), "chosen")
+            dropped(bound, told)
         made.append(stage(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct(), "spanning"))
         joined = components(chosen.select(F.col("comp").alias("a"), F.col("to").alias("b")))
         after = stage(now.join(joined.toDF("comp", "component"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "comps")
         left = after.select("comp").distinct().count()
-        dropped(now, known, labelled, told, chosen, joined)
+        dropped(now, known, labelled, open_, chosen, joined)
         if left == count:
             break  # nothing to join: cannot happen while there are two components
         now, count, edges = after, left, then.select("a", "b", "w")
@@ -109,8 +120,8 @@ def best_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
 
 
-def sampled(labelled: DataFrame, kind: str) -> DataFrame:
-    """For every row its least edge (comp, w, a, b, to) to a row of another component in a sample of at most SAMPLE rows, of which half at least are of no component twice while there are so many."""
+def sampled(labelled: DataFrame, asking: DataFrame, kind: str) -> DataFrame:
+    """For every asking row its least edge (comp, w, a, b, to) to a row of another component in a sample of at most SAMPLE rows, of which half at least are of no component twice while there are so many."""
     first = labelled.groupBy("comp").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "core", "v")).alias("x")).orderBy(F.xxhash64("comp"), "comp").limit(SAMPLE // 2).select("comp", "x.id", "x.core", "x.v")
     other = labelled.select("comp", "id", "core", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE // 2)
     got = first.unionByName(other).toArrow()
@@ -132,26 +143,37 @@ def sampled(labelled: DataFrame, kind: str) -> DataFrame:
             id_type = b.schema.field("id").type
             yield pa.RecordBatch.from_arrays([b.column("comp").take(pa.array(keep)), pa.array(best[keep]), b.column("id").take(pa.array(keep)), pa.array([ids[j] for j in at[keep]], id_type), pa.array([comps[j] for j in at[keep]], id_type)], ["comp", "w", "a", "b", "to"])
 
-    return labelled.select("comp", "id", "core", "v").mapInArrow(run, f"comp {kind}, w double, a {kind}, b {kind}, to {kind}")
+    return asking.select("comp", "id", "core", "v").mapInArrow(run, f"comp {kind}, w double, a {kind}, b {kind}, to {kind}")
 
 
 def nearest_outside(t: pa.Table, q: pa.Table) -> pa.Table:
     """Of a block of rows and visitors from other components: the least edge of each component that is below what it has."""
-    best: dict = {}
-    if t.num_rows and q.num_rows:
-        ids, comps, cores = np.array(t.column("id").to_pylist(), object), np.array(t.column("comp").to_pylist(), object), t.column("core").to_numpy()
-        names, own, core, within = q.column("id").to_pylist(), q.column("comp").to_pylist(), q.column("core").to_numpy(), q.column("within").to_numpy()
-        for i, at, d in nearest_of(t, q, t.num_rows):
-            outside = comps[at] != own[i]
-            if outside.any():
-                w = np.maximum(np.maximum(d[outside], core[i]), cores[at[outside]])
-                j = int(w.argmin())
-                if w[j] < min(within[i], best.get(own[i], (np.inf,))[0]):
-                    best[own[i]] = (float(w[j]), names[i], ids[at[outside][j]], comps[at[outside][j]])
     kind = t.schema.field("id").type if t.num_columns else pa.int64()
-    rows = [(c, *e) for c, e in best.items()]
     target = pa.schema([("comp", kind), ("w", pa.float64()), ("a", kind), ("b", kind), ("to", kind)])
-    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
+    if not t.num_rows or not q.num_rows:
+        return target.empty_table()
+    x, y = matrix(t.column("v")), matrix(q.column("v"))
+    cores, core, within = t.column("core").to_numpy(), q.column("core").to_numpy(), q.column("within").to_numpy()
+    code = pd.factorize(np.concatenate([as_array(t.column("comp")), as_array(q.column("comp"))]))[0]
+    comps, own = code[: len(x)], code[len(x) :]
+    found, step, few = [], max(1, CHUNK // len(x)), max(1, CHUNK // max(1, x.shape[1]) // 4)
+    for a in range(0, len(y), step):
+        d2, off = rough(y[a : a + step], x)
+        np.maximum(d2, (cores * cores)[None, :], out=d2)
+        d2[own[a : a + step, None] == comps[None, :]] = np.inf
+        bound = np.minimum(d2.min(1) * (1 + 1e-9) + 2 * off, (within[a : a + step] * (1 + 1e-9)) ** 2 + off)
+        row, at = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+        row += a
+        d = np.concatenate([exact(x[at[b : b + few]], y[row[b : b + few]]) for b in range(0, len(row), few)] or [np.zeros(0)])
+        w = np.maximum(np.maximum(d, core[row]), cores[at])
+        good = w < within[row]
+        row, at, w = row[good], at[good], w[good]
+        least = pd.Series(w).groupby(own[row]).idxmin().to_numpy()  # one for each component
+        found.append((row[least], at[least], w[least]))
+    row, at, w = map(np.concatenate, zip(*found, strict=True))
+    least = pd.Series(w).groupby(own[row]).idxmin().to_numpy()
+    row, at = pa.array(row[least]), pa.array(at[least])
+    return pa.table([one_chunk(c) for c in (q.column("comp").take(row), pa.array(w[least]), q.column("id").take(row), t.column("id").take(at), t.column("comp").take(at))], schema=target)
 
 
 def entries(nodes: DataFrame, edges: DataFrame, min_size: int) -> DataFrame:
@@ -302,7 +324,7 @@ def density_clusters(vectors: DataFrame, min_size: int = 5, min_samples: int = 3
     rows, cells = placed(nodes.select("id", "v", "n"))
     if not len(cells.pivots):
         return named.select("id", F.lit(NOISE).alias("cluster"))
-    near = neighbours(rows, cells, min_samples)
+    near = neighbours(rows, cells, max(LISTED, min_samples))
     cored = stage(with_core(rows, near, min_samples), "core")
     edges = spanning_edges(cored, near, cells)
     entered = entries(cored, edges, min_size)

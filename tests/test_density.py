@@ -148,3 +148,44 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
 def test_components_of_strings(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z"), (None, "a")], "a string, b string")
     assert {(r.id, r.component) for r in components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
+def test_vectors_visit_a_block_once(spark):
+    """Of unrelated vectors no cell can be left out: each used to be sent to all 256 cells."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    rows, cells = neighbours.placed(neighbours.unit(df))
+    asking = rows.select("id", "v", "cell", F.lit(float("inf")).alias("within"))
+    sent = neighbours.visited(rows, asking, cells, lambda t, q: pa.table({"n": [q.num_rows], "rows": [t.num_rows]}), "n bigint, rows bigint").collect()
+    assert sum(r.n for r in sent) <= 8 * 3000
+    assert sum(r.n * r.rows for r in sent) == 3000 * 3000
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "outliers", "huge", "tiny", "ties", "copies"])
+def test_nearest_of_equals_brute_force(kind):
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(700, 12))
+    if kind == "far":
+        x += 1e6
+    if kind == "outliers":
+        x[:4] *= 1e9
+    if kind in ("huge", "tiny"):
+        x *= 1e40 if kind == "huge" else 1e-40
+    if kind == "ties":
+        x = r.integers(0, 2, (700, 12)).astype(float)
+    if kind == "copies":
+        x[:300] = x[0] + 1e-9 * r.normal(size=(300, 12))
+    ids = r.permutation(700)
+    t = pa.table({"id": pa.chunked_array([pa.array(ids)]), "v": pa.chunked_array([pa.array([v.tobytes() for v in x], pa.binary())])})
+    for within in (np.full(700, np.inf), np.where(np.arange(700) % 3, np.inf, np.abs(x).max() * 2)):
+        row, at, d = neighbours.nearest_of(t, t.append_column("within", pa.array(within)), 5)
+        got = {}
+        for i, j, far in zip(row, at, d, strict=True):
+            got.setdefault(i, []).append((far, ids[j]))
+        for i in range(700):
+            far = neighbours.exact(x, x[i][None, :])
+            assert got.get(i, []) == sorted((far[j], ids[j]) for j in range(700) if j != i and far[j] <= within[i])[:5]
