@@ -61,3 +61,18 @@ def test_similarities_are_worked_out_in_blocks_with_the_same_bits(spark, capsys)
     assert sorted(search.top_k_each(v, q, 2, ["label"]).select("query_id", "label", "vec_id", "rank").collect()) == sorted(want.collect())
     got.explain()
     assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_long_words_are_learned_once():
+    """With more than 200,000 new words between two uses of a word of three tokens and more, it used to be tokenised again."""
+    from itertools import islice, product
+
+    from notelake.llm import packing
+
+    codec, learned = packing.Ids(packing.default_tokenizer()), []
+    texts = [" ".join(["", *("".join(c) for c in islice(product("qzxvkj", repeat=7), a, a + 60_000))]) for a in range(0, 240_000, 60_000)]
+    first = [codec.encode([x])[0] for x in texts]
+    learn = codec._learn
+    codec._learn = lambda words: (learned.extend(words), learn(words))
+    assert [codec.encode([x])[0] for x in texts] == first
+    assert not learned
