@@ -195,7 +195,7 @@ def visited(rows: DataFrame, askers: DataFrame, cells: Cells, kernel: Callable[[
     asked = askers.withColumn("_h", F.xxhash64("id").bitwiseAND((1 << 62) - 1)).mapInArrow(run, f"block int, part int, {kinds}")
     sizes = spark.createDataFrame([(r.block, int(many[r.block])) for r in sums], "block int, parts int")
     dealt = rows.join(F.broadcast(sizes), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    keys, tasks = ["block", "part"], max(int(many.sum()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys, tasks = ["block", "part"], max(min(int(many.sum()), sum(r.n for r in sums) // LEAST), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return stage(dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(asked.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(kernel, schema), "told")
 
 
