@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import progress, session_band
 from ..functions.text import last_index, round_half_up, trim
+from ..session import dealt
 from .mentions import mentions
 
 
-def quiz_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per session: total, answered, correct, incorrect (unanswered count as such), score over all questions, completed, band. Keys: session_id, question_id."""
-    one = answers.groupBy("session_id", "question_id").agg(F.max("is_correct").alias("is_correct"))
-    joined = questions.select("session_id", "question_id").join(one, ["session_id", "question_id"], "left")
-    out = joined.groupBy("session_id").agg(F.count("*").alias("total"), F.count("is_correct").alias("answered"), F.count_if("is_correct").alias("correct"))
+#: What an answer belongs to.
+KEY = ["session_id", "question_id"]
+
+
+def _stacked(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, to be grouped by KEY: one shuffle and one grouping, where joins would sort each side and hold them all at once."""
+    return dealt(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), *KEY)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows that can meet others: a null key equals none."""
+    return rows.where(" and ".join(f"{c} is not null" for c in KEY))
+
+
+def _mark() -> Column:
+    """Right 1, wrong 0, answered without a verdict -1."""
+    return F.coalesce(F.col("is_correct").cast("int"), F.lit(-1))
+
+
+def quiz_scores(questions: DataFrame, answers: DataFrame, submitted: DataFrame | None = None) -> DataFrame:
+    """Per session: total, answered, correct, incorrect (unanswered count as such), score over all questions, completed, band. Keys: session_id, question_id.
+
+    With ``submitted`` as if its ``new_answers`` were among the answers."""
+    rows = [questions.select(*KEY, F.lit(1).alias("_n")), _keyed(answers).select(*KEY, _mark().alias("_had"))]
+    rows += [_keyed(submitted).select(*KEY, _mark().alias("_new"))] if submitted is not None else []
+    new = [F.max("_new")] if submitted is not None else []
+    one = _stacked(*rows).groupBy(*KEY).agg(F.sum("_n").alias("_n"), F.coalesce(F.max("_had"), *new, F.lit(-1)).alias("_mark")).where("_n > 0")
+    n = lambda rows: F.sum(F.when(rows, F.col("_n")).otherwise(0))
+    out = dealt(one, "session_id").groupBy("session_id").agg(F.sum("_n").alias("total"), n(F.col("_mark") >= 0).alias("answered"), n(F.col("_mark") == 1).alias("correct"))
     score = round_half_up(F.col("correct") * 100 / F.col("total"))
     return out.withColumns({"incorrect": F.col("total") - F.col("correct"), "score": score, "completed": F.col("answered") == F.col("total"), "band": session_band(score)})
 
@@ -26,9 +53,15 @@ def first_unanswered(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return total.join(open_, "session_id", "left").select("session_id", F.coalesce("first", "n").alias("position"))
 
 
-def new_answers(submitted: DataFrame, answers: DataFrame) -> DataFrame:
-    """Submitted answers to questions that have none yet: repeats change nothing."""
-    return submitted.join(answers, ["session_id", "question_id"], "left_anti").dropDuplicates(["session_id", "question_id"])
+def new_answers(submitted: DataFrame, answers: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Submitted answers to questions that have none yet: repeats change nothing. Of several to one question a right one stays, else a wrong one. With ``questions`` only answers to those."""
+    rest = [c for c in submitted.columns if c not in KEY]
+    rows = [submitted.select(*KEY, *rest, _mark().alias("_new")), _keyed(answers).select(*KEY, F.lit(True).alias("_had"))]
+    rows += [_keyed(questions).select(*KEY, F.lit(True).alias("_asked"))] if questions is not None else []
+    asked = [F.max("_asked").alias("_asked")] if questions is not None else []
+    one = _stacked(*rows).groupBy(*KEY).agg(F.max("_new").alias("_new"), F.max("_had").alias("_had"), *asked, *[F.max_by(c, "_new").alias(c) for c in rest])
+    fit = one.where("_new is not null and _had is null" + (" and _asked" if asked else ""))
+    return fit.select([F.col(f.name).cast(f.dataType) if f.name in KEY else f.name for f in submitted.schema])
 
 
 def goal_progress(milestones: DataFrame) -> DataFrame:

@@ -121,9 +121,8 @@ def create_sessions(new: DataFrame, questions: DataFrame, now: Column) -> tuple[
 
 def submit_answers(sessions: DataFrame, questions: DataFrame, answers: DataFrame, submitted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Sessions and answers after submitted(session_id, question_id, is_correct, ...): answered questions keep their answer, questions of other sessions are no questions; a session whose questions are all answered gets its score and time."""
-    asked = submitted.join(questions.select("session_id", "question_id"), ["session_id", "question_id"], "left_semi")
-    every = answers.unionByName(new_answers(asked, answers).select(answers.columns))
-    done = quiz_scores(questions, every).where("completed").select("session_id", F.col("score").alias("_s"))
+    every = answers.unionByName(new_answers(submitted, answers, questions).select(answers.columns))
+    done = quiz_scores(questions, answers, submitted).where("completed").select("session_id", F.col("score").alias("_s"))
     out = sessions.join(done, "session_id", "left")
     return out.withColumns({"completed_at": F.when(F.col("_s").isNotNull(), F.coalesce("completed_at", now)).otherwise(F.col("completed_at")), "score": F.coalesce("score", "_s")}).select(sessions.columns), every
 

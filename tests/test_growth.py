@@ -1,10 +1,13 @@
 """What has to stay cheap as tables grow: nothing worked out twice, the same results by the faster ways."""
 
+import math
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notelake.functions import scores, text
-from notelake.operators import documents, search
+from notelake.operators import documents, rollups, search, state
 
 
 def test_documents_are_parsed_and_written_once(spark, capsys):
@@ -76,3 +79,54 @@ def test_long_words_are_learned_once():
     codec._learn = lambda words: (learned.extend(words), learn(words))
     assert [codec.encode([x])[0] for x in texts] == first
     assert not learned
+
+
+def quiz_tables(spark):
+    """Questions, answers and submissions with repeats, null keys, answers without a verdict and keys that only some of the tables hold."""
+    draw = random.Random(5)
+    key = lambda: (draw.choice(["a", "b", "c", "d", "e", None]), draw.choice([0, 1, 2, 3, None]))
+    verdict = lambda: draw.choice([True, False, None])
+    q = [key() for _ in range(14)] + [("f", 0), ("f", 1), ("f", 1), ("g", 0)]
+    a = [(*key(), verdict()) for _ in range(9)] + [("f", 0, True)]
+    s = [(*key(), verdict(), "x") for _ in range(9)] + [("f", 1, False, "no"), ("f", 1, True, "yes"), ("f", 1, None, "none"), ("f", 0, False, "late"), ("g", 9, True, "unknown")]
+    frames = spark.createDataFrame(q, "session_id string, question_id int"), spark.createDataFrame(a, "session_id string, question_id int, is_correct boolean"), spark.createDataFrame(s, "session_id string, question_id int, is_correct boolean, note string")
+    return (q, a, s), frames
+
+
+def test_sessions_are_scored_in_one_pass_with_the_same_results(spark, capsys):
+    (q, a, s), (questions, answers, submitted) = quiz_tables(spark)
+    rank = {True: 1, False: 0, None: -1}
+    best = lambda rows: {k: max(rank[r[2]] for r in rows if r[:2] == k) for k in {r[:2] for r in rows if None not in r[:2]}}
+    had, new = best(a), {k: v for k, v in best(s).items() if k in q and k not in best(a)}
+
+    def scored(marks):
+        out = {}
+        for session in {k[0] for k in q}:
+            m = [marks.get(k, -1) for k in q if k[0] == session]
+            out[session] = (len(m), sum(x >= 0 for x in m), m.count(1), math.floor(m.count(1) * 100 / len(m) + 0.5))
+        return out
+
+    rows = lambda df: {r.session_id: (r.total, r.answered, r.correct, r.score) for r in df.collect()}
+    assert rows(rollups.quiz_scores(questions, answers)) == scored(had)
+    assert rows(rollups.quiz_scores(questions, answers, submitted)) == scored(had | new)
+    sessions = spark.createDataFrame([(x, None, None) for x in ("a", "b", "c", "d", "e", "f", "g", None)], "session_id string, completed_at string, score bigint")
+    done, every = state.submit_answers(sessions, questions, answers.withColumn("note", F.lit("old")), submitted, F.lit("now"))
+    want = {k: v[3] for k, v in scored(had | new).items() if k is not None and v[0] == v[1]}
+    assert {r.session_id: r.score for r in done.collect() if r.completed_at} == want and want["f"] == 100
+    made = [r for r in every.collect() if r.note != "old"]
+    assert {(r.session_id, r.question_id): rank[r.is_correct] for r in made} == new and len(made) == len(new)
+    assert [r.note for r in made if r.session_id == "f"] == ["yes"] and every.count() == len(a) + len(new)
+    capsys.readouterr()
+    done.select("*").explain()
+    assert capsys.readouterr().out.count("Join") == 1  # that with the sessions
+    every.select("*").explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_grouping_by_question_stays_dealt_out(spark):
+    """Adaptive execution would merge these few rows, and up to 64 MB of compressed keys, into one task."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = spark.range(4000).select((F.col("id") % 900).alias("session_id"), F.col("id").alias("question_id"))
+    a = q.withColumn("is_correct", F.lit(True))
+    for made in (rollups.quiz_scores(q, a), rollups.new_answers(a, a.limit(9))):
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() == n
